@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel works on at a time.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 U64 = np.uint64
 #: Base of the polynomial hash (odd) and constants of the 64-bit mixer.
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -96,7 +96,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-@lru_cache(maxsize=1)
+@lru_cache(maxsize=2)
 def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     n = 1 << bits
     inverse = pow(_BASE, -1, 1 << 64)
@@ -107,7 +107,7 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each data[start:end], by prefix sums of a polynomial."""
-    up, down = _powers(max(21, int(len(data)).bit_length()))
+    up, down = _powers(max(20, int(len(data)).bit_length()))
     sums = np.zeros(len(data) + 1, U64)
     np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], dtype=U64, out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64) * U64(_BASE))

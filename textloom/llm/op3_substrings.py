@@ -2,10 +2,10 @@
 
 Sorting every suffix would move fifty times the corpus, so a sparse suffix array is built
 that loses nothing. Each 50-byte window belongs to one anchor: the position of the smallest
-hash among its 20-byte strings. Equal windows have equal anchors at equal distances, so
+hash among its 16-byte strings. Equal windows have equal anchors at equal distances, so
 duplicates can only lie in windows whose anchor string occurs in two documents.
 
-1. Anchors (one for about 16 bytes): tasks find strings that two of their documents share
+1. Anchors (one for about 18 bytes): tasks find strings that two of their documents share
    and send 48 bits of the rest to hash buckets, which answer with those that others hold.
 2. Suffixes at shared anchors, with the bytes of their windows, are range-partitioned by their
    16 leading bytes and a salt, at splitters from a bounded sample; a hot string so spreads over
@@ -29,51 +29,60 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, ids_of, mix, partitions, ragged, record, row_key, span_hashes, table, text_chunks, texts
 
 #: Bytes of a duplicate, bytes of an anchor's string, windows that an anchor is the least of.
-LENGTH, ANCHOR = 50, 20
+LENGTH, ANCHOR = 50, 16
 SPAN = LENGTH - ANCHOR + 1
 #: Anchors that a task holds before it sends them; documents and anchors of each in the sample for splitters.
-HELD, SAMPLE, SAMPLE_EACH = 1 << 20, 4000, 32
+HELD, SAMPLE, SAMPLE_EACH = 1 << 19, 4000, 32
+#: Bytes of suffixes of which the windows are compared at a time; bytes of text in a chunk and of windows whose anchors are found at a time.
+SLAB, CHUNK, BLOCK = 1 << 19, 1 << 21, 1 << 18
 _LOW48 = U64((1 << 48) - 1)
-_B = [U64(pow(0x9E3779B97F4A7C15, 1 << k, 1 << 64)) for k in range(5)]
+_B = [U64(pow(0x9E3779B97F4A7C15, 1 << k, 1 << 64)) for k in range(4)]
 
-_PROBES = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("blob", pa.binary())])
-_ANSWERS = pa.schema([("key", pa.int64()), ("blob", pa.binary())])
+_BLOBS = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
+_TOLD = pa.schema([("key", pa.int64()), ("told", pa.binary())])
 _SUFFIXES = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("rows", pa.binary()), ("bytes", pa.binary())])
-_FOUND = pa.schema([("g", pa.int64()), ("kind", pa.int32()), ("key", pa.int64()), ("id", pa.int64()), ("blob", pa.binary())])
+_FOUND = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
+#: Duplicate windows of a document: its id, first and last+1 start.
+_SPAN = np.dtype([("id", "<i8"), ("lo", "<u4"), ("hi", "<u4")])
+#: An undecided window: its document's key, and itself.
+_OPEN = np.dtype([("key", "<i8"), ("id", "<i8"), ("lo", "<u4"), ("hi", "<u4")])
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
-#: A suffix row: number of its document, first window's start in it, bytes before the anchor, bytes in all.
-_ROW = np.dtype([("doc", "<u4"), ("start", "<u4"), ("before", "u1"), ("size", "u1")])
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Anchor position, first and last+1 start of its windows, document number, 48-bit hash of its string."""
+    """Anchor position, first and last+1 start of its windows, document number, 64-bit hash of its string."""
     none = np.zeros(0, np.int64)
-    if len(data) < LENGTH:
-        return none, none, none, none, none.astype(U64)
-    h = data.astype(U64) + U64(1)
-    four = None
-    for k in range(4):
-        h = h[: -(1 << k)] * _B[k] + h[1 << k :]
-        if k == 1:
-            four = h
-    h = mix(h[:-4] * _B[2] + four[16:])  # 20 bytes
-    low = (h & U64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=U64)
-    for width in (1, 2, 4, 8, SPAN - 16):
-        low = np.minimum(low[:-width], low[width:])
     start = ragged(offsets[:-1], np.maximum(np.diff(offsets) - LENGTH + 1, 0))
     if not len(start):
         return none, none, none, none, none.astype(U64)
-    at = (low[start] & U64(0xFFFFFFFF)).astype(np.int64)
-    first = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
-    last = np.append(first[1:], len(start)) - 1
-    lo = start[first]
-    return at[first], lo, start[last] + 1, np.searchsorted(offsets, lo, "right") - 1, h[at[first]]
+    found = []
+    for base in range(0, len(data), BLOCK):
+        lo, hi = np.searchsorted(start, (base, base + BLOCK))
+        if lo == hi:
+            continue
+        h = data[base : base + BLOCK + LENGTH - 1].astype(U64) + U64(1)
+        for k in range(4):  # strings of 2, 4, 8 and 16 bytes
+            h = h[: -(1 << k)] * _B[k] + h[1 << k :]
+        h = mix(h)
+        low = (h & U64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=U64)
+        for width in (1, 2, 4, 8, 16, SPAN - 32):
+            low = np.minimum(low[:-width], low[width:])
+        windows = start[lo:hi]
+        at = (low[windows - base] & U64(0xFFFFFFFF)).astype(np.int64)
+        first = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
+        found.append((at[first] + base, windows[first], windows[np.append(first[1:], len(at)) - 1] + 1, h[at[first]]))
+    at, lo, hi, h = map(np.concatenate, zip(*found, strict=True))
+    first = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))  # joins what blocks have cut
+    lo, hi = lo[first], hi[np.append(first[1:], len(at)) - 1]
+    return at[first], lo, hi, np.searchsorted(offsets, lo, "right") - 1, h[first]
 
 
 def _pack48(h: np.ndarray) -> np.ndarray:
@@ -90,12 +99,30 @@ def _binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def _by_key(keys: np.ndarray, items: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Items (uint8, `width` each) grouped by key: an index of each group, its keys, its joined items."""
+def _by_key(keys: np.ndarray, items: np.ndarray, width: int) -> tuple[np.ndarray, pa.Array]:
+    """Items (uint8, `width` each) grouped by key: the keys, and the joined items of each."""
     order = np.argsort(keys, kind="stable")
     sorted_ = keys[order]
     first = np.concatenate(([0], np.flatnonzero(sorted_[1:] != sorted_[:-1]) + 1)) if len(keys) else np.zeros(0, np.int64)
-    return order[first], sorted_[first], _binary(items.reshape(-1, width)[order].reshape(-1), np.append(first, len(keys)) * width)
+    return sorted_[first], _binary(items.reshape(-1, width)[order].reshape(-1), np.append(first, len(keys)) * width)
+
+
+def _to_blocks(keys: np.ndarray, items: np.ndarray, width: int, n: int) -> Iterator[tuple[int, bytes]]:
+    """(block, blob): items with their keys, for the block of rows that holds the key; one blob for each block."""
+    items, block = items.reshape(-1, width), np.mod(keys, n)
+    order = np.lexsort((keys, block))
+    ends = np.searchsorted(block[order], np.arange(n + 1))
+    for b in np.flatnonzero(np.diff(ends)).tolist():
+        part = order[ends[b] : ends[b + 1]]
+        own, counts = np.unique(keys[part], return_counts=True)
+        yield b, np.array([len(own)], "<u8").tobytes() + own.astype("<i8").tobytes() + counts.astype("<u4").tobytes() + items[part].tobytes()
+
+
+def _from_blob(blob: bytes | pa.Buffer, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and items of a blob of _to_blocks, both as long."""
+    n = int(np.frombuffer(blob, "<u8", 1)[0])
+    own, counts = np.frombuffer(blob, "<i8", n, 8), np.frombuffer(blob, "<u4", n, 8 + 8 * n)
+    return np.repeat(own, counts), np.frombuffer(blob, np.uint8, offset=8 + 12 * n).reshape(-1, width)
 
 
 def _probes(n: int):
@@ -126,16 +153,16 @@ def _probes(n: int):
                     docs, counts = np.unique(doc[part], return_counts=True)
                     rows.append((b, b"\0" + np.array([len(docs)], "<u4").tobytes() + keys[docs].tobytes() + counts.astype("<u4").tobytes() + _pack48(h[part]).tobytes()))
         if rows:
-            yield record(_PROBES, [b for b, _ in rows], pa.nulls(len(rows), pa.int64()), [x for _, x in rows])
+            yield record(_BLOBS, [b for b, _ in rows], [x for _, x in rows])
         at = np.flatnonzero((state == 1) | (state == 2))
         if len(at):
-            _, key, blob = _by_key(keys[doc[at]], _pack48(h[at]), 6)
-            yield record(_PROBES, np.mod(key, n).astype(np.int32), key, blob)
+            known = list(_to_blocks(keys[doc[at]], _pack48(h[at]), 6, n))
+            yield record(_BLOBS, [b for b, _ in known], [b"\2" + x for _, x in known])
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         n_held = n_docs = 0
-        for chunk, data, offsets in text_chunks(batches):
+        for chunk, data, offsets in text_chunks(batches, CHUNK):
             _, _, _, doc, h = anchors(data, offsets)
             held.append((h, doc + n_docs, ids_of(chunk, "key").to_numpy()))
             n_held, n_docs = n_held + len(h), n_docs + chunk.num_rows
@@ -148,38 +175,53 @@ def _probes(n: int):
     return probes
 
 
-def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one bucket: the hashes that documents of several tasks hold, by document."""
-    hashes, keys, marks = [], [], [np.zeros(0, U64)]
-    for batch in batches:
-        known = batch.filter(batch.column(1).is_valid())
-        if known.num_rows:
-            yield record(_ANSWERS, known.column(1), known.column(2))
-        for blob in batch.filter(batch.column(1).is_null()).column(2):
-            raw = np.frombuffer(blob.as_buffer(), np.uint8)
-            if raw[0]:
-                marks.append(_unpack48(raw[1:]))
-                continue
-            n = int(raw[1:5].view("<u4")[0])
-            keys.append(np.repeat(raw[5 : 5 + 8 * n].view("<i8"), raw[5 + 8 * n : 5 + 12 * n].view("<u4")))
-            hashes.append(_unpack48(raw[5 + 12 * n :]))
-    if not hashes:
-        return
-    h, key = np.concatenate(hashes), np.concatenate(keys)
-    order = np.argsort(h)
-    hs = h[order]
-    same = hs[1:] == hs[:-1]
-    shared = np.zeros(len(h), bool)
-    shared[1:] |= same
-    shared[:-1] |= same
-    mark = np.unique(np.concatenate(marks))
-    if len(mark):
-        at = np.minimum(np.searchsorted(mark, hs), len(mark) - 1)
-        shared |= mark[at] == hs
-    found = order[shared]
-    if len(found):
-        _, key, blob = _by_key(key[found], _pack48(h[found]), 6)
-        yield record(_ANSWERS, key, blob)
+def _answers(n: int):
+    """Of one bucket: the hashes that documents of several tasks hold, for the blocks of these documents."""
+
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, keys, marks = [], [], [np.zeros(0, U64)]
+        for batch in batches:
+            known = [], []
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = np.frombuffer(blob.as_buffer(), np.uint8)
+                if raw[0] == 2:  # known where it was made
+                    known[0].append(bucket)
+                    known[1].append(raw[1:].tobytes())
+                elif raw[0] == 1:
+                    marks.append(_unpack48(raw[1:]))
+                else:
+                    m = int(raw[1:5].view("<u4")[0])
+                    keys.append(np.repeat(raw[5 : 5 + 8 * m].view("<i8"), raw[5 + 8 * m : 5 + 12 * m].view("<u4")))
+                    hashes.append(_unpack48(raw[5 + 12 * m :]))
+            if known[0]:
+                yield record(_BLOBS, *known)
+        if not hashes:
+            return
+        h, key = np.concatenate(hashes), np.concatenate(keys)
+        hashes.clear()
+        order = np.argsort(h)
+        hs = h[order]
+        same = hs[1:] == hs[:-1]
+        shared = np.zeros(len(h), bool)
+        shared[1:] |= same
+        shared[:-1] |= same
+        mark = np.unique(np.concatenate(marks))
+        if len(mark):
+            shared |= mark[np.minimum(np.searchsorted(mark, hs), len(mark) - 1)] == hs
+        found = order[shared]
+        if len(found):
+            rows = list(_to_blocks(key[found], _pack48(h[found]), 6, n))
+            yield record(_BLOBS, [b for b, _ in rows], [x for _, x in rows])
+
+    return answers
+
+
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of one block: the shared hashes of each document."""
+    parts = [_from_blob(blob.as_buffer(), 6) for batch in batches for blob in batch.column(1)]
+    if parts:
+        keys, items = map(np.concatenate, zip(*parts, strict=True))
+        yield record(_TOLD, *_by_key(keys, items, 6))
 
 
 def _leads(data: np.ndarray, at: np.ndarray, salt: np.ndarray) -> np.ndarray:
@@ -196,7 +238,7 @@ def splitters(rows: DataFrame, n: int, sample: int = SAMPLE) -> np.ndarray:
     some = rows.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
 
     def leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, data, offsets in text_chunks(batches):
+        for chunk, data, offsets in text_chunks(batches, CHUNK):
             at, _, _, doc, _ = anchors(data, offsets)
             each = np.bincount(doc, minlength=chunk.num_rows)
             rank = np.arange(len(at)) - (np.cumsum(each) - each)[doc]
@@ -206,27 +248,31 @@ def splitters(rows: DataFrame, n: int, sample: int = SAMPLE) -> np.ndarray:
 
     found = some.mapInArrow(leads, "lead binary").toArrow().column("lead")
     keys = np.sort(np.frombuffer(b"".join(x.as_py() for x in found), "S24"))
-    return keys[(np.arange(1, n) * len(keys)) // n] if len(keys) else keys
+    if not len(keys):
+        return keys
+    cuts = keys[(np.arange(1, n) * len(keys)) // n]
+    strings = np.ascontiguousarray(cuts).view(np.uint8).reshape(-1, 24).copy()
+    same = (strings[1:, :16] == strings[:-1, :16]).all(axis=1)
+    strings[~np.concatenate(([False], same)), 16:] = 0  # a string is only cut inside if it fills a bucket
+    return strings.reshape(-1).view("S24")
 
 
 def _suffixes(cuts: np.ndarray):
     """Sends the suffixes at shared anchors, with their windows, to range buckets."""
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, data, offsets in text_chunks(batches):
+        packer = zstandard.ZstdCompressor(level=1)
+        for chunk, data, offsets in text_chunks(batches, CHUNK):
             at, lo, hi, doc, h = anchors(data, offsets)
-            told = ids_of(chunk, "told")
-            blobs = told.flatten()
-            sizes = np.array([len(x.as_buffer()) for x in blobs], np.int64) // 6
-            lists = told.offsets.to_numpy()
-            of = np.repeat(np.repeat(np.arange(chunk.num_rows), np.diff(lists)), sizes)
-            known = _unpack48(np.frombuffer(b"".join(x.as_py() for x in blobs), np.uint8))
+            told = ids_of(chunk, "told").to_pylist()
+            of = np.repeat(np.arange(chunk.num_rows), [len(x) // 6 for x in told])
+            known = _unpack48(np.frombuffer(b"".join(told), np.uint8))
             salt = U64(0xD6E8FEB86659FD93)
-            shared = np.flatnonzero(np.isin(mix((h & _LOW48) + doc.astype(U64) * salt), mix(known + of.astype(U64) * salt)))
+            shared = np.flatnonzero(ids_of(chunk).is_valid().to_numpy(zero_copy_only=False)[doc] & np.isin(mix((h & _LOW48) + doc.astype(U64) * salt), mix(known + of.astype(U64) * salt)))
             if not len(shared):
                 continue
             at, lo, hi, doc = at[shared], lo[shared], hi[shared], doc[shared]
-            key, ids = ids_of(chunk, "key").to_numpy(), ids_of(chunk).to_numpy()
+            key, ids = ids_of(chunk, "key").to_numpy(), pc.fill_null(ids_of(chunk), 0).to_numpy()
             bucket = np.searchsorted(cuts, _leads(data, at, mix(key.astype(U64)[doc])), "right")
             order = np.argsort(bucket, kind="stable")
             ends = np.searchsorted(bucket[order], np.arange(len(cuts) + 2))
@@ -234,10 +280,10 @@ def _suffixes(cuts: np.ndarray):
             for b in np.flatnonzero(np.diff(ends)):
                 part = order[ends[b] : ends[b + 1]]
                 docs, number = np.unique(doc[part], return_inverse=True)
-                row = np.empty(len(part), _ROW)
-                row["doc"], row["start"] = number, lo[part] - offsets[doc[part]]
-                row["before"], row["size"] = at[part] - lo[part], hi[part] - lo[part] + LENGTH - 1
-                rows.append((b, np.concatenate((key[docs], ids[docs])).astype("<i8").tobytes(), row.tobytes(), data[ragged(lo[part], row["size"].astype(np.int64))].tobytes()))
+                size = hi[part] - lo[part] + LENGTH - 1
+                row = (number.astype("<u4"), (lo[part] - offsets[doc[part]]).astype("<u4"), (at[part] - lo[part]).astype("u1"), size.astype("u1"))
+                parts = (np.concatenate((key[docs], ids[docs])).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), b"".join(x.tobytes() for x in row), data[ragged(lo[part], size)].tobytes())
+                rows.append((b, *map(packer.compress, parts)))
             yield record(_SUFFIXES, *map(list, zip(*rows, strict=True)))
 
     return suffixes
@@ -261,79 +307,133 @@ def multikey_sort(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
-def _compared(cuts: np.ndarray):
+def _sortable(raw: np.ndarray, offset: np.ndarray, before: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A row of 96 bytes of each suffix: from the anchor on, then what stands before it, then both lengths."""
+    rows = np.zeros((len(offset), 96), np.uint8)
+    for lo in range(0, len(offset), 1 << 15):
+        part = slice(lo, lo + (1 << 15))
+        n = size[part]
+        row = np.repeat(np.arange(len(n)) + lo, n)
+        within = ragged(-before[part], n)
+        rows[row, np.where(within < 0, within + 88, within)] = raw[ragged(offset[part], n)]
+    rows[:, 88], rows[:, 89] = before, size
+    return rows
+
+
+def _slabs(rows: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of sorted suffixes of about SLAB bytes, cut where the anchor's string changes."""
+    change = np.flatnonzero((rows[1:, :ANCHOR] != rows[:-1, :ANCHOR]).any(axis=1)) + 1
+    ends, lo = np.cumsum(size), 0
+    while lo < len(rows):
+        full = int(np.searchsorted(ends, ends[lo] - size[lo] + SLAB, "right"))
+        at = int(np.searchsorted(change, max(full, lo + 1)))
+        hi = int(change[at]) if full < len(rows) and at < len(change) else len(rows)
+        yield lo, hi
+        lo = hi
+
+
+def _spans(ids: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    out = np.empty(len(ids), _SPAN)
+    out["id"], out["lo"], out["hi"] = ids, lo, hi
+    return out.view(np.uint8)
+
+
+def _compared(cuts: np.ndarray, n: int):
     """Of one bucket: windows that a smaller id holds, and undecided ones of strings that span buckets."""
-    edges = np.array([c[:16] for c in cuts.tolist()], "S16")
-    spanning = edges  # a string that equals a cut's may go on in the next bucket
+    strings = np.array([c[:16] for c in cuts.tolist()], "S16")
+    edges = strings[1:][strings[1:] == strings[:-1]]  # strings that go on in the next bucket
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
+        parts, packer, unpacker = [], zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
         for batch in batches:
             for docs, rows, raw in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
-                d = np.frombuffer(docs.as_buffer(), "<i8").reshape(2, -1)
-                r = np.frombuffer(rows.as_buffer(), _ROW)
-                parts.append((d[0][r["doc"]], d[1][r["doc"]], r["start"].astype(np.int64), r["before"].astype(np.int64), r["size"].astype(np.int64), np.frombuffer(raw.as_buffer(), np.uint8)))
+                d, r, x = (np.frombuffer(unpacker.decompress(y.as_buffer()), np.uint8) for y in (docs, rows, raw))
+                d, m = np.ascontiguousarray(d.reshape(8, -1).T).view("<i8").reshape(2, -1), len(r) // 10
+                number = r[: 4 * m].view("<u4")
+                parts.append((d[0][number], d[1][number], r[4 * m : 8 * m].view("<u4").astype(np.int64), r[8 * m : 9 * m].astype(np.int64), r[9 * m :].astype(np.int64), x))
         if not parts:
             return
         key, ids, start, before, size, raw = map(np.concatenate, zip(*parts, strict=True))
         parts.clear()
         offset = np.cumsum(size) - size
-        # Suffix from the anchor, then what stands before it, then both lengths.
-        rows = np.zeros((len(key), 88), np.uint8)
-        from_row, within = np.repeat(np.arange(len(key)), size), ragged(np.zeros(len(key), np.int64), size) - np.repeat(before, size)
-        rows[from_row, np.where(within < 0, within + 80, within)] = raw
-        del from_row, within
-        rows[:, 80], rows[:, 81] = before, size
+        rows = _sortable(raw, offset, before, size)
         order, new = multikey_sort(rows.view(">u8").astype(U64))
         group = np.empty(len(key), np.int64)
         group[order] = np.cumsum(new) - 1
         least = np.full(int(new.sum()), np.iinfo(np.int64).max)
         np.minimum.at(least, group, ids)
         later = ids > least[group]
-        # Windows of the distinct suffixes.
-        one = order[new]
-        width = size[one] - LENGTH + 1
-        of = np.repeat(np.arange(len(one)), width)
-        at = ragged(offset[one], width)
-        h = span_hashes(raw, at, at + LENGTH)
-        by = np.argsort(h)
-        hs = h[by]
-        first = np.concatenate(([0], np.flatnonzero(hs[1:] != hs[:-1]) + 1))
-        smallest = np.minimum.reduceat(least[of[by]], first)
-        held = np.empty(len(h), bool)
-        held[by] = least[of[by]] > np.repeat(smallest, np.diff(np.append(first, len(h))))
-        # Rows of the smallest id get their windows' verdicts, the others are copies as a whole.
-        base = np.cumsum(width) - width
-        own = np.flatnonzero(~later)
-        spot = ragged(base[group[own]], width[group[own]])
-        row, place = np.repeat(own, width[group[own]]), ragged(start[own], width[group[own]])
-        yes = held[spot]
-        found_key = np.concatenate((key[later], key[row[yes]]))
-        found_id = np.concatenate((ids[later], ids[row[yes]]))
-        spans = np.stack((np.concatenate((start[later], place[yes])), np.concatenate((start[later] + size[later] - LENGTH + 1, place[yes] + 1))), axis=1).astype("<u4")
-        if len(found_key):
-            index, keys, blob = _by_key(found_key, spans.view(np.uint8).reshape(-1), 8)
-            yield record(_FOUND, keys, np.zeros(len(keys), np.int32), keys, found_id[index], blob)
-        lead = np.ascontiguousarray(rows[own, :16]).reshape(-1).view("S16") if len(own) else np.zeros(0, "S16")
-        open_ = np.isin(lead, spanning)
-        undecided = np.flatnonzero(np.repeat(open_, width[group[own]]) & ~yes)
-        if len(undecided):
-            r = row[undecided]
-            span = np.stack((place[undecided], place[undecided] + 1), axis=1).astype("<u4")
-            yield record(_FOUND, h[spot[undecided]].view(np.int64), np.ones(len(r), np.int32), key[r], ids[r], _binary(span.view(np.uint8).reshape(-1), np.arange(len(r) + 1) * 8))
+        # Copies of a suffix with a smaller id lose all its windows.
+        left = []
+        found = [(key[later], ids[later], start[later], start[later] + size[later] - LENGTH + 1)]
+        first = np.flatnonzero(new)
+        for lo, hi in _slabs(rows[order[first]], size[order[first]]):
+            one = order[first[lo:hi]]
+            width = size[one] - LENGTH + 1
+            of = np.repeat(np.arange(lo, hi), width)
+            data, at = raw[ragged(offset[one], size[one])], ragged(np.cumsum(size[one]) - size[one], width)
+            h = span_hashes(data, at, at + LENGTH)
+            by = np.argsort(h)
+            hs = h[by]
+            begin = np.concatenate(([0], np.flatnonzero(hs[1:] != hs[:-1]) + 1))
+            smallest = np.minimum.reduceat(least[of[by]], begin)
+            held = np.empty(len(h), bool)
+            held[by] = least[of[by]] > np.repeat(smallest, np.diff(np.append(begin, len(h))))
+            # Rows of the smallest id get the verdicts of their windows.
+            own = order[first[lo] : first[hi] if hi < len(first) else len(order)]
+            own = own[~later[own]]
+            each = width[group[own] - lo]
+            spot = ragged((np.cumsum(width) - width)[group[own] - lo], each)
+            row, place = np.repeat(own, each), ragged(start[own], each)
+            yes = held[spot]
+            r, w = row[yes], place[yes]
+            if len(r):
+                fresh = np.concatenate(([0], np.flatnonzero((r[1:] != r[:-1]) | (w[1:] != w[:-1] + 1)) + 1))
+                found.append((key[r[fresh]], ids[r[fresh]], w[fresh], w[np.append(fresh[1:], len(r)) - 1] + 1))
+            open_ = np.isin(np.ascontiguousarray(rows[own, :16]).reshape(-1).view("S16"), edges)
+            undecided = np.flatnonzero(np.repeat(open_, each) & ~yes)
+            if len(undecided):
+                r = row[undecided]
+                item = np.empty(len(r), _OPEN)
+                item["key"], item["id"], item["lo"], item["hi"] = key[r], ids[r], place[undecided], place[undecided] + 1
+                left.append((h[spot[undecided]].view(np.int64), item.view(np.uint8).reshape(-1, _OPEN.itemsize)))
+        keys, *columns = map(np.concatenate, zip(*found, strict=True))
+        rows = [(b, 0, x) for b, x in _to_blocks(keys, _spans(*columns), _SPAN.itemsize, n)] if len(keys) else []
+        if left:
+            rows += [(b, 1, x) for b, x in _to_blocks(*map(np.concatenate, zip(*left, strict=True)), _OPEN.itemsize, n)]
+        if rows:
+            yield record(_FOUND, [r[0] for r in rows], [r[1] for r in rows], [packer.compress(r[2]) for r in rows])
 
     return compared
 
 
+def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Duplicate windows by document: those of a block, and those open ones of the bucket that a smaller id holds elsewhere."""
+    found, left, unpacker = [], [], zstandard.ZstdDecompressor()
+    for batch in batches:
+        for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+            (left if kind else found).append(_from_blob(unpacker.decompress(blob.as_buffer()), _OPEN.itemsize if kind else _SPAN.itemsize))
+    if left:
+        h, items = map(np.concatenate, zip(*left, strict=True))
+        rows = np.ascontiguousarray(items).reshape(-1).view(_OPEN)
+        order = np.argsort(h)
+        first = np.concatenate(([0], np.flatnonzero(h[order][1:] != h[order][:-1]) + 1))
+        least = np.minimum.reduceat(rows["id"][order], first)
+        rows = rows[order][rows["id"][order] > np.repeat(least, np.diff(np.append(first, len(h))))]
+        found.append((rows["key"], _spans(rows["id"], rows["lo"], rows["hi"]).reshape(-1, _SPAN.itemsize)))
+    if found:
+        yield record(_TOLD, *_by_key(*map(np.concatenate, zip(*found, strict=True)), _SPAN.itemsize))
+
+
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for chunk, data, offsets in text_chunks(batches):
-        told = ids_of(chunk, "told")
         edge = np.zeros(len(data) + 1, np.int32)
-        for d, blobs in enumerate(told):
-            if blobs.is_valid and len(blobs):
-                spans = np.frombuffer(b"".join(blobs.as_py()), "<u4").reshape(-1, 2).astype(np.int64) + offsets[d]
-                np.add.at(edge, spans[:, 0], 1)
-                np.add.at(edge, spans[:, 1] + LENGTH - 1, -1)
+        for d, (own, blobs) in enumerate(zip(ids_of(chunk).to_pylist(), ids_of(chunk, "told").to_pylist(), strict=True)):
+            if blobs and own is not None:
+                spans = np.frombuffer(b"".join(blobs), _SPAN)
+                spans = spans[spans["id"] == own]
+                np.add.at(edge, spans["lo"] + offsets[d], 1)
+                np.add.at(edge, spans["hi"] + offsets[d] + LENGTH - 1, -1)
         gone = np.cumsum(edge[:-1]) > 0
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
@@ -346,28 +446,26 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def intervals(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents with a key, (key, id, told): pairs of first and last+1 start of the duplicate windows)."""
+    """(documents with a key, (key, told: their duplicate windows))."""
     spark = documents.sparkSession
     n = partitions(spark)
     rows = texts(documents).withColumn("key", row_key())
     known = rows.where("doc_id is not null")
     cuts = splitters(known, n)
     dealt = rows.repartition(n, "key")
-    probes = known.mapInArrow(_probes(n), "bucket int, key long, blob binary").repartitionById(n, F.col("bucket"))
-    answers = probes.mapInArrow(_answers, "key long, blob binary").groupBy("key").agg(F.collect_list("blob").alias("told"))
-    shared = dealt.join(answers.hint("shuffle_hash"), "key").where("doc_id is not null").select("doc_id", "key", "text", "told")
+    probes = known.mapInArrow(_probes(n), "bucket int, blob binary").repartitionById(n, F.col("bucket"))
+    answers = probes.mapInArrow(_answers(n), "bucket int, blob binary").repartitionById(n, F.col("bucket")).mapInArrow(_told, "key long, told binary")
+    # No filter on the dealt rows: the same exchange then serves the last join too.
+    shared = dealt.join(answers.hint("shuffle_hash"), "key").select("doc_id", "key", "text", "told")
     suffixes = shared.mapInArrow(_suffixes(cuts), "bucket int, docs binary, rows binary, bytes binary").repartitionById(n, F.col("bucket"))
-    found = suffixes.mapInArrow(_compared(cuts), "g long, kind int, key long, id long, blob binary")
-    least = F.min(F.when(F.col("kind") == 1, F.col("id"))).over(Window.partitionBy("g", "kind"))
-    decided = found.withColumn("least", least).where("kind = 0 or id > least")
-    return dealt, decided.groupBy("key", "id").agg(F.collect_list("blob").alias("told"))
+    found = suffixes.mapInArrow(_compared(cuts, n), "bucket int, kind int, blob binary").repartitionById(n, F.col("bucket"))
+    return dealt, found.mapInArrow(_intervals, "key long, told binary").groupBy("key").agg(F.collect_list("told").alias("told"))
 
 
 def remove(documents: DataFrame) -> DataFrame:
     """One row per document, as the module says."""
     dealt, found = intervals(documents)
-    found = found.select(F.col("key").alias("found_key"), "id", "told").hint("shuffle_hash")
-    both = dealt.join(found, (F.col("key") == F.col("found_key")) & (F.col("doc_id") == F.col("id")), "left")
+    both = dealt.join(found.hint("shuffle_hash"), "key", "left")  # by the key alone, as the rows are dealt
     return both.select("doc_id", "text", "told").mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
