@@ -47,7 +47,7 @@ def counts(documents: DataFrame, cache: str, vocabulary: str | None = None, limi
     misses = narrow.groupBy("digest").agg(F.min("key").alias("key")).join(known, "digest", "left_anti")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, data, offsets in text_chunks(batches):
+        for chunk, data, offsets in text_chunks(batches, 1 << 21):
             yield record(_COUNTED, ids_of(chunk, "digest"), tokens.count(path, data, offsets))
 
     new = rows.select("key", "digest", "text").join(misses.select("key"), "key", "left_semi").select("digest", "text")

@@ -1,10 +1,12 @@
-"""Token ids of whole texts by a public tokenizer, through the distinct words of a batch.
-
-The word tokenizer drops white space before it splits a text, and none of its rules spans
-white space, so the ids of a text are those of its white-space-delimited words in order. Each
-distinct word (A-Z lower-cased, as the tokenizer does) is encoded once per batch and kept in
-a cache of at most CACHE words. A text that holds a special token's opening `<|` goes
-to the library whole, as case decides there whether it is special.
+"""Token ids of whole texts by a public tokenizer, through the distinct words of a chunk.
+
+The word tokenizer drops white space, then matches a letter run, a digit, an English ending after an
+apostrophe or a run of other characters; none of these spans white space, or a change between ASCII
+letters, digits and punctuation other than an apostrophe. So the ids of a text are those of the pieces
+between such places, in order. Each distinct piece (A-Z lower-cased, as the tokenizer does) is
+encoded once and kept in a worker's cache of at most CACHE pieces, by a 64-bit hash. Pieces go to the library
+together, separated by its end token. A text that holds a special token's opening `<|` goes to
+the library whole, as only there it can be special.
 """
 
 from __future__ import annotations
@@ -15,8 +17,10 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Words that a worker remembers.
-CACHE = 200_000
+from .common import LOWER, ragged, span_hashes
+
+#: Pieces that a worker remembers, and pieces that go to the library at once.
+CACHE, TOGETHER = 1_000_000, 2000
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -42,52 +46,100 @@ def library(path: str):
     return Tokenizer.from_file(path)
 
 
-@lru_cache(maxsize=2)
-def _cache(path: str) -> dict[bytes, np.ndarray]:
-    return {}
+class _Cache:
+    """Sorted piece hashes with the places of their ids."""
+
+    def __init__(self):
+        self.clear()
 
+    def clear(self) -> None:
+        self.key, self.start, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
 
-def _learn(path: str, words: list[bytes], known: dict) -> None:
-    for at in range(0, len(words), 4096):
-        part = words[at : at + 4096]
-        for w, e in zip(part, library(path).encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, np.uint32)
+    def missing(self, keys: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.key, keys), max(len(self.key) - 1, 0))
+        return np.flatnonzero(self.key[at] != keys) if len(self.key) else np.arange(len(keys))
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, length: np.ndarray) -> None:
+        at = np.searchsorted(self.key, keys)
+        self.key = np.insert(self.key, at, keys)
+        self.start = np.insert(self.start, at, np.cumsum(length) - length + len(self.ids))
+        self.length = np.insert(self.length, at, length)
+        self.ids = np.concatenate((self.ids, ids))
+
+
+@lru_cache(maxsize=2)
+def _cache(path: str) -> _Cache:
+    return _Cache()
+
+
+#: Classes of bytes: 0 white space, 1 letters, 2 digits, 3 punctuation, 4 others, which are never cut off.
+_CLASS = np.full(256, 4, np.uint8)
+_CLASS[list(b" \t\n\v\f\r")] = 0
+_CLASS[0x61:0x7B] = _CLASS[0x41:0x5B] = 1
+_CLASS[0x30:0x3A] = 2
+_CLASS[[b for b in range(0x21, 0x7F) if _CLASS[b] == 4 and b != 0x27]] = 3
+#: Whether a piece begins between two classes (row: before, column: after).
+_CUT = np.zeros((5, 5), bool)
+_CUT[0, 1:] = True
+_CUT[1:4, 1:4] = ~np.eye(3, dtype=bool)
+
+
+def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    kind = _CLASS[data]
+    begins = np.empty(len(data), bool)
+    begins[1:] = _CUT[kind[:-1], kind[1:]]
+    firsts = offsets[:-1][offsets[:-1] < offsets[1:]]
+    begins[firsts] = kind[firsts] != 0
+    stops = kind != 0
+    stops[:-1] &= begins[1:] | (kind[1:] == 0)
+    stops[firsts[firsts > 0] - 1] = kind[firsts[firsts > 0] - 1] != 0
+    return np.flatnonzero(begins), np.flatnonzero(stops) + 1
+
+
+def _library_ids(path: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words joined, and how many each has."""
+    tool = library(path)
+    end = tool.token_to_id("<|endoftext|>")
+    texts = ["<|endoftext|>".join(words[at : at + TOGETHER]) for at in range(0, len(words), TOGETHER)]
+    found = [np.array([*e.ids, end], np.uint32) for e in tool.encode_batch_fast(texts, add_special_tokens=False)]
+    ids = np.concatenate(found)
+    stops = np.flatnonzero(ids == end)
+    return ids[ids != end], np.diff(np.concatenate(([-1], stops))) - 1
 
 
 def encode(path: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the chunk's documents joined, and how many each document has."""
-    raw = data.tobytes()
-    cache = _cache(path)
-    split, whole = [], {}
-    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-        if raw.find(b"<|", a, b) < 0:
-            split.append(raw[a:b].lower().split())
-        else:
-            whole[i] = np.array(library(path).encode(raw[a:b].decode(), add_special_tokens=False).ids, np.uint32)
-            split.append([])
-    words = [w for doc in split for w in doc]
-    distinct = set(words)
-    if len(cache) + len(distinct) > CACHE:
-        for w in [w for w in cache if w not in distinct]:
-            del cache[w]
-    new = [w for w in distinct if w not in cache]
-    _learn(path, new, cache)
-    number = {w: i for i, w in enumerate(distinct)}
-    parts = [cache[w] for w in number]
-    length = np.fromiter(map(len, parts), np.int64, len(parts))
-    joined = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-    start = np.cumsum(length) - length
-    at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-    from .common import ragged
-
-    ids = joined[ragged(start[at], length[at])]
-    bounds = np.concatenate(([0], np.cumsum([len(d) for d in split]))).astype(np.int64)
-    ends = np.concatenate(([0], np.cumsum(length[at])))
-    counts = ends[bounds[1:]] - ends[bounds[:-1]]
+    data = np.ascontiguousarray(data)
+    raw, n_docs = data.tobytes(), len(offsets) - 1
+    special = raw.find(b"<|") >= 0
+    whole = [i for i in range(n_docs) if raw.find(b"<|", offsets[i], offsets[i + 1]) >= 0] if special else []
+    counts, ids = np.zeros(n_docs, np.int64), np.zeros(0, np.uint32)
+    if len(data):
+        low = LOWER[data]
+        starts, ends = _pieces(low, offsets)
+        h = span_hashes(low, starts, ends)
+        distinct, first, number = np.unique(h, return_index=True, return_inverse=True)
+        cache = _cache(path)
+        new = cache.missing(distinct)
+        if len(new):
+            if len(cache.key) + len(new) > CACHE:
+                cache.clear()
+                new = np.arange(len(distinct))
+            text = low.tobytes()
+            words = [text[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
+            cache.add(distinct[new], *_library_ids(path, words))
+        at = np.searchsorted(cache.key, distinct)[number]
+        length = cache.length[at]
+        ids = cache.ids[ragged(cache.start[at], length)]
+        total = np.concatenate(([0], np.cumsum(length)))
+        bounds = total[np.searchsorted(starts, offsets)]
+        counts = np.diff(bounds)
     if whole:
         pieces = np.split(ids, np.cumsum(counts)[:-1])
-        for i, x in whole.items():
-            pieces[i], counts[i] = x, len(x)
+        for i in whole:
+            pieces[i] = np.array(library(path).encode(raw[offsets[i] : offsets[i + 1]].decode(), add_special_tokens=False).ids, np.uint32)
+            counts[i] = len(pieces[i])
         ids = np.concatenate(pieces)
     return ids, counts
 
