@@ -9,7 +9,7 @@ these are broadcast to score all documents in one pass without a shuffle.
 
 Null and empty texts have no features and get the score of the bias alone. Null labels and
 null ids train nothing; conflicting labels of an id count as toxic. Without any usable label
-the score is 0 for all. Repeated rows are scored alike, each for itself.
+the score of all is under 1e-300. Repeated rows are scored alike, each for itself.
 """
 
 from __future__ import annotations
