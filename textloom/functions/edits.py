@@ -575,7 +575,8 @@ NAMES = sorted({*KERNELS, *NATIVE})
 
 
 def similarity(name: str, src: Column, tar: Column) -> Column:
-    return NATIVE[name](src, tar) if name in NATIVE else kernel(name)(src, tar)
+    """Null on either side gives null."""
+    return F.when(src.isNotNull() & tar.isNotNull(), NATIVE[name](src, tar)) if name in NATIVE else kernel(name)(src, tar)
 
 
 def query(name: str):

@@ -248,10 +248,10 @@ NAMES = sorted({*SIM, *DIST, *SELF})
 
 
 def q_grams(c: Column, q: int = 2, start: str = "$", stop: str = "#") -> Column:
-    """Padded q-grams of a string column; the empty string has none."""
+    """Padded q-grams of a string column; the empty string has none, null gives null."""
     padded = F.concat(F.lit(start * (q - 1)), c, F.lit(stop * (q - 1)))
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - q + 1)), lambda i: F.substring(padded, i, F.lit(q)))
-    return F.when((F.length(c) == 0) | (F.length(padded) < q), F.array().cast("array<string>")).otherwise(grams)
+    return F.when(c.isNotNull(), F.when((F.length(c) == 0) | (F.length(padded) < q), F.array().cast("array<string>")).otherwise(grams))
 
 
 def tokens(c: Column, kind: str = "padded") -> Column:

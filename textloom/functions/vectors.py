@@ -20,7 +20,7 @@ SIM: dict[str, str] = {
     "bhattacharyya": both("1 - SUM[sqrt(x*y)]/sqrt(p*q)").replace("then 0e0", "then 1e0"),
     "brainerd_robinson": "1 - SUM[abs(x/greatest(p, 1e0) - y/greatest(q, 1e0))]/2",
     "chord": f"1 - round(sqrt(SUM[power(x/greatest(sqrt({XX}), 1e0) - y/greatest(sqrt({YY}), 1e0), 2)])/sqrt(2e0), 15)",
-    "clark": same("1 - sqrt(SUM[power((x - y)/(x + y), 2)]/LEN)"),
+    "clark": same("1 - sqrt(SUM[power((x - y)/nullif(x + y, 0e0), 2)]/LEN)"),
     "euclidean": same(f"1 - sqrt(SUM[power(x - y, 2)])/nullif(sqrt(SUM[power(x + y, 2)]), 0e0)"),
     "fidelity": both("power(SUM[sqrt(x*y)], 2)/(p*q)"),
     "hassanat": same("1 - SUM[1 - (1 + least(x, y))/(1 + greatest(x, y))]/LEN"),
@@ -34,13 +34,13 @@ SIM: dict[str, str] = {
     "quantitative_cosine": same(both(f"{XY}/(sqrt({XX})*sqrt({YY}))")),
     "quantitative_dice": same(f"2*{XY}/nullif({XX} + {YY}, 0e0)"),
     "quantitative_jaccard": same(f"{XY}/nullif({XX} + {YY} - {XY}, 0e0)"),
-    "roberts": same("SUM[(x + y)*least(x, y)/greatest(x, y)]/nullif(SUM[x + y], 0e0)"),
+    "roberts": same("SUM[(x + y)*least(x, y)/nullif(greatest(x, y), 0e0)]/nullif(SUM[x + y], 0e0)"),
     "shape": same("1 - (SUM[power(x - y, 2)]/n - power(SUM[abs(x - y)]/n, 2))"),
     "whittaker": "round(1 - SUM[abs(x/greatest(p, 1e0) - y/greatest(q, 1e0))]/2, 14)",
 }
 #: Scores of measures that have no similarity between 0 and 1.
 SCORE: dict[str, str] = {
-    "millar": "greatest(0e0, SUM[((case when x > 0 then x*ln(x/(x + y)) else 0e0 end) + (case when y > 0 then y*ln(y/(x + y)) else 0e0 end) + (x + y)*ln(2e0))/(x + y)])",
+    "millar": "greatest(0e0, SUM[((case when x > 0 then x*ln(x/nullif(x + y, 0e0)) else 0e0 end) + (case when y > 0 then y*ln(y/nullif(x + y, 0e0)) else 0e0 end) + (x + y)*ln(2e0))/nullif(x + y, 0e0)])",
     "morisita": both("2*SUM[x*y]/nullif(p*q*(SUM[x*(x - 1)]/nullif(p*(p - 1), 0e0) + SUM[y*(y - 1)]/nullif(q*(q - 1), 0e0)), 0e0)"),
 }
 NAMES = sorted({*SIM, *SCORE})

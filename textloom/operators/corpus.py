@@ -39,6 +39,9 @@ def n_grams(documents: DataFrame, n: int = 2, text_col: str = "text", sentence_s
     """(ngram, count): word n-grams of sentences with _START_ and _END_ around them."""
     found = F.regexp_extract_all("sentence", F.lit(r"(\S+)"), 1)
     padded = F.concat(F.array(F.lit("_START_")), found, F.array(F.lit("_END_")))
-    grams = F.when(F.size(padded) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(padded) - (n - 1))), lambda i: F.array_join(F.slice(padded, i, n), " ")))
+    # The outer transform binds the words once; the inner one would otherwise match them anew for every n-gram.
+    slices = F.transform(F.array(padded), lambda p: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(p) - (n - 1))), lambda i: F.array_join(F.slice(p, i, n), " ")))
+    grams = F.flatten(F.filter(slices, lambda g: F.size(g) > 0))
     sentences = documents.select(F.explode(F.split(text_col, sentence_split)).alias("sentence"))
-    return sentences.select(F.explode(grams).alias("ngram")).groupBy("ngram").agg(F.count("*").alias("count"))
+    found = sentences.select(F.explode(grams).alias("ngram")).where(F.size(F.split("ngram", " ")) == n)
+    return found.groupBy("ngram").agg(F.count("*").alias("count"))
