@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 DELTA, PROD, DEV = "(a*d - b*c)", "(p*q*r*s)", "(a - p*q/n)"
 CHI = f"(n*{DELTA}*{DELTA}/{PROD})"
+_MOST_CHI = "(case when a*d >= b*c then p*s*n/(q*r) when a <= d then p*q*n/(s*r) else s*r*n/(p*q) end)"
+_LEAST_CHI = f"(n*n*n*power(p*q/n - (case when a*d < b*c then floor(p*q/n) else ceil(p*q/n) end), 2)/{PROD})"
 SIGMA = "(greatest(a,b) + greatest(c,d) + greatest(a,c) + greatest(b,d))"
 OUTER = "(greatest(q,s) + greatest(p,r))"
 MARGINS = "(greatest(1e0,p)*greatest(1e0,q)*greatest(1e0,r)*greatest(1e0,s))"
@@ -183,6 +185,7 @@ SIM: dict[str, str] = {
 }
 SIM["kuhns_x"] = corr(f"case when a = n then 1e0 when {DEV} = 0 then 0e0 else {clamp(f'round(n*{DEV}/nullif(a*d + b*c, 0e0), 15)')} end")
 SIM["tulloss_t"] = f"sqrt(({SIM['tulloss_r']})*({SIM['tulloss_s']})*({SIM['tulloss_u']}))"
+SIM["hurlbert"] = same(f"case when p = 0 or q = 0 then 0e0 else {corr(f'(case when {DELTA} = 0 then 0e0 else sign({DELTA})*sqrt(abs(({CHI} - {_LEAST_CHI})/nullif({_MOST_CHI} - {_LEAST_CHI}, 0e0))) end)')} end")
 #: Expressions of the distance; the similarity is one less it.
 DIST: dict[str, str] = {
     "batagelj_bren": same("case when a = 0 or d = 0 then 1e0 else b*c/(a*d)/n end", "0e0"),
@@ -215,6 +218,7 @@ SELF: dict[str, str] = {
     "fossum": "(n*power(a - 0.5e0, 2)/(greatest(1e0,p)*greatest(1e0,q)))",
     "unknown_j": "(a*(a + b + c + greatest(1e0,d))/nullif(p*(c + greatest(1e0,d)), 0e0))",
     "unigram_subtuple": "greatest(0e0, ln(greatest(1e0,a)*greatest(1e0,d)/(greatest(1e0,b)*greatest(1e0,c))) - 3.29e0*sqrt(1/greatest(1e0,a) + 1/greatest(1e0,b) + 1/greatest(1e0,c) + 1/greatest(1e0,d)))",
+    "dunning": "abs(round(2/ln(2e0)*((" + " + ".join(f"(case when {x} > 0 then {x}/n*ln(nullif({x}/n, 0e0)) else 0e0 end)" for x in "abcd") + ") - (" + " + ".join(f"(case when {x} > 0 then {x}/n*ln(nullif({x}/n, 0e0)) else 0e0 end)" for x in "pqrs") + ")), 15))",
     "yates_chi_squared": f"greatest(0e0, n*power(abs({DELTA}) - n/2, 2)/{MARGINS})",
 }
 SIM["mutual_information"] = "case when (1 + a*n) = (1 + p*q) then 0e0 else (1 + ln((1 + a*n)/(1 + p*q))/greatest({x}, {y}))/2 end"

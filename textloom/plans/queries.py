@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import codes, edits, evaluation, means, measures, tokenizers, vectors
+from ..functions import codes, edits, evaluation, means, measures, rewrites, tokenizers, vectors
 from ..operators import corpus, matching
 
 
@@ -94,6 +94,7 @@ QUERIES = {
     **{f"sim_{n}": vectors.query(n) for n in vectors.NAMES},
     **{f"sim_{n}": edits.query(n) for n in edits.NAMES},
     **{f"code_{n}": codes.query(n) for n in codes.NAMES},
+    **{f"code_{n}": rewrites.query(n) for n in rewrites.NAMES},
     "confusion_metrics": evaluation.query,
     "means": all_means,
     "tokens_character": tokens_query(tokenizers.character),
@@ -119,6 +120,7 @@ SQL = {
     **{f"sim_{n}": vectors.sql(n) for n in vectors.NAMES},
     **{f"sim_{n}": edits.sql(n) for n in edits.SQL},
     **{f"code_{n}": codes.sql(n) for n in codes.NAMES},
+    **{f"code_{n}": rewrites.sql(n) for n in rewrites.SQL},
     "confusion_metrics": evaluation.SQL,
     "means": f"with t as (select l_orderkey, l_linenumber, {_X} as x from lineitem) select l_orderkey, l_linenumber, " + ", ".join(f"round({MEANS_SQL[n]}, 6) as {n}" for n in MEANS) + " from t",
     "tokens_character": _tokens_sql("list_transform(range(1, length(text) + 1), lambda i: substr(text, i, 1))"),
