@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 DELTA, PROD, DEV = "(a*d - b*c)", "(p*q*r*s)", "(a - p*q/n)"
 CHI = f"(n*{DELTA}*{DELTA}/{PROD})"
 _MOST_CHI = "(case when a*d >= b*c then p*s*n/(q*r) when a <= d then p*q*n/(s*r) else s*r*n/(p*q) end)"
-_LEAST_CHI = f"(n*n*n*power(p*q/n - (case when a*d < b*c then floor(p*q/n) else ceil(p*q/n) end), 2)/{PROD})"
+_LEAST_CHI = f"(n*n*n*power(p*q/n - (case when a*d < b*c then ceil(p*q/n) else floor(p*q/n) end), 2)/{PROD})"
 SIGMA = "(greatest(a,b) + greatest(c,d) + greatest(a,c) + greatest(b,d))"
 OUTER = "(greatest(q,s) + greatest(p,r))"
 MARGINS = "(greatest(1e0,p)*greatest(1e0,q)*greatest(1e0,r)*greatest(1e0,s))"
@@ -211,6 +211,13 @@ DIST: dict[str, str] = {
     "bag": same("greatest(b,c)/nullif(greatest(p,q), 0e0)", "0e0"),
     "q_gram": same("(b + c)/nullif(a + b + c, 0e0)", "0e0"),
 }
+#: Scores without a bound, for which there is no similarity between 0 and 1.
+SCORE: dict[str, str] = {
+    "kulczynski_i": "case when a = 0 then 0e0 when b + c = 0 then cast('Infinity' as double) else a/nullif(b + c, 0e0) end",
+    "sokal_sneath_iii": "case when b + c = 0 then cast('Infinity' as double) else (a + d)/nullif(b + c, 0e0) end",
+    "unknown_f": same(both("least(1e0, 1 + ln(case when a = 0 then 1e0 else a/n end) - (ln(nullif(p, 0e0)/n) + ln(nullif(q, 0e0)/n))/2)")),
+    "tanimoto": "case when same then 0e0 when a = 0 then cast('-Infinity' as double) else ln(a/nullif(a + b + c, 0e0))/ln(2e0) end",
+}
 #: Scores that are divided by the larger score of a string with itself.
 SELF: dict[str, str] = {
     "azzoo": "(a + 0.5e0*d)",
@@ -245,10 +252,10 @@ def similarity(name: str) -> str:
         return same(f"({SELF[name]})/(case when greatest({x}, {y}) = 0 then 1e0 else greatest({x}, {y}) end)")
     if name in _OWN:
         return SIM[name].format(x=with_self(_OWN[name], "x"), y=with_self(_OWN[name], "y"))
-    return SIM[name]
+    return SCORE[name] if name in SCORE else SIM[name]
 
 
-NAMES = sorted({*SIM, *DIST, *SELF})
+NAMES = sorted({*SIM, *DIST, *SELF, *SCORE})
 
 
 def q_grams(c: Column, q: int = 2, start: str = "$", stop: str = "#") -> Column:

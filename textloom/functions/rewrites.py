@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import codes
+from . import codes, edits, measures
 
 # The rules of Caverphone 2, in order.
 _CAVERPHONE = [
@@ -162,8 +162,61 @@ def porter(word: str) -> str:
     return word[:-1] if word.endswith("ll") and _measure(word) > 1 else word
 
 
-KERNELS = {"nysiis": nysiis, "onca": onca, "porter": porter}
-COLUMNS = {"caverphone": caverphone, "koelner": koelner, "phonem": phonem}
+# Fixed value: letters from the commonest on.
+_COMMONEST = "ETAONRISHDLFCMUGYPWBVKXJQZ"
+
+
+def extract(word: str) -> str:
+    """The commonest letters go, from the end on, until four letters are left."""
+    word = word.upper()
+    for x in _COMMONEST:
+        while len(word) > 4 and x in word:
+            at = word.rindex(x)
+            word = word[:at] + word[at + 1 :]
+    return word
+
+
+def run_length_decoded(code_: str) -> str:
+    """The inverse of edits.run_length for texts without digits."""
+    return re.sub(r"(\d+)(\D)", lambda m: int(m[1]) * m[2], code_)
+
+
+def burrows_wheeler_decoded(code_: str, end: str = "\0") -> str:
+    """The inverse of edits.burrows_wheeler."""
+    if code_.count(end) != 1:
+        raise ValueError("the end mark must occur once")
+    order = sorted(range(len(code_)), key=lambda i: (code_[i], i))
+    out, at = [], order[code_.index(end)]
+    for _ in range(len(code_) - 1):
+        out.append(code_[at])
+        at = order[at]
+    return "".join(out)
+
+
+def string_fingerprint(c: Column, joiner: str = " ") -> Column:
+    """Words of letters and digits, lower-cased and folded, sorted, each once."""
+    kept = F.regexp_replace(F.translate(F.lower(F.trim(c)), *codes.ACCENTS), r"[^\p{L}\p{N}\s]", "")
+    return F.array_join(F.array_sort(F.array_distinct(F.filter(F.split(kept, r"\s+"), lambda w: w != ""))), joiner)
+
+
+def q_gram_fingerprint(c: Column, q: int = 2, joiner: str = "") -> Column:
+    """Distinct q-grams of the letters and digits, sorted."""
+    kept = F.regexp_replace(F.translate(F.lower(c), *codes.ACCENTS), r"[^\p{L}\p{N}]", "")
+    return F.array_join(F.array_sort(F.array_distinct(measures.q_grams(kept, q, "", ""))), joiner)
+
+
+def phonetic_fingerprint(c: Column, encoder: str = "nysiis", joiner: str = " ") -> Column:
+    """Codes of the distinct words, sorted; one UDF call for a text."""
+    fn = KERNELS[encoder]
+
+    def batch(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else joiner.join(sorted({fn(w) for w in t.split()})))
+
+    return F.pandas_udf(batch, "string")(c)
+
+
+KERNELS = {"nysiis": nysiis, "onca": onca, "porter": porter, "fp_extract": extract, "fp_bwtf": lambda w: edits.burrows_wheeler(w), "fp_bwtrlef": lambda w: edits.run_length(edits.burrows_wheeler(w)), "rle": edits.run_length}
+COLUMNS = {"caverphone": caverphone, "koelner": koelner, "phonem": phonem, "fp_string": string_fingerprint, "fp_q_gram": q_gram_fingerprint}
 NAMES = sorted({*KERNELS, *COLUMNS})
 
 
@@ -188,11 +241,18 @@ def query(name: str):
 
 
 def sql(name: str) -> str:
-    """Caverphone's rules in SQL; the others need what DuckDB's patterns lack."""
+    """The SQL of codes that need nothing DuckDB's patterns lack; the words are ASCII letters."""
+    if name == "fp_string":
+        return f"with {codes.WORDS_SQL} select word, lower(word) as code from words"
+    if name == "fp_q_gram":
+        return f"with {codes.WORDS_SQL} select word, array_to_string(list_sort(list_distinct([substr(lower(word), i, 2) for i in range(1, length(word))])), '') as code from words"
+    if name == "fp_bwtf":
+        turns = "list_sort([substr(word || chr(0), i, length(word) + 1) || substr(word, 1, i - 1) for i in range(1, length(word) + 2)])"
+        return f"with {codes.WORDS_SQL} select word, array_to_string([right(t, 1) for t in {turns}], '') as code from words"
     text = "lower(word)"
     for pattern, new in _CAVERPHONE:
         text = f"regexp_replace({text}, '{pattern}', '{new.replace('$1', chr(92) + '1')}', 'g')"
     return f"with {codes.WORDS_SQL} select word, rpad({text}, 10, '1') as code from words"
 
 
-SQL = ["caverphone"]
+SQL = ["caverphone", "fp_string", "fp_q_gram", "fp_bwtf"]
