@@ -45,6 +45,7 @@ COUNTS = dict(x.split("=") for x in (
     "quantitative_jaccard=0.3333333333 roberts=0.5 shape=0.9924055081 whittaker=0.5 "
 ).split())
 EDITS = dict(x.split("=") for x in (
+    "bisim=0.6 tf_idf=0.304044497 soft_tf_idf=0.304044497 "
     "average_linkage=0.1388888889 bleu=0.6223329773 complete_linkage=0.0 fuzzywuzzy_partial_string=0.6 fuzzywuzzy_token_set=0.6666666667 "
     "fuzzywuzzy_token_sort=0.6 gilbert_wells=0.3776594411 henderson_heron=0.99999505796398 higuera_mico=0.6 indel=0.6 iterative_substring=0.1 lcprefix=0.4 "
     "lcsuffix=0.2 marking=0.6 marking_metric=0.3868528072 positional_q_gram_dice=0.5 positional_q_gram_jaccard=0.3333333333 positional_q_gram_overlap=0.5 "

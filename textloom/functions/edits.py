@@ -429,6 +429,40 @@ def soft_cosine(a: str, b: str) -> float:
     return product(x, y) / math.sqrt(product(x, x) * product(y, y))
 
 
+def bisim(a: str, b: str) -> float:
+    """Alignment of bigrams that count half for each equal letter in its place."""
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    x, y = grams(a[0].swapcase() + a, 2, ""), grams(b[0].swapcase() + b, 2, "")
+    row = [0.0] * (len(y) + 1)
+    for g in x:
+        last, row = row, [0.0]
+        for j, h in enumerate(y):
+            row.append(max(row[-1], last[j + 1], last[j] + (g[0] == h[0]) / 2 + (g[1] == h[1]) / 2))
+    return row[-1] / max(len(a), len(b))
+
+
+def tf_idf(a: str, b: str, soft: bool = False, threshold: float = 0.9) -> float:
+    """Cosine of log1p(tf) * log1p(3 / df) weights, the two strings being the corpus; if soft, other tokens match their nearest."""
+    if a == b:
+        return 1.0
+    x, y = Counter(grams(a)), Counter(grams(b))
+    if not x or not y:
+        return 0.0
+    u, v = ({t: math.log1p(n) * math.log1p(3 / ((t in x) + (t in y))) for t, n in z.items()} for z in (x, y))
+    total = sum(u[t] * v[t] for t in x.keys() & y.keys())
+    if soft:
+        near = sorted((-s, p, q) for p in x.keys() - y.keys() for q in y.keys() - x.keys() if (s := jaro_winkler(p, q)) > threshold)
+        used: set[tuple[int, str]] = set()
+        for s, p, q in near:
+            if (0, p) not in used and (1, q) not in used:
+                used |= {(0, p), (1, q)}
+                total -= s * u[p] * v[q]
+    return total / math.sqrt(sum(w * w for w in u.values()) * sum(w * w for w in v.values()))
+
+
 def _cells(a: str, b: str) -> tuple[int, ...]:
     x, y = Counter(grams(a)), Counter(grams(b))
     both = sum((x & y).values())
@@ -504,6 +538,7 @@ KERNELS = {
     "marking": marking, "marking_metric": marking_metric, "tichy": tichy, "iterative_substring": iterative_substring, "higuera_mico": higuera_mico, "lig3": lig3, "mlipns": mlipns,
     "ratcliff_obershelp": ratcliff_obershelp, "fuzzywuzzy_partial_string": fuzzywuzzy_partial_string, "fuzzywuzzy_token_sort": fuzzywuzzy_token_sort, "fuzzywuzzy_token_set": fuzzywuzzy_token_set,
     "average_linkage": linkage("average"), "complete_linkage": linkage("complete"), "single_linkage": linkage("single"), "monge_elkan": monge_elkan, "soft_cosine": soft_cosine,
+    "bisim": bisim, "tf_idf": tf_idf, "soft_tf_idf": lambda a, b: tf_idf(a, b, True),
     "henderson_heron": henderson_heron, "raup_crick": raup_crick, "gilbert_wells": gilbert_wells,
     "ncd_rle": compression(lambda s: len(run_length(s))), "ncd_bwtrle": compression(lambda s: len(run_length(burrows_wheeler(s)))), "ncd_bz2": compression(lambda s: len(bz2.compress(s.encode(), 9)) - 10),
     "ncd_lzma": compression(lambda s: len(lzma.compress(s.encode(), preset=6)) - 14), "ncd_zlib": compression(lambda s: len(zlib.compress(s.encode())), 2),
