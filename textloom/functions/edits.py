@@ -547,7 +547,11 @@ KERNELS = {
 
 def kernel(name: str):
     """The named kernel as an Arrow-vectorised UDF of two string columns."""
-    fn = KERNELS[name]
+    return vectorised(KERNELS[name])
+
+
+def vectorised(fn):
+    """A function of two strings as a UDF that computes each distinct pair of a batch once; null on either side gives null."""
 
     def batch(src: pd.Series, tar: pd.Series) -> pd.Series:
         known: dict[tuple[str, str], float] = {}

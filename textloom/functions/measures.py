@@ -210,6 +210,7 @@ DIST: dict[str, str] = {
     "yjhhr": same("round(b + c, 14)/nullif(a + b + c, 0e0)", "0e0"),
     "bag": same("greatest(b,c)/nullif(greatest(p,q), 0e0)", "0e0"),
     "q_gram": same("(b + c)/nullif(a + b + c, 0e0)", "0e0"),
+    "yule_q_ii": "case when b = 0 or c = 0 then 0e0 else b*c/(a*d + b*c) end",
 }
 #: Scores without a bound, for which there is no similarity between 0 and 1.
 SCORE: dict[str, str] = {
@@ -231,6 +232,10 @@ SELF: dict[str, str] = {
 SIM["mutual_information"] = "case when (1 + a*n) = (1 + p*q) then 0e0 else (1 + ln((1 + a*n)/(1 + p*q))/greatest({x}, {y}))/2 end"
 SIM["warrens_v"] = same(f"case when {DELTA} = 0 then 0e0 else (1 + {DELTA}/nullif(least(p*q, s*r), 0e0))/(1 + greatest({{x}}, {{y}})) end")
 _OWN = {"mutual_information": "(case when p = 0 then 1e0 else ln((1 + a*n)/(1 + p*q)) end)", "warrens_v": f"({DELTA}/nullif(least(p*q, s*r), 0e0))"}
+_A, _B, _C, _D = (f"greatest({x}, 1e-7)" for x in "abcd")
+_N = f"({_D} + {_A} + {_B} + {_C})"
+_OWN["stiles"] = f"(sign({_A}*{_N} - {_B}*{_C})*abs(log10({_N}*greatest(power(abs({_A}*{_N} - {_B}*{_C}) - {_N}/2, 2), 1e-7)/({_B}*({_N} - {_B})*{_C}*({_N} - {_C})))))"
+SIM["stiles"] = f"(1 + {_OWN['stiles']}/greatest({{x}}, {{y}}))/2"
 #: Tokens of measures that do not take padded pairs of characters.
 TOKENS = {"bag": "char", "q_gram": "bare"}
 #: Letters of the default alphabet and two stops, to the power of two.

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import codes, edits, measures
+from . import codes, edits, measures, stemmers
 
 # The rules of Caverphone 2, in order.
 _CAVERPHONE = [
@@ -215,7 +215,7 @@ def phonetic_fingerprint(c: Column, encoder: str = "nysiis", joiner: str = " ")
     return F.pandas_udf(batch, "string")(c)
 
 
-KERNELS = {"nysiis": nysiis, "onca": onca, "porter": porter, "fp_extract": extract, "fp_bwtf": lambda w: edits.burrows_wheeler(w), "fp_bwtrlef": lambda w: edits.run_length(edits.burrows_wheeler(w)), "rle": edits.run_length}
+KERNELS = {"nysiis": nysiis, "onca": onca, "porter": porter, "fp_extract": extract, "fp_bwtf": lambda w: edits.burrows_wheeler(w), "fp_bwtrlef": lambda w: edits.run_length(edits.burrows_wheeler(w)), "rle": edits.run_length, **stemmers.KERNELS}
 COLUMNS = {"caverphone": caverphone, "koelner": koelner, "phonem": phonem, "fp_string": string_fingerprint, "fp_q_gram": q_gram_fingerprint}
 NAMES = sorted({*KERNELS, *COLUMNS})
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import codes, edits, evaluation, means, measures, rewrites, tokenizers, vectors
+from ..functions import alignments, codes, edits, evaluation, means, measures, rewrites, tokenizers, vectors
 from ..operators import corpus, matching
 
 
@@ -98,6 +98,7 @@ QUERIES = {
     **{f"sim_{n}": measures.query(n) for n in measures.NAMES},
     **{f"sim_{n}": vectors.query(n) for n in vectors.NAMES},
     **{f"sim_{n}": edits.query(n) for n in edits.NAMES},
+    **{f"sim_{n}": alignments.query(n) for n in alignments.NAMES},
     **{f"code_{n}": codes.query(n) for n in codes.NAMES},
     **{f"code_{n}": rewrites.query(n) for n in rewrites.NAMES},
     "confusion_metrics": evaluation.query,
