@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from textloom.functions import alignments, codes, edits, evaluation, means, measures, rewrites, tokenizers, vectors
+from textloom.functions import alignments, arithmetic, codes, edits, evaluation, means, measures, rewrites, tokenizers, vectors
 from textloom.operators import corpus, matching
 from textloom.plans import queries as library
 
@@ -71,6 +71,28 @@ REWRITES = {
     "koelner": {"": "", "Müller-Lüdenscheidt": "65752682", "Wikipedia": "3412", "Breschnew": "17863", "schmidt": "862", "hoffmann": "0366"},
     "caverphone": {"": "1111111111", "Henrichsen": "ANRKSN1111", "Izchaki": "ASKKA11111", "Maclaverty": "MKLFTA1111"},
     "porter": {"caresses": "caress", "ponies": "poni", "agreed": "agre", "hopping": "hop", "filing": "file", "happy": "happi", "relational": "relat", "generalization": "gener", "oscillators": "oscil", "controll": "control"},
+    "double_metaphone": {"": ",", "aubrey": "APR,", "richard": "RXRT,RKRT", "Jose": "HS,", "Schmidt": "XMT,SMT", "Thumb": "0M,TM"},
+    "daitch_mokotoff": {"": "000000", "Augsburg": "054795", "Breuer": "791900", "Halberstadt": "587433,587943"},
+    "phonix": {"": "0000", "Müller": "M400", "schneider": "S530", "fischer": "F800"},
+    "sfinx_bis": {"": "", "af Sandeberg": "S53162", "av Ekenstam": "$25835", "Da Costa": "K83"},
+    "metaphone": {"": "", "...": "", "Xavier": "SFR", "Acacia": "AKX", "Schuler": "SKLR", "Sign": "SN"},
+    "phonex": {"": "0000", "Ewell": "A400", "Filp": "F100", "Kneves": "N100", "River": "R160"},
+    "fuzzy_soundex": {"": "00000", "Kristen": "K6935", "Christen": "K6935", "Hardt": "H6000"},
+    "haase": {"": "", "Häschen": "9896,9496", "Chemie": "4969,8969", "Brille": "17959,179"},
+    "roger_root": {"": "00000", "BROWNER": "09424", "STANLEY": "00125", "CHALMAN": "06532"},
+    "spanish_metaphone": {"": "", "X": "X", "xplosion": "EXPLSN", "scalera": "ESKLR"},
+    "pshp_last": {"": "0000", "JAMES": "J500", "PETER": "P350", "Smith": "S530"},
+    "pshp_first": {"": "0000", "JAMES": "J700", "PAT": "P700", "Giles": "J400"},
+    "reth_schek": {"": "", "Häschen": "HESCHEN", "Hexe": "HEXE", "Chemie": "GHEMI"},
+    "eudex": {"": "18374686479671623680", "guillaume": "288230383131034112", "hello": "144115188075896832"},
+    "dolby": {"": "", "Rune": "R*N", "Wassermanns": "W*SRMNS"},
+    "norphone": {"": "", "Århus": "ÅRHS", "Skyrim": "XRM", "Äthelwulf": "ÆTLVLF"},
+    "spfc": {"": "", "J KUHNS": "16760", "G. ALTSHULER": "35797", "alone": None},
+    "wahlin": {"": "", "kjol": "+OL", "stråken": "STRÅ+EN", "ljuden": "JUDEN"},
+    "phonic": {"": "0000", "Phillips": "P8590"},
+    "fp_lc_cutter": {"": "", "S": "S", "Cutter": "C88847", "Quiet": "Q548", "Schmidt": "S36538"},
+    "fp_extract_position_frequency": {"": "", "Wilkinson": "WKON"},
+    "fp_lacss": {"": "1732050", "Williams": "8312716"},
     "porter2": {"": "", "singing": "sing", "generously": "generous", "happy": "happi", "skies": "sky", "national": "nation", "relational": "relat"},
     "lancaster": {"": "", "maximum": "maxim", "presumably": "presum", "multiply": "multiply", "provision": "provid", "owed": "ow", "ear": "ear", "saying": "say"},
     "snowball_danish": {"": "", "undersøgelser": "undersøg", "indtagelse": "indtag"},
@@ -167,6 +189,18 @@ def test_codings_round_trip():
         rewrites.burrows_wheeler_decoded("abc")
 
 
+def test_arithmetic_round_trip():
+    ranges = arithmetic.train("the cat sat")
+    for text in ("", "cat", "the hat"):
+        assert arithmetic.decode(*arithmetic.encode(text, ranges), ranges) == text
+    assert arithmetic.similarity("Niall", "Neil") == pytest.approx(1 - 0.6875)
+
+
+def test_phonetic_similarity(pairs):
+    rows = pairs.select("id", *(rewrites.phonetic_similarity(F.col("src"), F.col("tar"), names, measure).alias(k) for k, names, measure in (("same", ("nysiis",), None), ("near", ("double_metaphone",), "levenshtein")))).orderBy("id").collect()
+    assert (rows[0].same, rows[4].same, rows[8].same) == (0, 1, None) and rows[0].near == pytest.approx(3 / 7)  # NJL,NKL and NL, are four edits apart
+
+
 def test_accents_fold(spark):
     rows = codes.with_code(spark.createDataFrame([("Müller",), ("Čapek",), (None,)], "word string"), "soundex").collect()
     assert [r.code for r in rows] == ["M460", "C120", None]

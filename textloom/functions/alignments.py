@@ -9,11 +9,12 @@ from __future__ import annotations
 import math
 from collections import Counter
 from itertools import groupby
+from unicodedata import normalize
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import edits, measures
+from . import arithmetic, edits, measures, phonetics
 
 
 def grid(a, b, drop, add, change, border=None) -> list[list[float]]:
@@ -37,7 +38,7 @@ _EDITEX = "AEIOUY BP CKQ DT LR MN GJ FPV SXZ".split()
 def editex(a: str, b: str) -> float:
     if a == b:
         return 1.0
-    x, y = edits_fold(a), edits_fold(b)
+    x, y = _folded(a), _folded(b)
 
     def differ(p: str, q: str) -> int:
         return 0 if p == q else 1 if any(p in g and q in g for g in _EDITEX) else 2
@@ -52,10 +53,8 @@ def editex(a: str, b: str) -> float:
     return 1 - total / (2 * max(len(a), len(b)))
 
 
-def edits_fold(s: str) -> str:
+def _folded(s: str) -> str:
     """Upper case, accents as marks of their own."""
-    from unicodedata import normalize
-
     return normalize("NFKD", s.upper())
 
 
@@ -397,8 +396,8 @@ def chebyshev(a: str, b: str) -> float:
 
 
 KERNELS = {
-    "baystat": baystat, "block_levenshtein": block_levenshtein, "chebyshev": chebyshev, "cormode_lz": cormode_lz, "discounted_levenshtein": discounted_levenshtein, "editex": editex, "fellegi_sunter": fellegi_sunter, "flex_metric": flex_metric,
-    "guth": guth, "isg": isg, "mra": match_rating, "ozbay": ozbay, "shapira_storer_i": shapira_storer, "sift4": sift4, "sift4_simplest": sift4_simplest, "ssk": ssk, "strcmp95": strcmp95, "typo": typo, "vps": positional_substrings,
+    "baystat": baystat, "block_levenshtein": block_levenshtein, "chebyshev": chebyshev, "cormode_lz": cormode_lz, "discounted_levenshtein": discounted_levenshtein, "editex": editex, "eudex": phonetics.eudex_similarity, "fellegi_sunter": fellegi_sunter, "flex_metric": flex_metric,
+    "guth": guth, "isg": isg, "mra": match_rating, "ncd_arith": arithmetic.similarity, "ozbay": ozbay, "shapira_storer_i": shapira_storer, "sift4": sift4, "sift4_simplest": sift4_simplest, "ssk": ssk, "strcmp95": strcmp95, "typo": typo, "vps": positional_substrings,
 }
 NAMES = sorted(KERNELS)
 

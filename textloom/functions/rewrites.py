@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import codes, edits, measures, stemmers
+from . import codes, edits, measures, metaphones, phonetics, stemmers
 
 # The rules of Caverphone 2, in order.
 _CAVERPHONE = [
@@ -215,7 +215,7 @@ def phonetic_fingerprint(c: Column, encoder: str = "nysiis", joiner: str = " ")
     return F.pandas_udf(batch, "string")(c)
 
 
-KERNELS = {"nysiis": nysiis, "onca": onca, "porter": porter, "fp_extract": extract, "fp_bwtf": lambda w: edits.burrows_wheeler(w), "fp_bwtrlef": lambda w: edits.run_length(edits.burrows_wheeler(w)), "rle": edits.run_length, **stemmers.KERNELS}
+KERNELS = {"nysiis": nysiis, "onca": onca, "porter": porter, "fp_extract": extract, "fp_bwtf": lambda w: edits.burrows_wheeler(w), "fp_bwtrlef": lambda w: edits.run_length(edits.burrows_wheeler(w)), "rle": edits.run_length, "double_metaphone": metaphones.double_metaphone, **stemmers.KERNELS, **phonetics.KERNELS}
 COLUMNS = {"caverphone": caverphone, "koelner": koelner, "phonem": phonem, "fp_string": string_fingerprint, "fp_q_gram": q_gram_fingerprint}
 NAMES = sorted({*KERNELS, *COLUMNS})
 
@@ -233,6 +233,13 @@ def code(name: str, c: Column) -> Column:
     return F.pandas_udf(batch, "string")(c)
 
 
+def phonetic_similarity(src: Column, tar: Column, transforms: tuple[str, ...] = ("nysiis",), measure: str | None = None) -> Column:
+    """The named measure of both strings' codes, one transform after the other; without a measure, whether the codes are equal."""
+    for name in transforms:
+        src, tar = code(name, src), code(name, tar)
+    return edits.similarity(measure or "ident", src, tar)
+
+
 def query(name: str):
     def run(spark, sf_dir: str) -> DataFrame:
         return codes.words_of_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("code", code(name, F.col("word")))

@@ -67,6 +67,17 @@ def collisions(spark, sf_dir: str) -> DataFrame:
     return matching.key_collisions(_table(spark, sf_dir, "part").select(F.col("p_name").alias("text")), rewrites.q_gram_fingerprint(F.substring("text", 1, 4)))
 
 
+def full_name_codes(spark, sf_dir: str) -> DataFrame:
+    """Codes of names of two words."""
+    return _names(spark, sf_dir).select(F.col("text").alias("word"), rewrites.code("spfc", F.col("text")).alias("code"))
+
+
+def phonetic_names(spark, sf_dir: str) -> DataFrame:
+    """How near the phonetic codes of neighbouring part names are."""
+    pairs = measures.pairs_of_parts(_table(spark, sf_dir, "part"))
+    return pairs.select("id", "src", "tar", F.round(rewrites.phonetic_similarity(F.col("src"), F.col("tar"), ("double_metaphone",), "levenshtein"), 9).alias("sim"))
+
+
 def q_gram_join(spark, sf_dir: str) -> DataFrame:
     names = _table(spark, sf_dir, "part").select(F.col("p_name").alias("text"))
     return matching.q_gram_join(names, names, 0.6).where("src < tar").select("src", "tar", F.round("sim", 9).alias("sim"))
@@ -101,6 +112,8 @@ QUERIES = {
     **{f"sim_{n}": alignments.query(n) for n in alignments.NAMES},
     **{f"code_{n}": codes.query(n) for n in codes.NAMES},
     **{f"code_{n}": rewrites.query(n) for n in rewrites.NAMES},
+    "code_spfc": full_name_codes,
+    "sim_phonetic": phonetic_names,
     "confusion_metrics": evaluation.query,
     "means": all_means,
     "tokens_character": tokens_query(tokenizers.character),
