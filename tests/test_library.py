@@ -73,6 +73,11 @@ REWRITES = {
     "porter": {"caresses": "caress", "ponies": "poni", "agreed": "agre", "hopping": "hop", "filing": "file", "happy": "happi", "relational": "relat", "generalization": "gener", "oscillators": "oscil", "controll": "control"},
     "double_metaphone": {"": ",", "aubrey": "APR,", "richard": "RXRT,RKRT", "Jose": "HS,", "Schmidt": "XMT,SMT", "Thumb": "0M,TM"},
     "daitch_mokotoff": {"": "000000", "Augsburg": "054795", "Breuer": "791900", "Halberstadt": "587433,587943"},
+    "alpha_sis": {"": "0" * 14, "Rodgers": "04740000000000", "Kant": "07210000000000,06210000000000"},
+    "henry_early": {"": "", "Descarry": "DKR", "Campo": "KP"},
+    "soundex_census": {"": "0000", "Vandeusen": "V532,D250", "la Cruz": "L262,C620", "McDonald": "M235"},
+    "soundex_special": {"Ashcroft": "A226", "Rupert": "R163"},
+    "soundex_reverse": {"Rubin": "N160", "Knuth": "H352"},
     "phonix": {"": "0000", "Müller": "M400", "schneider": "S530", "fischer": "F800"},
     "sfinx_bis": {"": "", "af Sandeberg": "S53162", "av Ekenstam": "$25835", "Da Costa": "K83"},
     "metaphone": {"": "", "...": "", "Xavier": "SFR", "Acacia": "AKX", "Schuler": "SKLR", "Sign": "SN"},
@@ -149,7 +154,8 @@ def test_known_distances():
 ALIGNED = [
     (alignments.editex, "nelson", "neilsen", 12 / 14), (alignments.match_rating, "Catherine", "Kathryn", 4 / 6), (alignments.match_rating, "abcdefik", "abcdefgh", 0.5), (alignments.ozbay, "ban", "bandage", 1 - 0.126984126984127),
     (alignments.ozbay, "piccadilly", "bandage", 1 - 0.9467532467532467), (alignments.sift4, "sturgeon", "urgently", 0.625), (alignments.sift4, "levenshtein", "frankenstein", 0.5), (alignments.discounted_levenshtein, "Nigel", "Niall", 1 - 0.3729338516783247),
-    (alignments.baystat, "LIESKOVSKY", "LIESZKOVSZKY", 10 / 12), (alignments.baystat, "JOHANNES", "HANS", 0.375), (alignments.guth, "Bokenham", "Buckingham", 0.65), (alignments.strcmp95, "DIXON", "DICKSONX", 0.839333333),
+    (alignments.rees_levenshtein, "Nigel", "Niall", 0.6), (alignments.saps, "Nigel", "Niall", 0.0666666667), (alignments.saps, "", "", 0), (alignments.minhash, "abcd", "efgh", 0.6), (alignments.meta_levenshtein, "Nigel", "Niall", 0.6922198686),
+    (alignments.meta_levenshtein, "abcd", "efgh", 0.15360463852869422), (alignments.cao, "abcd", "efgh", 0), (alignments.inclusion, "abc", "", 0), (alignments.baystat, "LIESKOVSKY", "LIESZKOVSZKY", 10 / 12), (alignments.baystat, "JOHANNES", "HANS", 0.375), (alignments.guth, "Bokenham", "Buckingham", 0.65), (alignments.strcmp95, "DIXON", "DICKSONX", 0.839333333),
     (alignments.cormode_lz, "Nigel", "Niall", 0.4), (alignments.block_levenshtein, "Nigel", "Niall", 0.6), (alignments.flex_metric, "Nigel", "Niall", 0.7), (alignments.shapira_storer, "Colin", "Coiln", 0.9),
     (alignments.fellegi_sunter, "Nigel", "Niall", 0.270318312), (alignments.ssk, "Nigel", "Niall", 0.341958748279), (alignments.positional_substrings, "AINSCOMBE", "DASCOMBE", 0.5925925925925926),
     (alignments.isg, "filion", "filguion", 0.75), (alignments.isg, "leon", "noel", 1 / 3), (alignments.typo, "asdf", "zxcv", 0.5), (alignments.typo, "asdf", "ASDF", 0.75), (alignments.typo, "asdf", "qsdf", 0.875),
@@ -210,6 +216,7 @@ def test_tokenizers(spark):
     row = spark.createDataFrame([("Hi, élan 1",)], "s string").select(tokenizers.q_grams(F.col("s"), 3).alias("q"), tokenizers.wordpunct(F.col("s")).alias("w"), tokenizers.q_skipgrams(2, "", "")(F.substring("s", 1, 3)).alias("k"), tokenizers.scaled(tokenizers.counter(tokenizers.character(F.lit("aab"))), "length").alias("c")).first()
     assert row.q[:2] == ["$$H", "$Hi"] and row.w == ["Hi", ",", "élan", "1"] and row.k == ["Hi", "H,", "i,"]
     assert row.c == pytest.approx({"a": 2 / 3, "b": 1 / 3})
+    assert [tokenizers.saps_syllables(s) for s in ("", "Colin", "the Niall")] == [[], ["Co", "lin"], ["Nial", "l"]]
     with pytest.raises(ValueError):
         tokenizers.q_grams(F.col("s"), 0)
 

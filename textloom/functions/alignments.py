@@ -6,15 +6,17 @@ a pair with one empty string has similarity 0 where the definition would divide
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from itertools import groupby
 from unicodedata import normalize
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import arithmetic, edits, measures, phonetics
+from . import arithmetic, edits, measures, phonetics, tokenizers
 
 
 def grid(a, b, drop, add, change, border=None) -> list[list[float]]:
@@ -389,6 +391,106 @@ def baystat(a: str, b: str) -> float:
     return hits / size
 
 
+def rees_levenshtein(a: str, b: str, limit: int = 2) -> float:
+    """Edits in which neighbouring blocks of up to `limit` letters may change places at the price of their length; blocks are read two letters before their place, as published."""
+    if a == b:
+        return 1.0
+    longer = max(len(a), len(b))
+    start = edits.shared_prefix(a, b)
+    x, y = a[start:], b[start:]
+    end = edits.shared_prefix(x[::-1], y[::-1])
+    x, y = x[: len(x) - end], y[: len(y) - end]
+    if not x or not y or len(x) == len(y) == 1:
+        return 1 - max(len(x), len(y)) / longer
+
+    def block(s: str, at: int, n: int) -> str:
+        at += -1 if at > 0 else len(s) - 1
+        return s[at : at + n]
+
+    largest = max(1, min(len(x) // 2, len(y) // 2, limit))
+    cost = [[i + j if not i or not j else 0 for j in range(len(y) + 1)] for i in range(len(x) + 1)]
+    for i in range(1, len(x) + 1):
+        for j in range(1, len(y) + 1):
+            n = next((n for n in range(largest, 0, -1) if min(i, j) >= 2 * n and block(x, i - 2 * n - 1, n) == block(y, j - n - 1, n) and block(x, i - n - 1, n) == block(y, j - 2 * n - 1, n)), 0)
+            moved = cost[i - 2 * n][j - 2 * n] + n - 1 if n else cost[i - 1][j - 1]
+            cost[i][j] = min(cost[i][j - 1] + 1, cost[i - 1][j] + 1, moved + (x[i - 1] != y[j - 1]))
+    return 1 - cost[-1][-1] / longer
+
+
+def saps(a: str, b: str) -> float:
+    """Alignment of syllables: their first letters weigh more, and match only one another."""
+    parts = tokenizers.saps_syllables(a), tokenizers.saps_syllables(b)
+    x, y = ("".join(s.capitalize() for s in side) for side in parts)
+
+    def change(i: int, j: int) -> int:
+        if x[i].isupper() != y[j].isupper():
+            return 4
+        same, other = (-6, 2) if x[i].isupper() else (-1, 1)
+        return same if x[i] == y[j] else other
+
+    lone = lambda c: 3 if c.isupper() else 1
+    score = -grid(x, y, lambda i, j: lone(x[i]), lambda i, j: lone(y[j]), change)[-1][-1]
+    return score / max(sum(5 + len(s) for s in side) for side in parts) if score > 0 else 0.0
+
+
+def cao(a: str, b: str) -> float:
+    """Cao's CYd dissimilarity of bigram counts, out of the largest that such counts allow."""
+    if a == b:
+        return 1.0
+    x, y = Counter(edits.grams(a)), Counter(edits.grams(b))
+    shared = [k for k in x if k in y]
+    if not shared:
+        return 0.0
+    term = lambda p, q: ((p + q) * math.log10((p + q) / 2) - p * math.log10(q) - q * math.log10(p)) / (p + q)
+    seen = sum(term(max(0.1, x[k]), max(0.1, y[k])) for k in x | y)
+    half = len(shared) / 2
+    most = sum(term(x[k] or y[k], 0.1) for k in x | y if not (x[k] and y[k])) + half * sum(term(sum(side[k] for k in shared) / half - 1, 1) for side in (x, y))
+    return max(0.0, min(1.0, 1 - seen / most))
+
+
+def minhash(a: str, b: str, k: int = 0, seed: int = 10) -> float:
+    """The share of k masked minima of the bigrams' SHA-512 numbers that agree; k is the larger number of bigrams unless given."""
+    x, y = set(edits.grams(a)), set(edits.grams(b))
+    k = k or max(len(x), len(y))
+    if not k:
+        return 1.0
+    bounds = np.iinfo(np.int64)
+    masks = [int(m) for m in np.random.RandomState(seed).randint(bounds.min, bounds.max, k, dtype=np.int64)]
+    numbers = [[int(hashlib.sha512(t.encode()).hexdigest(), 16) for t in side] for side in (x, y)]
+    return sum(len({min([bounds.max, *(m ^ n for n in side)]) for side in numbers}) == 1 for m in masks) / k
+
+
+def meta_levenshtein(a: str, b: str) -> float:
+    """Edits of bigrams; a change costs how unlike the two are, weighted by their tf-idf in a corpus of the pair and an empty document."""
+    if a == b or not a or not b:
+        return float(a == b)
+    x, y = edits.grams(a), edits.grams(b)
+    idf = lambda t: math.log1p(3 / ((t in x) + (t in y)))
+    weights = [{t: math.log1p(n) * idf(t) for t, n in Counter(side).items()} for side in (x, y)]
+    unlike = {(p, q): (1 - edits.jaro_winkler(p, q)) * weights[0][p] * weights[1][q] for p in weights[0] for q in weights[1]}
+    one = lambda i, j: 1.0
+    return 1 - grid(x, y, one, one, lambda i, j: unlike[x[i], y[j]])[-1][-1] / max(len(a), len(b))
+
+
+def inclusion(a: str, b: str) -> float:
+    """1 if, aligned, one string stands inside the other with at most one difference and three letters agree."""
+    if a == b or len(a) == len(b):
+        return float(a == b)
+    one = lambda i, j: 1
+    cost = grid(a, b, one, one, lambda i, j: a[i] != b[j])
+    i, j, steps = len(a), len(b), []
+    while i or j:
+        ways = [(cost[i][j - 1] + 1, 0, 1)] * (j > 0) + [(cost[i - 1][j] + 1, 1, 0)] * (i > 0) + ([(cost[i - 1][j - 1] + (a[i - 1] != b[j - 1]), 1, 1)] if i and j else [])
+        _, di, dj = next(w for w in ways if w[0] == cost[i][j])
+        steps.append(2 if di != dj else int(a[i - 1] != b[j - 1]))  # 2: a gap
+        i, j = i - di, j - dj
+    inner = steps[next((k for k, s in enumerate(steps) if s != 2), len(steps)) :]
+    while inner and inner[-1] == 2:
+        inner.pop()
+    differ = sum(s > 0 for s in inner)
+    return float(differ <= 1 and len(inner) - differ >= 3)
+
+
 def chebyshev(a: str, b: str) -> float:
     """The largest difference of a bigram's counts; a distance."""
     x, y = Counter(edits.grams(a)), Counter(edits.grams(b))
@@ -396,6 +498,7 @@ def chebyshev(a: str, b: str) -> float:
 
 
 KERNELS = {
+    "cao": cao, "inclusion": inclusion, "meta_levenshtein": meta_levenshtein, "min_hash": minhash, "rees_levenshtein": rees_levenshtein, "saps": saps,
     "baystat": baystat, "block_levenshtein": block_levenshtein, "chebyshev": chebyshev, "cormode_lz": cormode_lz, "discounted_levenshtein": discounted_levenshtein, "editex": editex, "eudex": phonetics.eudex_similarity, "fellegi_sunter": fellegi_sunter, "flex_metric": flex_metric,
     "guth": guth, "isg": isg, "mra": match_rating, "ncd_arith": arithmetic.similarity, "ozbay": ozbay, "shapira_storer_i": shapira_storer, "sift4": sift4, "sift4_simplest": sift4_simplest, "ssk": ssk, "strcmp95": strcmp95, "typo": typo, "vps": positional_substrings,
 }

@@ -501,7 +501,60 @@ def extract_position_frequency(word: str) -> str:
     return "".join(word[k] for k in sorted(k for _, k in points[:4]))
 
 
+# Alpha-SIS at the start and inside, / parts alternatives in order.
+_ALPHA_START = pairs("GF=08 GM=03 GN=02 KN=02 PF=08 PN=02 PS=00 WR=04 A=1 E=1 H=2 I=1 J=3 O=1 U=1 W=4 Y=5")
+_ALPHA = {k: v.split("/") for k, v in pairs("SCH=6 CZ=70/6/0 CH=6/70/0 CK=7/6 DS=0/10 DZ=0/10 TS=0/10 TZ=0/10 CI=0 CY=0 CE=0 SH=6 DG=7 PH=8 C=7/6 K=7/6 Z=0 S=0 D=1 T=1 N=2 M=3 R=4 L=5 J=6 G=7 Q=7 X=7 F=8 V=8 B=9 P=9").items()}
+_ALPHA_CLUSTER = re.compile("|".join(sorted(_ALPHA, key=len, reverse=True)) + "|.")
+
+
+def alpha_sis(word: str, length: int = 14) -> str:
+    """All codes with commas between, the first alternatives first; of equal digits in a row every second goes."""
+    word = letters(word)
+    first = max((k for k in _ALPHA_START if word.startswith(k)), key=len, default="")
+
+    def more(state: tuple[str, str, bool], digits: str) -> tuple[str, str, bool]:
+        code, last, gone = state
+        for d in digits:
+            gone = d == last and not gone
+            code, last = (code, last) if gone else (code + d.replace("_", ""), d)
+        return code[:length], last, gone
+
+    states = [more(("", "", False), _ALPHA_START.get(first, "0"))]
+    for cluster in _ALPHA_CLUSTER.findall(word[len(first) :]):
+        states = list(dict.fromkeys(more(state, way) for way in _ALPHA.get(cluster, ["_"]) for state in states))
+    return ",".join(dict.fromkeys(padded(code, length) for code, _, _ in states))
+
+
+# Henry's vowels at the start, and letters that sound like others.
+_HENRY_VOWELS = pairs("AI=E AY=E EI=E AU=O OI=O OU=O EU=U")
+_HC = "BCDFGHJKLMNPQRSTVWXZ"
+_HENRY = re.compile(
+    f"(?P<keep>[AEIOUY])|(?P<double>([{_HC}])\\3)|(?P<none>C(?=Q)|D(?=T)|S(?=C))|(?P<V>W)|(?P<S0>[XZ])|(?P<K>C(?=[AOULR])|C(?=H(?![AEIOUY])))|(?P<S1>C(?=[EIY]))|(?P<C>C)|(?P<G1>G(?=[AOULR]))|(?P<J>G(?=[EIY]))|(?P<N>G(?=N))|(?P<none1>G)"
+    f"|(?P<F>P(?=H))|(?P<P>P)|(?P<G2>Q(?=U[EIY]))|(?P<K2>Q)|(?P<X>SAINTE|SAINT|STE|ST)|(?P<none2>S(?=[{_HC}]))|(?P<S2>S)|(?P<none3>(?<=[{_HC}])H|[{_HC.replace('L', '').replace('R', '')}](?=[{_HC.replace('L', '').replace('R', '')}])|L(?=[MN])|(?<=[AEIOUY])[MN](?=[{_HC}]))|(?P<other>.)"
+)
+
+
+def henry_early(word: str, length: int = 3) -> str:
+    """The early Henry code of French Canadian names."""
+    word = letters(word)
+    if re.match(f"Y[{_HC}]([^{_HC}]|$)|Y[{_HC.replace('M', '').replace('N', '')}][{_HC}]", word):
+        word = "I" + word[1:]
+    elif re.match(f"[EIUY][MN][{_HC}]", word):
+        word = ("A" if word[0] == "E" else "E") + word[1:]
+    elif not re.match(f"[AEIOUY][{_HC}]", word):
+        word = starts(word, _HENRY_VOWELS) if word[:2] in _HENRY_VOWELS else re.sub("^Y(?=[AEIOUY])", "I", word)
+    code = ""
+    for m in _HENRY.finditer(word):
+        kind = m.lastgroup.rstrip("0123456789")
+        code += {"none": "", "keep": m[0], "other": m[0], "double": m[0][0]}.get(kind, kind)
+    if code[-4:] in ("AULT", "EULT", "OULT"):
+        code = code[:-2]
+    else:
+        code = re.sub(f"(?<=R)[{_HC}]$|(?<=[AEIOUY])[DMNST]$|(?<=E)R$", "", code)
+    return (code[:1] + re.sub("[AEIOUY]", "", code[1:]))[:length]
+
+
 KERNELS = {
-    "daitch_mokotoff": daitch_mokotoff, "fp_extract_position_frequency": extract_position_frequency, "fp_lc_cutter": lc_cutter, "phonix": phonix, "sfinx_bis": sfinx_bis, "dolby": dolby, "eudex": eudex, "fonem": fonem, "fp_lacss": lacss, "fuzzy_soundex": fuzzy_soundex, "haase": haase, "metaphone": metaphone, "norphone": norphone, "parmar_kumbharana": parmar_kumbharana, "phonex": phonex, "phonic": phonic,
+    "alpha_sis": alpha_sis, "henry_early": henry_early, "daitch_mokotoff": daitch_mokotoff, "fp_extract_position_frequency": extract_position_frequency, "fp_lc_cutter": lc_cutter, "phonix": phonix, "sfinx_bis": sfinx_bis, "dolby": dolby, "eudex": eudex, "fonem": fonem, "fp_lacss": lacss, "fuzzy_soundex": fuzzy_soundex, "haase": haase, "metaphone": metaphone, "norphone": norphone, "parmar_kumbharana": parmar_kumbharana, "phonex": phonex, "phonic": phonic,
     "pshp_first": pshp_first, "pshp_last": pshp_last, "reth_schek": reth_schek, "roger_root": roger_root, "spanish_metaphone": spanish_metaphone, "spfc": spfc, "wahlin": wahlin,
 }

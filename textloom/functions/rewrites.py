@@ -6,6 +6,7 @@ The rule lists are chains of regexp_replace, compiled by Spark; kernels run as A
 from __future__ import annotations
 
 import re
+from unicodedata import normalize
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -87,12 +88,28 @@ def nysiis(word: str, length: int = 6) -> str:
     return key[:length]
 
 
-def soundex(word: str) -> str:
-    word = "".join(c for c in word.upper() if c in codes.AZ)
+def soundex(word: str, length: int = 4, special: bool = False, backwards: bool = False) -> str:
+    """Soundex; `special` lets H and W part equal digits."""
+    word = "".join(c for c in normalize("NFKD", word.upper()) if c in codes.AZ)[:: -1 if backwards else 1]
     if not word:
-        return "0000"
-    digits = re.sub(r"(.)\1+", r"\1", word.translate(str.maketrans(codes.AZ, "01230129022455012623019202")).replace("9", ""))
-    return (word[0] + (digits if word[0] in "HW" else digits[1:]).replace("0", "") + "0000")[:4]
+        return "0" * length
+    digits = re.sub(r"(.)\1+", r"\1", word.translate(str.maketrans(codes.AZ, "01230129022455012623019202")).replace("9", "0" if special else ""))
+    return (word[0] + (digits if word[0] in "HW" and not special else digits[1:]).replace("0", "")).ljust(length, "0")[:length]
+
+
+def soundex_census(word: str) -> str:
+    """With a second code after a comma if the name has a prefix."""
+    prefix = re.match("(VAN|CON)(?=..)|(DE|DI|LA|LE)(?=..)", word.upper())
+    return soundex(word) + ("," + soundex(word[prefix.end() :]) if prefix else "")
+
+
+# The first letter of a MetaSoundex code.
+_META_SOUNDEX = str.maketrans(codes.AZ, "07430755015866075943077514")
+
+
+def meta_soundex(word: str) -> str:
+    code_ = soundex(phonetics.metaphone(word))
+    return code_[0].translate(_META_SOUNDEX) + code_[1:]
 
 
 def onca(word: str) -> str:
@@ -215,7 +232,7 @@ def phonetic_fingerprint(c: Column, encoder: str = "nysiis", joiner: str = " ")
     return F.pandas_udf(batch, "string")(c)
 
 
-KERNELS = {"nysiis": nysiis, "onca": onca, "porter": porter, "fp_extract": extract, "fp_bwtf": lambda w: edits.burrows_wheeler(w), "fp_bwtrlef": lambda w: edits.run_length(edits.burrows_wheeler(w)), "rle": edits.run_length, "double_metaphone": metaphones.double_metaphone, **stemmers.KERNELS, **phonetics.KERNELS}
+KERNELS = {"nysiis": nysiis, "onca": onca, "porter": porter, "fp_extract": extract, "fp_bwtf": lambda w: edits.burrows_wheeler(w), "fp_bwtrlef": lambda w: edits.run_length(edits.burrows_wheeler(w)), "rle": edits.run_length, "double_metaphone": metaphones.double_metaphone, "meta_soundex": meta_soundex, "soundex_census": soundex_census, "soundex_special": lambda w: soundex(w, special=True), "soundex_reverse": lambda w: soundex(w, backwards=True), **stemmers.KERNELS, **phonetics.KERNELS}
 COLUMNS = {"caverphone": caverphone, "koelner": koelner, "phonem": phonem, "fp_string": string_fingerprint, "fp_q_gram": q_gram_fingerprint}
 NAMES = sorted({*KERNELS, *COLUMNS})
 

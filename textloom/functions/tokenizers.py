@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from itertools import combinations
 
 import pandas as pd
@@ -46,6 +47,21 @@ cv_cluster = _clusters(f"{_C}+{_V}*|{_V}+|[^\\s{_V[1:-1]}{_C[1:-1]}]+")
 vc_cluster = _clusters(f"{_V}+{_C}*|{_C}+|[^\\s{_V[1:-1]}{_C[1:-1]}]+")
 
 
+_SYLLABLE = re.compile("[^ ](?:[aeiouyAEIOUY]*(?<=[aeiouyAEIOUY])[^aeiouyAEIOUY](?![aeiouyAEIOUY])|[aeiouyAEIOUY]*)", re.DOTALL)
+
+
+def saps_syllables(text: str) -> list[str]:
+    """Syllables of the last word: a letter, its vowels, and a consonant unless a vowel follows it."""
+    return _SYLLABLE.findall(text.split()[-1]) if text.split() else []
+
+
+def saps(c: Column) -> Column:
+    def batch(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: x if x is None else saps_syllables(x))
+
+    return F.pandas_udf(batch, "array<string>")(c)
+
+
 def q_skipgrams(q: int = 2, start: str = "$", stop: str = "#"):
     """A UDF: all q-letter subsequences of the padded string; meant for short strings, as their number grows with the length to the power q."""
 

@@ -125,6 +125,7 @@ QUERIES = {
     "tokens_c_or_v_cluster": tokens_query(tokenizers.c_or_v_cluster),
     "tokens_cv_cluster": tokens_query(tokenizers.cv_cluster),
     "tokens_vc_cluster": tokens_query(tokenizers.vc_cluster),
+    "tokens_saps": tokens_query(tokenizers.saps),
     "corpus_unigrams": unigrams,
     "corpus_idf": idf,
     "corpus_tf_idf": tf_idf,
