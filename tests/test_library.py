@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from textloom.functions import alignments, arithmetic, codes, edits, evaluation, means, measures, rewrites, tokenizers, vectors
+from textloom.functions import alignments, arithmetic, codes, edits, evaluation, intersections, means, measures, rewrites, tokenizers, vectors
 from textloom.operators import corpus, matching
 from textloom.plans import queries as library
 
@@ -195,6 +195,42 @@ def test_codings_round_trip():
         rewrites.burrows_wheeler_decoded("abc")
 
 
+# Jaccard of pairs by kind of intersection; all three agree on these.
+SHARED = {("", ""): 1, ("a", ""): 0, ("", "abc"): 0, ("abc", "abc"): 1, ("abcd", "efgh"): 1 / 9, ("Nigel", "Niall"): 0.5, ("Colin", "Coiln"): 0.6, ("ATCAACGAGT", "AACGATTAG"): 0.68, (None, "a"): None}
+
+
+@pytest.mark.parametrize("kind", sorted(intersections.KINDS))
+def test_intersections(spark, kind):
+    options = {"like": lambda a, b: edits.of_longer(edits.damerau(a, b), a, b), "threshold": 0.4} if kind == "fuzzy" else {}
+    rows = intersections.measure(spark.createDataFrame([(i, *k) for i, k in enumerate(SHARED)], "id int, src string, tar string"), "jaccard", kind, **options).orderBy("id").collect()
+    assert [r.sim for r in rows] == [v if v is None else pytest.approx(v) for v in SHARED.values()]
+    assert all(r.a + r.b == pytest.approx(r.p) or kind != "soft" for r in rows[:-1])
+
+
+def test_likeness_of_words(spark):
+    pair = spark.createDataFrame([("synonym", "antonym")], "src string, tar string")
+    assert intersections.measure(pair, "jaccard", "fuzzy").first().sim == pytest.approx(1 / 3)
+    assert intersections.measure(pair, "jaccard", "linkage", like=edits.jaro_winkler, threshold=0.2).first().sim == pytest.approx(0.6)
+    words = "junior system analyst", "systems analyst"
+    cells = [sum(c.values()) for c in intersections.soft(*(edits.Counter(w.split()) for w in words))]
+    assert cells[0] / sum(cells) == pytest.approx(0.6190476190476191)
+
+
+def test_assignment_is_least():
+    from itertools import permutations
+
+    cost = np.random.default_rng(3).random((5, 7)).round(1).tolist()
+    least = min(sum(cost[i][j] for i, j in enumerate(p)) for p in permutations(range(7), 5))
+    assert sum(cost[i][j] for i, j in intersections.assignment(cost)) == pytest.approx(least) and intersections.assignment([]) == []
+
+
+def test_normalizers(pairs):
+    crisp = measures.with_cells(pairs).where("id = 0")
+    rows = {n: intersections.normalized(crisp, n).select("a", "p", "n").first() for n in intersections.NORMALIZERS}
+    assert (rows["laplace"].a, rows["laplace"].p, rows["laplace"].n) == (4, 8, 788) and rows["log"].a == pytest.approx(np.log(4))
+    assert (rows["inverse"].a, rows["proportional"].p, rows["complement"].a) == pytest.approx((1 / 3, 6 / 784, 781))
+
+
 def test_arithmetic_round_trip():
     ranges = arithmetic.train("the cat sat")
     for text in ("", "cat", "the hat"):

@@ -472,18 +472,29 @@ def meta_levenshtein(a: str, b: str) -> float:
     return 1 - grid(x, y, one, one, lambda i, j: unlike[x[i], y[j]])[-1][-1] / max(len(a), len(b))
 
 
-def inclusion(a: str, b: str) -> float:
-    """1 if, aligned, one string stands inside the other with at most one difference and three letters agree."""
-    if a == b or len(a) == len(b):
-        return float(a == b)
+def aligned(a: str, b: str) -> list[tuple[str | None, str | None]]:
+    """Letters side by side by the fewest edits, None for a gap; seen from the end, a letter of b comes alone if it can, then one of a."""
     one = lambda i, j: 1
     cost = grid(a, b, one, one, lambda i, j: a[i] != b[j])
     i, j, steps = len(a), len(b), []
     while i or j:
-        ways = [(cost[i][j - 1] + 1, 0, 1)] * (j > 0) + [(cost[i - 1][j] + 1, 1, 0)] * (i > 0) + ([(cost[i - 1][j - 1] + (a[i - 1] != b[j - 1]), 1, 1)] if i and j else [])
-        _, di, dj = next(w for w in ways if w[0] == cost[i][j])
-        steps.append(2 if di != dj else int(a[i - 1] != b[j - 1]))  # 2: a gap
-        i, j = i - di, j - dj
+        if j and cost[i][j] == cost[i][j - 1] + 1:
+            j -= 1
+            steps.append((None, b[j]))
+        elif i and cost[i][j] == cost[i - 1][j] + 1:
+            i -= 1
+            steps.append((a[i], None))
+        else:
+            i, j = i - 1, j - 1
+            steps.append((a[i], b[j]))
+    return steps[::-1]
+
+
+def inclusion(a: str, b: str) -> float:
+    """1 if, aligned, one string stands inside the other with at most one difference and three letters agree."""
+    if a == b or len(a) == len(b):
+        return float(a == b)
+    steps = [2 if None in step else int(step[0] != step[1]) for step in aligned(a, b)]  # 2: a gap
     inner = steps[next((k for k, s in enumerate(steps) if s != 2), len(steps)) :]
     while inner and inner[-1] == 2:
         inner.pop()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import alignments, codes, edits, evaluation, means, measures, rewrites, tokenizers, vectors
+from ..functions import alignments, codes, edits, evaluation, intersections, means, measures, rewrites, tokenizers, vectors
 from ..operators import corpus, matching
 
 
@@ -112,6 +112,7 @@ QUERIES = {
     **{f"sim_{n}": alignments.query(n) for n in alignments.NAMES},
     **{f"code_{n}": codes.query(n) for n in codes.NAMES},
     **{f"code_{n}": rewrites.query(n) for n in rewrites.NAMES},
+    **{f"sim_{kind}_{n}": intersections.query(n, kind) for kind in intersections.KINDS for n in ("jaccard", "dice", "cosine", "overlap")},
     "code_spfc": full_name_codes,
     "sim_phonetic": phonetic_names,
     "confusion_metrics": evaluation.query,
