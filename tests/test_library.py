@@ -73,6 +73,7 @@ REWRITES = {
     "porter": {"caresses": "caress", "ponies": "poni", "agreed": "agre", "hopping": "hop", "filing": "file", "happy": "happi", "relational": "relat", "generalization": "gener", "oscillators": "oscil", "controll": "control"},
     "double_metaphone": {"": ",", "aubrey": "APR,", "richard": "RXRT,RKRT", "Jose": "HS,", "Schmidt": "XMT,SMT", "Thumb": "0M,TM"},
     "daitch_mokotoff": {"": "000000", "Augsburg": "054795", "Breuer": "791900", "Halberstadt": "587433,587943"},
+    "ainsworth": {"": "", "I": "ɑi", "there": "ðɛə", "winning": "wɪnnɪŋg", "Daniel": "dænɑiɛl", "retired": "rɛtɜɛd", "dole": "doəl"},
     "alpha_sis": {"": "0" * 14, "Rodgers": "04740000000000", "Kant": "07210000000000,06210000000000"},
     "henry_early": {"": "", "Descarry": "DKR", "Campo": "KP"},
     "soundex_census": {"": "0000", "Vandeusen": "V532,D250", "la Cruz": "L262,C620", "McDonald": "M235"},
@@ -238,6 +239,12 @@ def test_arithmetic_round_trip():
     assert arithmetic.similarity("Niall", "Neil") == pytest.approx(1 - 0.6875)
 
 
+def test_alphabetic_codes(spark):
+    words = spark.createDataFrame([("Euler",), ("Hilbert",), ("Müller",), (None,)], "word string")
+    rows = codes.with_code(words, "soundex").withColumn("s", rewrites.alphabetic("soundex", F.col("code"))).withColumn("k", rewrites.alphabetic("koelner", rewrites.code("koelner", F.col("word")))).collect()
+    assert [r.s for r in rows][:2] == ["ELR", "HLPR"] and rows[2].k == "NLR" and rows[3].s is None
+
+
 def test_phonetic_similarity(pairs):
     rows = pairs.select("id", *(rewrites.phonetic_similarity(F.col("src"), F.col("tar"), names, measure).alias(k) for k, names, measure in (("same", ("nysiis",), None), ("near", ("double_metaphone",), "levenshtein")))).orderBy("id").collect()
     assert (rows[0].same, rows[4].same, rows[8].same) == (0, 1, None) and rows[0].near == pytest.approx(3 / 7)  # NJL,NKL and NL, are four edits apart

@@ -1,4 +1,4 @@
-"""Double Metaphone as one table: what a pattern matches is read, looking back and ahead as far as the pattern says.
+"""Double Metaphone and Ainsworth's pronunciation as tables: what a pattern matches is read, looking back and ahead as far as the pattern says.
 
 A rule is (when, pattern, code); the first that fits at a place decides. The code `P/S` differs between the two readings
 and `-` says nothing. `when` names a property that the whole word must have.
@@ -130,3 +130,48 @@ def double_metaphone(word: str) -> str:
                 break
         at += step
     return f"{readings[0]},{readings[1] if readings[1] != readings[0] else ''}"
+
+
+# Ainsworth's letter-to-sound rules, by letter; what follows > is said. {V} vowel, {C} consonant, {S} an English suffix.
+_AINSWORTH = """
+^a$>ə ^are>ɑ a(?=[ei])>ɛi ar>ɑ a(?=s[kt]|th|ft)>ɑ ay>ɛi aw>ɔ au>ɔ al(?=l)>ɔ a(?=ble)>ɛi a(?=ng{S})>ɛi a>æ
+b>b
+ch>tʃ ck>k c(?=[yei])>s c>k
+d>d
+(?<={V}{C})e$> (?<=th)e$>ə (?<=wh)ere>ɛə (?<=h)ere>iə (?<=w)ere>ɜ ere>ir ee>i ear>ir ea>i e(?=ver)>ɛ eye>ɑi e(?=[ei])>i e(?=r)>ɜ eo>i ew>ju e(?=u)> e>ɛ
+f$>v f>f
+g(?={S})>g g(?=i)>dʒ g(?=et)>g g(?=e)>dʒ gh>g g>g
+(?<=w)h> ha(?=v)>hæ h>h
+^i$>ɑi i(?=ty)>ɪ i(?=[ei])>ɑi ir>ɜ igh>ɑi (?<=t)io(?=n)>ʌ i(?=nd|ld)>ɑi i>ɪ
+j>dʒ
+^k(?=n)> k>k
+le$>əl l>l
+m>m
+n(?=g)>ŋ n>n
+o(?=ld)>əʊ oy>ɔi o(?=ing)>əʊ oi>ɔi (?<=y)ou>u ou(?=s)>ʌ ough(?=t)>ɔ (?<=b)ough>aʊ (?<=t)ough>ʌf (?<=c)ough>of (?<=r)ough>ʊ ough>əʊ oul(?=d)>ʊ ou>aʊ oor>ɔ oo(?=k)>ʊ (?<=f)oo(?=d)>u oo(?=d)>ʊ (?<=[fs])oo(?=t)>ʊ (?<=w)oo>ʊ oo>u
+(?<=sh)oe>u oe>əʊ (?<=[chnvr])ow>ɑʊ ow>əʊ (?<=[gns])o$>əʊ o$>u o>o
+ph>f psy>sɑi p>p
+q>kw
+r$> rho>rəʊ r>r
+sh>ʃ ss>s sch>sk (?<={V})s$>z s>s
+there>ðɛə their>ðɛə th(?=r)>θ th>ð t(?=ion)>ʃ t>t
+u(?=pon)>ʌ u(?={V})>u (?<=[rl])u>u u>ju
+v>v
+w(?=r)> wh(?=o)>h wha(?=t)>wo wa>wo wo(?=r)>wɜ w>w
+x>ks
+^y>j (?<={V}{C})y>ɪ y(?=[ei])>ɑi y>ɪ
+z>z
+"""
+_ENDINGS = "(able|ance|ence|less|ment|ness|ship|sion|tion|age|ant|ate|ent|ery|ful|ify|ise|ism|ity|ive|ize|ous|al|cy|en|er|es|fy|ry|s|y)"
+_AINSWORTH_RULES = [
+    (re.compile(pattern.replace("{V}", "[aeiou]").replace("{C}", "[b-df-hj-np-tv-z]").replace("{S}", _ENDINGS)), sound) for pattern, sound in (rule.rsplit(">", 1) for rule in _AINSWORTH.split())
+]
+
+
+def ainsworth(word: str) -> str:
+    """The pronunciation in IPA; characters without a rule are skipped."""
+    word, at, said = word.lower(), 0, ""
+    while at < len(word):
+        found, sound = next(((m, s) for p, s in _AINSWORTH_RULES if (m := p.match(word, at))), (None, ""))
+        at, said = found.end() if found else at + 1, said + sound
+    return said

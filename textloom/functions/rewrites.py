@@ -232,7 +232,7 @@ def phonetic_fingerprint(c: Column, encoder: str = "nysiis", joiner: str = " ")
     return F.pandas_udf(batch, "string")(c)
 
 
-KERNELS = {"nysiis": nysiis, "onca": onca, "porter": porter, "fp_extract": extract, "fp_bwtf": lambda w: edits.burrows_wheeler(w), "fp_bwtrlef": lambda w: edits.run_length(edits.burrows_wheeler(w)), "rle": edits.run_length, "double_metaphone": metaphones.double_metaphone, "meta_soundex": meta_soundex, "soundex_census": soundex_census, "soundex_special": lambda w: soundex(w, special=True), "soundex_reverse": lambda w: soundex(w, backwards=True), **stemmers.KERNELS, **phonetics.KERNELS}
+KERNELS = {"nysiis": nysiis, "onca": onca, "porter": porter, "fp_extract": extract, "fp_bwtf": lambda w: edits.burrows_wheeler(w), "fp_bwtrlef": lambda w: edits.run_length(edits.burrows_wheeler(w)), "rle": edits.run_length, "ainsworth": metaphones.ainsworth, "double_metaphone": metaphones.double_metaphone, "meta_soundex": meta_soundex, "soundex_census": soundex_census, "soundex_special": lambda w: soundex(w, special=True), "soundex_reverse": lambda w: soundex(w, backwards=True), **stemmers.KERNELS, **phonetics.KERNELS}
 COLUMNS = {"caverphone": caverphone, "koelner": koelner, "phonem": phonem, "fp_string": string_fingerprint, "fp_q_gram": q_gram_fingerprint}
 NAMES = sorted({*KERNELS, *COLUMNS})
 
@@ -250,6 +250,24 @@ def code(name: str, c: Column) -> Column:
     return F.pandas_udf(batch, "string")(c)
 
 
+# Letters for the digits of codes that begin with a letter, and of those that do not.
+_ALPHA_REST = {
+    "fuzzy_soundex": ("01345679", "APTLNRKS"), "lein": ("12345", "TNLPK"), "phonex": ("123456", "PSTLNR"), "phonix": ("012345678", "APKTLNRFS"), "pshp_last": ("12345", "PKTLN"), "refined_soundex": ("123456789", "PFKGZTLNR"),
+    "sound_d": ("0123456", "APKTLNR"), "soundex": ("01234569", "APKTLNRH"), "soundex_br": ("0123456", "APKTLNR"),
+}
+_ALPHA_WHOLE = {"haase": ("123456789", "PTFKLNRSA"), "koelner": ("012345678", "APTFKLNRS"), "phonetic_spanish": ("0123456789", "PBFTSLNKGR"), "sfinx_bis": ("123456789#", "PKTLNRFSAŠ"), "double_metaphone": ("0", "Þ"), "dolby": ("*", "A")}
+
+
+def alphabetic(name: str, c: Column) -> Column:
+    """A code spelt with letters, from the code; codes that have no digits stay."""
+    if name in _ALPHA_REST:
+        c = F.regexp_replace(c, "0+$", "")
+        return F.concat(F.substring(c, 1, 1), F.translate(F.substring(c, 2, 2**31 - 1), *_ALPHA_REST[name]))
+    if name == "caverphone":
+        return F.regexp_replace(c, "1+$", "")
+    return F.translate(c, *_ALPHA_WHOLE[name]) if name in _ALPHA_WHOLE else c
+
+
 def phonetic_similarity(src: Column, tar: Column, transforms: tuple[str, ...] = ("nysiis",), measure: str | None = None) -> Column:
     """The named measure of both strings' codes, one transform after the other; without a measure, whether the codes are equal."""
     for name in transforms:
