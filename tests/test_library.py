@@ -245,6 +245,16 @@ def test_alphabetic_codes(spark):
     assert [r.s for r in rows][:2] == ["ELR", "HLPR"] and rows[2].k == "NLR" and rows[3].s is None
 
 
+def test_phonetic_fingerprint(spark):
+    rows = spark.createDataFrame([("Niall Neal Njall Neil",), ("",), (None,)], "t string").select(rewrites.phonetic_fingerprint(F.col("t")).alias("dm"), rewrites.phonetic_fingerprint(F.col("t"), "soundex_special").alias("sx")).collect()
+    assert [tuple(r) for r in rows] == [("njl nl", "n240 n400"), ("", ""), (None, None)]
+
+
+def test_keyboard_ways():
+    for way, cost in (("euclidean", 0.70710677), ("manhattan", 1), ("log-euclidean", 0.4406868), ("log-manhattan", 0.54930615)):
+        assert alignments.typo("asdf", "asdt", way) == pytest.approx(1 - cost / 4, abs=1e-7)
+
+
 def test_phonetic_similarity(pairs):
     rows = pairs.select("id", *(rewrites.phonetic_similarity(F.col("src"), F.col("tar"), names, measure).alias(k) for k, names, measure in (("same", ("nysiis",), None), ("near", ("double_metaphone",), "levenshtein")))).orderBy("id").collect()
     assert (rows[0].same, rows[4].same, rows[8].same) == (0, 1, None) and rows[0].near == pytest.approx(3 / 7)  # NJL,NKL and NL, are four edits apart

@@ -104,10 +104,15 @@ _FIRST_KEY = [0, 1, 1, 1, 3]
 _KEYS = {key: (row, column, shift) for shift in (1, 0) for row, keys in enumerate(_QWERTY[shift]) for column, key in enumerate(keys, _FIRST_KEY[row])}
 
 
-def typo(a: str, b: str) -> float:
+#: Ways between keys that lie r rows and c columns apart.
+_WAYS = {"euclidean": math.hypot, "manhattan": lambda r, c: abs(r) + abs(c), "log-euclidean": lambda r, c: math.log1p(math.hypot(r, c)), "log-manhattan": lambda r, c: math.log1p(abs(r) + abs(c))}
+
+
+def typo(a: str, b: str, way: str = "euclidean") -> float:
     """A change costs half the way between the keys, a quarter more if only one needs shift; a letter that is on no key is dropped and another added."""
     if a == b:
         return 1.0
+    apart = _WAYS[way]
 
     def change(i: int, j: int) -> float:
         if a[i] == b[j]:
@@ -115,7 +120,7 @@ def typo(a: str, b: str) -> float:
         if a[i] not in _KEYS or b[j] not in _KEYS:
             return 2.0
         (r, c, up), (s, d, high) = _KEYS[a[i]], _KEYS[b[j]]
-        return 0.5 * (math.hypot(r - s, c - d) + 0.5 * (up != high))
+        return 0.5 * (apart(r - s, c - d) + 0.5 * (up != high))
 
     one = lambda i, j: 1.0
     return 1 - grid(a, b, one, one, change)[-1][-1] / max(len(a), len(b))

@@ -222,14 +222,17 @@ def q_gram_fingerprint(c: Column, q: int = 2, joiner: str = "") -> Column:
     return F.array_join(F.array_sort(F.array_distinct(measures.q_grams(kept, q, "", ""))), joiner)
 
 
-def phonetic_fingerprint(c: Column, encoder: str = "nysiis", joiner: str = " ") -> Column:
-    """Codes of the distinct words, sorted; one UDF call for a text."""
+def phonetic_fingerprint(c: Column, encoder: str = "double_metaphone", joiner: str = " ") -> Column:
+    """The string fingerprint of the words' codes, the first code of each; one UDF call for a text."""
     fn = KERNELS[encoder]
 
     def batch(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else joiner.join(sorted({fn(w) for w in t.split()})))
+        known: dict[str, str] = {}
+        for word in {w for t in texts.dropna() for w in t.split()}:
+            known[word] = (fn(word) or "").split(",")[0]
+        return texts.map(lambda t: None if t is None else " ".join(known[w] for w in t.split()))
 
-    return F.pandas_udf(batch, "string")(c)
+    return string_fingerprint(F.pandas_udf(batch, "string")(c), joiner)
 
 
 KERNELS = {"nysiis": nysiis, "onca": onca, "porter": porter, "fp_extract": extract, "fp_bwtf": lambda w: edits.burrows_wheeler(w), "fp_bwtrlef": lambda w: edits.run_length(edits.burrows_wheeler(w)), "rle": edits.run_length, "ainsworth": metaphones.ainsworth, "double_metaphone": metaphones.double_metaphone, "meta_soundex": meta_soundex, "soundex_census": soundex_census, "soundex_special": lambda w: soundex(w, special=True), "soundex_reverse": lambda w: soundex(w, backwards=True), **stemmers.KERNELS, **phonetics.KERNELS}

@@ -72,6 +72,10 @@ def full_name_codes(spark, sf_dir: str) -> DataFrame:
     return _names(spark, sf_dir).select(F.col("text").alias("word"), rewrites.code("spfc", F.col("text")).alias("code"))
 
 
+def phonetic_fingerprints(spark, sf_dir: str) -> DataFrame:
+    return _names(spark, sf_dir).select(F.col("text").alias("word"), rewrites.phonetic_fingerprint(F.col("text")).alias("code"))
+
+
 def phonetic_names(spark, sf_dir: str) -> DataFrame:
     """How near the phonetic codes of neighbouring part names are."""
     pairs = measures.pairs_of_parts(_table(spark, sf_dir, "part"))
@@ -114,6 +118,7 @@ QUERIES = {
     **{f"code_{n}": rewrites.query(n) for n in rewrites.NAMES},
     **{f"sim_{kind}_{n}": intersections.query(n, kind) for kind in intersections.KINDS for n in ("jaccard", "dice", "cosine", "overlap")},
     "code_spfc": full_name_codes,
+    "code_fp_phonetic": phonetic_fingerprints,
     "sim_phonetic": phonetic_names,
     "confusion_metrics": evaluation.query,
     "means": all_means,
