@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
+import zlib
 from collections import Counter
 from itertools import groupby
 from unicodedata import normalize
@@ -126,15 +128,16 @@ def typo(a: str, b: str, way: str = "euclidean") -> float:
     return 1 - grid(a, b, one, one, change)[-1][-1] / max(len(a), len(b))
 
 
-def _blocks(a: str, b: str) -> tuple[str, str]:
-    """Shared substrings, longest first, become letters of their own."""
+def _blocks(a: str, b: str, prime: bool = False) -> tuple[str, str]:
+    """Shared substrings, longest first, become letters of their own; if `prime`, equally often in both."""
     used, code = set(a) | set(b), ord("A")
     while (found := edits.common_substring(a, b))[0] > 1:
         block = a[found[1] : found[1] + found[0]]
         while chr(code) in used:
             code += 1
         used.add(chr(code))
-        a, b = a.replace(block, chr(code)), b.replace(block, chr(code))
+        n = min(a.count(block), b.count(block)) if prime else -1
+        a, b = a.replace(block, chr(code), n), b.replace(block, chr(code), n)
     return a, b
 
 
@@ -142,12 +145,12 @@ def block_levenshtein(a: str, b: str) -> float:
     return 1 - edits.edit_distance(*_blocks(a, b)) / max(len(a), len(b)) if a != b else 1.0
 
 
-def shapira_storer(a: str, b: str) -> float:
+def shapira_storer(a: str, b: str, prime: bool = False) -> float:
     """Additions and drops after blocks are replaced; a letter that is dropped and added again is one move."""
     if a == b:
         return 1.0
     size = len(a) + len(b)
-    x, y = _blocks(a, b)
+    x, y = _blocks(a, b, prime)
     one = lambda i, j: 1
     cost = grid(x, y, one, one, lambda i, j: 0 if x[i] == y[j] else math.inf)
     i, j, here, dropped, added = len(x), len(y), 0, Counter(), Counter()
@@ -507,6 +510,34 @@ def inclusion(a: str, b: str) -> float:
     return float(differ <= 1 and len(inner) - differ >= 3)
 
 
+def _chao(a: str, b: str) -> tuple[float, float]:
+    """Estimated shares of either side's bigrams that the other has, from one resample of each; drawn by a seed from the pair, so a pair always gives the same."""
+    x, y = edits.grams(a), edits.grams(b)
+    if not set(x) & set(y):
+        return 0.0, 0.0
+    draw = random.Random(zlib.crc32(f"{a}\0{b}".encode("utf-8", "surrogatepass")))
+    p, q = (Counter(draw.choices(side, k=len(side))) for side in (x, y))
+    shared = [(p[k], q[k]) for k in p if k in q]
+
+    def share(mine: int, other: int) -> float:
+        sizes = len(x), len(y)
+        once, twice = (sum(pair[other] == n for pair in shared) for n in (1, 2))
+        unseen = (sizes[other] - 1) / sizes[other] * once / (2 * (twice or 1))
+        return sum(pair[mine] * (1 + unseen * (pair[other] == 1)) for pair in shared) / sizes[mine]
+
+    return share(0, 1), share(1, 0)
+
+
+def chao_jaccard(a: str, b: str) -> float:
+    u, v = _chao(a, b)
+    return max(0.0, min(1.0, u * v / (u + v - u * v))) if u * v else 0.0
+
+
+def chao_dice(a: str, b: str) -> float:
+    u, v = _chao(a, b)
+    return max(0.0, min(1.0, 2 * u * v / (u + v))) if u * v else 0.0
+
+
 def chebyshev(a: str, b: str) -> float:
     """The largest difference of a bigram's counts; a distance."""
     x, y = Counter(edits.grams(a)), Counter(edits.grams(b))
@@ -514,7 +545,7 @@ def chebyshev(a: str, b: str) -> float:
 
 
 KERNELS = {
-    "cao": cao, "inclusion": inclusion, "meta_levenshtein": meta_levenshtein, "min_hash": minhash, "rees_levenshtein": rees_levenshtein, "saps": saps,
+    "cao": cao, "chao_dice": chao_dice, "chao_jaccard": chao_jaccard, "inclusion": inclusion, "meta_levenshtein": meta_levenshtein, "min_hash": minhash, "rees_levenshtein": rees_levenshtein, "saps": saps,
     "baystat": baystat, "block_levenshtein": block_levenshtein, "chebyshev": chebyshev, "cormode_lz": cormode_lz, "discounted_levenshtein": discounted_levenshtein, "editex": editex, "eudex": phonetics.eudex_similarity, "fellegi_sunter": fellegi_sunter, "flex_metric": flex_metric,
     "guth": guth, "isg": isg, "mra": match_rating, "ncd_arith": arithmetic.similarity, "ozbay": ozbay, "shapira_storer_i": shapira_storer, "sift4": sift4, "sift4_simplest": sift4_simplest, "ssk": ssk, "strcmp95": strcmp95, "typo": typo, "vps": positional_substrings,
 }

@@ -5,9 +5,11 @@ Ratios without a denominator are NaN. The precision/recall means and information
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import means
+
 
 def _over(num: str, den: str) -> str:
     return f"(case when ({den}) = 0 then cast('NaN' as double) else ({num})/nullif({den}, 0e0) end)"
@@ -48,6 +50,18 @@ METRICS: dict[str, str] = {
 }
 
 
+def fbeta_score(beta: float = 1.0) -> Column:
+    """F-beta over the columns tp, tn, fp and fn."""
+    if beta <= 0:
+        raise ValueError("beta must be above 0")
+    return F.expr(_fbeta(f"cast({float(beta)!r} as double)"))
+
+
+def pr_mean(kind: str) -> Column:
+    """Iterated mean of precision and recall: agmean, ghmean or aghmean."""
+    return getattr(means, kind)()(F.array(F.expr(P).cast("double"), F.expr(R).cast("double")))
+
+
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """One row (tp, tn, fp, fn) of two 0/1 columns; rows with a null do not count."""
     t, p = F.col(truth) == 1, F.col(predicted) == 1
