@@ -7,6 +7,7 @@ pair on; `linkage` shares by the assignment of least total distance. Null on eit
 from __future__ import annotations
 
 from collections import Counter
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,14 +17,19 @@ from . import edits, measures
 from .alignments import aligned
 
 
+@lru_cache(1 << 16)
+def _likeness(s: str, t: str) -> float:
+    longer = max(len(s), len(t))
+    return max(longer - edits.edit_distance(s, t), edits.shared_prefix(s, t)) / longer
+
+
+_levenshtein = lru_cache(1 << 16)(edits.levenshtein)
+
+
 def soft(x: Counter, y: Counter) -> tuple[Counter, Counter, Counter]:
     """What is shared, and what is left of either side."""
     shared, left, right = x & y, x - y, y - x
-    likeness = {}
-    for s in left:
-        for t in right:
-            longer = max(len(s), len(t))
-            likeness[s, t] = max(longer - edits.edit_distance(s, t), edits.shared_prefix(s, t)) / longer
+    likeness = {(s, t): _likeness(s, t) for s in left for t in right}
     parts = Counter(), Counter()
     for s, t in sorted(likeness, key=lambda k: (-likeness[k], k)):
         n = min(left[s], right[t])
@@ -54,7 +60,7 @@ def _share(x: Counter, y: Counter, links) -> tuple[Counter, Counter, Counter]:
     return shared, +left, +right
 
 
-def fuzzy(x: Counter, y: Counter, like=edits.levenshtein, threshold: float = 0.8) -> tuple[Counter, Counter, Counter]:
+def fuzzy(x: Counter, y: Counter, like=_levenshtein, threshold: float = 0.8) -> tuple[Counter, Counter, Counter]:
     def links(left, right):
         sims = [(like(s, t), s, t) for s in left for t in right]
         return [(s, t, sim) for sim, s, t in sorted(sims, key=lambda k: (-k[0], k[1:])) if sim >= threshold]
@@ -90,6 +96,7 @@ def assignment(cost: list[list[float]]) -> list[tuple[int, int]]:
     return [(taken[j] - 1, j - 1) for j in range(1, columns + 1) if taken[j]]
 
 
+@lru_cache(1 << 16)
 def _damerau(a: str, b: str) -> float:
     return edits.of_longer(edits.damerau(a, b), a, b)
 

@@ -7,6 +7,9 @@ and `-` says nothing. `when` names a property that the whole word must have.
 from __future__ import annotations
 
 import re
+from functools import cache
+
+from . import phonetics
 
 # The rules; n: neither W, K nor CZ in the word, w: one of them, g: VAN, VON or SCH at its start, c: SCH at its start, m: MC at its start, s: SAN at its start, a: not DANGER, RANGER, MANGER at its start.
 _TABLE = r"""
@@ -113,22 +116,26 @@ w (?<=[^T])ZZ? S/TS
 : ZZ? S
 """
 _WHEN = {"n": "^(?!.*(W|K|CZ))", "w": ".*(W|K|CZ)", "g": r"VAN\s|VON\s|SCH", "c": "SCH", "m": "MC", "s": r"SAN\s", "a": "(?![DRM]ANGER)"}
-_RULES = [(when, re.compile(pattern, re.DOTALL), (code + "/" + code).split("/")[:2]) for when, pattern, code in (line.split(" ") for line in _TABLE.split("\n") if line)]
+_RULES = [(when, pattern, (code + "/" + code).split("/")[:2]) for when, pattern, code in (line.split(" ") for line in _TABLE.split("\n") if line)]
+
+
+@cache
+def _rules_when(true: frozenset[str]) -> tuple[re.Pattern, list[list[str]]]:
+    """The rules for words with these properties, as one pattern, and their codes."""
+    rules = [(pattern, codes) for when, pattern, codes in _RULES if when in true]
+    return phonetics.either([p for p, _ in rules], re.DOTALL), [[c.replace("-", "") for c in codes] for _, codes in rules]
 
 
 def double_metaphone(word: str) -> str:
     """Both readings with a comma between; the second is empty if it is the same."""
     word = word.upper()
-    true = {":", *(k for k, p in _WHEN.items() if re.match(p, word, re.DOTALL))}
+    pattern, codes = _rules_when(frozenset([":", *(k for k, p in _WHEN.items() if re.match(p, word, re.DOTALL))]))
     at, readings = 0, ["", ""]
     while at < len(word):
-        step = 1
-        for when, pattern, codes in _RULES:
-            if when in true and (m := pattern.match(word, at)):
-                readings = [r + c.replace("-", "") for r, c in zip(readings, codes)]
-                step = max(1, m.end() - at)
-                break
-        at += step
+        m = pattern.match(word, at)
+        if m:
+            readings = [r + c for r, c in zip(readings, codes[int(m.lastgroup[1:])])]
+        at = max(at + 1, m.end() if m else 0)
     return f"{readings[0]},{readings[1] if readings[1] != readings[0] else ''}"
 
 
@@ -163,15 +170,15 @@ x>ks
 z>z
 """
 _ENDINGS = "(able|ance|ence|less|ment|ness|ship|sion|tion|age|ant|ate|ent|ery|ful|ify|ise|ism|ity|ive|ize|ous|al|cy|en|er|es|fy|ry|s|y)"
-_AINSWORTH_RULES = [
-    (re.compile(pattern.replace("{V}", "[aeiou]").replace("{C}", "[b-df-hj-np-tv-z]").replace("{S}", _ENDINGS)), sound) for pattern, sound in (rule.rsplit(">", 1) for rule in _AINSWORTH.split())
-]
+_AINSWORTH_RULES = [rule.rsplit(">", 1) for rule in _AINSWORTH.split()]
+_AINSWORTH_PATTERN = phonetics.either([p.replace("{V}", "[aeiou]").replace("{C}", "[b-df-hj-np-tv-z]").replace("{S}", _ENDINGS) for p, _ in _AINSWORTH_RULES])
 
 
 def ainsworth(word: str) -> str:
     """The pronunciation in IPA; characters without a rule are skipped."""
     word, at, said = word.lower(), 0, ""
     while at < len(word):
-        found, sound = next(((m, s) for p, s in _AINSWORTH_RULES if (m := p.match(word, at))), (None, ""))
-        at, said = found.end() if found else at + 1, said + sound
+        m = _AINSWORTH_PATTERN.match(word, at)
+        said += _AINSWORTH_RULES[int(m.lastgroup[1:])][1] if m else ""
+        at = m.end() if m else at + 1
     return said

@@ -40,17 +40,22 @@ def clusters(table: dict[str, str], other: str | None = None) -> Callable[[str],
     return lambda word: pattern.sub(lambda m: table.get(m[0], other if other is not None else m[0]), word)
 
 
+def either(patterns: list[str], flags: int = 0) -> re.Pattern:
+    """One pattern for all, the first that fits first; group r<k> tells which."""
+    return re.compile("|".join(f"(?P<r{k}>{p})" for k, p in enumerate(patterns)), flags)
+
+
 def scan(rules: list[tuple[str, str]], limit: int | None = None) -> Callable[[str], str]:
     """Letter by letter, what the first fitting pattern says; `&` is the letter itself."""
-    compiled = [(re.compile(p), new) for p, new in rules]
+    pattern, said = either([p for p, _ in rules]), [new for _, new in rules]
 
     def run(word: str) -> str:
         code = ""
         for i, letter in enumerate(word):
             if limit is not None and len(code) >= limit:
                 break
-            new = next((new for p, new in compiled if p.match(word, i)), "")
-            code += new.replace("&", letter)
+            found = pattern.match(word, i)
+            code += said[int(found.lastgroup[1:])].replace("&", letter) if found else ""
         return code
 
     return run
@@ -71,7 +76,7 @@ def ends(word: str, table: dict[str, str]) -> str:
 # Metaphone's rules, first come first.
 _METAPHONE = scan(
     [
-        (r"(?<=(.))(?![GT])\1", ""), ("^[AEIOU]", "&"), ("(?<=M)B$", ""), ("(?<=S)C[EIY]", ""), ("CIA", "X"), ("C[EIY]", "S"), ("(?<=S)CH", "K"), ("^CH[^AEIOU]", "K"), ("CH", "X"), ("C", "K"), ("DG[EIY]", "J"), ("D", "T"),
+        ("(?<=(?P<last>.))(?![GT])(?P=last)", ""), ("^[AEIOU]", "&"), ("(?<=M)B$", ""), ("(?<=S)C[EIY]", ""), ("CIA", "X"), ("C[EIY]", "S"), ("(?<=S)CH", "K"), ("^CH[^AEIOU]", "K"), ("CH", "X"), ("C", "K"), ("DG[EIY]", "J"), ("D", "T"),
         ("GH[AEIOU]", ""), ("(?<=.)GN(ED)?$", ""), ("(?<=.D)G[EIY]", ""), ("GG", ""), ("(?<!G)G[EIY]", "J"), ("G", "K"), ("(?<=[AEIOU])H(?![AEIOU])", ""), ("(?<=[CGPST])H", ""), ("(?<=C)K", ""), ("PH", "F"), ("Q", "K"),
         ("(?<=.)SI[OA]", "X"), ("SH", "X"), ("(?<=.)TI[AO]", "X"), ("TH", "0"), ("TCH", ""), ("(?<=T)T", ""), ("V", "F"), ("[WY][AEIOU]", "&"), ("X", "KS"), ("Z", "S"), ("[BFHJKLMNPRST]", "&"),
     ],

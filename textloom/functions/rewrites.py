@@ -245,9 +245,14 @@ def code(name: str, c: Column) -> Column:
     if name in COLUMNS:
         return COLUMNS[name](c)
     fn = KERNELS[name]
+    known: dict[str, str | None] = {}  # lives as long as a task; emptied when it has grown
 
     def batch(words: pd.Series) -> pd.Series:
-        known = {w: fn(w) for w in words.dropna().unique()}
+        if len(known) > 100_000:
+            known.clear()
+        for word in words.dropna().unique():
+            if word not in known:
+                known[word] = fn(word)
         return words.map(lambda w: known.get(w))
 
     return F.pandas_udf(batch, "string")(c)
