@@ -42,7 +42,7 @@ SPAN = LENGTH - ANCHOR + 1
 #: Anchors that a task holds before it sends them; documents and anchors of each in the sample for splitters.
 HELD, SAMPLE, SAMPLE_EACH = 1 << 19, 4000, 32
 #: Bytes of suffixes of which the windows are compared at a time; bytes of text in a chunk and of windows whose anchors are found at a time.
-SLAB, CHUNK, BLOCK = 1 << 19, 1 << 21, 1 << 18
+SLAB, CHUNK, BLOCK = 1 << 19, 1 << 20, 1 << 18
 _LOW48 = U64((1 << 48) - 1)
 _B = [U64(pow(0x9E3779B97F4A7C15, 1 << k, 1 << 64)) for k in range(4)]
 
