@@ -194,6 +194,21 @@ def test_kneser_ney_sums_to_one(spark):
         assert sum(np.exp(p) for g, p in model.items() if g >> 8 == context) < 1 + 1e-9
 
 
+def test_quality_scores_merge_no_n_grams(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    texts = ["".join(map(chr, rng.integers(97, 123, 20_000))) for _ in range(15)]
+    rows = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    logp = {r.gram: r.logp for r in op4_quality.kneser_ney(op4_quality.count_grams(rows)).collect()}
+    padded = [b"\n" * 4 + t.encode() for t in texts]
+    expected = [-np.mean([logp[int.from_bytes(p[i : i + 5])] for i in range(len(p) - 4)]) for p in padded]
+    whole = {r.doc_id: r.nll for r in op4_quality.rules(rows).collect()}
+    assert np.allclose([whole[i] for i in range(15)], expected, rtol=1e-6)
+    monkeypatch.setattr(op4_quality, "GROUP", 1 << 20)
+    model = op4_quality.kneser_ney(op4_quality.count_grams(rows))
+    assert len(op4_quality.broadcasts(model, len(logp))) > 2
+    assert {r.doc_id: r.nll for r in op4_quality.rules(rows).collect()} == whole
+
+
 def test_language(documents):
     found = op8_language.predict(documents, {"de": b"der hund und die katze sind im haus " * 50, "en": PASSAGE.lower().encode() * 20}).collect()
     by_text = {r.doc_id: r for r in found}

@@ -4,9 +4,10 @@ The language model is an interpolated modified Kneser-Ney model over byte n-gram
 ORDER. Spark counts the n-grams of all whole texts (tasks count theirs first), takes the
 continuation counts of the lower orders from the distinct n-grams, and joins the orders to
 the interpolated log probability of every n-gram that occurs. Scoring uses sorted arrays of
-HASH_BITS-bit n-gram hashes and log probabilities: at most 2**HASH_BITS entries of 8 bytes,
-whatever the corpus, so the broadcast has a proven bound; n-grams that share a hash share the
-larger probability. Bands: documents that pass the base rules give the quartiles of their
+n-gram hashes and log probabilities, an entry for every n-gram: the 64-bit hash is bijective, so
+no two n-grams are merged. The arrays grow with the corpus; they are cut by ranges of the hash and broadcast in
+groups of at most about GROUP bytes, collected one group at a time; with more groups than one, every chunk of documents
+probes them in turn. Bands: documents that pass the base rules give the quartiles of their
 mean negative log probability for each language (null is a language of its own); a document
 beyond FENCE interquartile ranges of the quartiles is rejected.
 
@@ -22,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, U64, byte_table, doc_of, ids_of, materialize, mix, record, span_hashes, table, text_chunks, word_spans
+from .common import CHUNK, NOT_SPACE, U64, byte_table, doc_of, ids_of, materialize, mix, partitions, record, span_hashes, table, text_chunks, word_spans
 
-#: Bytes in an n-gram (at most 7), bits of a hash, width of a band in interquartile ranges.
-ORDER, HASH_BITS, FENCE = 5, 24, 4.0
+#: Bytes in an n-gram (at most 7), width of a band in interquartile ranges.
+ORDER, FENCE = 5, 4.0
+#: Bytes of an entry of the model, of entries in a broadcast, of text that probes several broadcasts in turn.
+ENTRY, GROUP, PROBING = 12, 64 << 20, 4 << 20
 #: N-grams that a counting task holds before it hands its counts on.
 HELD = 1 << 21
 #: Characters that count as symbols.
@@ -100,23 +103,78 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
     return lower.select("gram", F.log("p").alias("logp"))
 
 
-def _slot(gram: np.ndarray) -> np.ndarray:
-    return (mix(gram.astype(U64)) >> U64(64 - HASH_BITS)).astype(np.uint32)
+def shards(model: DataFrame, size: int, group_bytes: int) -> DataFrame:
+    """(shard, blob) of a model of `size` n-grams: sorted hashes and log probabilities of a range of hashes, written to shared storage."""
+    n = max(partitions(model.sparkSession), -(-4 * ENTRY * size // group_bytes))
+    hashed_, packed_ = pa.schema([("shard", pa.int32()), ("hash", pa.int64()), ("logp", pa.float32())]), pa.schema([("shard", pa.int32()), ("blob", pa.binary())])
 
-
-def hash_arrays(model: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The model as sorted hashes and their log probabilities: 2**HASH_BITS entries at most."""
-    out = pa.schema([("slot", pa.int64()), ("logp", pa.float64())])
-
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield record(out, _slot(b.column(0).to_numpy()).astype(np.int64), b.column(1))
-
-    found = model.mapInArrow(slots, "slot long, logp double").groupBy("slot").agg(F.max("logp").alias("logp"))
-    packed = found.select(F.col("slot").cast("int").alias("slot"), F.col("logp").cast("float").alias("logp")).toArrow()
-    slot, logp = packed.column("slot").to_numpy().astype(np.uint32), packed.column("logp").to_numpy().astype(np.float32)
-    order = np.argsort(slot)
-    return slot[order], logp[order]
+            h = mix(b.column(0).to_numpy().astype(U64))
+            yield record(hashed_, ((h >> U64(32)) * U64(n) >> U64(32)).astype(np.int32), h.view(np.int64), b.column(1))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
+        if parts:
+            shard, h, logp = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(h.view(U64))  # and so by shard
+            shard, h, logp = shard[order], h[order], logp[order]
+            some, starts = np.unique(shard, return_index=True)
+            for s, i, j in zip(some, starts, [*starts[1:], len(shard)], strict=True):
+                yield record(packed_, [s], [h[i:j].tobytes() + logp[i:j].tobytes()])
+
+    rows = model.select("gram", F.col("logp").cast("float").alias("logp")).mapInArrow(hashed, "shard int, hash long, logp float")
+    return materialize(rows.repartitionById(n, F.col("shard")).mapInArrow(packed, "shard int, blob binary"), "op4-model")
+
+
+def broadcasts(model: DataFrame, size: int, group_bytes: int | None = None) -> list:
+    """The model as broadcasts of lists of blobs, by range of the hash, of about group_bytes at most."""
+    group_bytes = group_bytes or GROUP
+    stored = shards(model, size, group_bytes)
+    groups, total = [], 0
+    for shard, size_ in sorted((r.shard, r.b) for r in stored.select("shard", F.octet_length("blob").alias("b")).collect()):  # a row for each shard
+        if not groups or total + size_ > group_bytes:
+            groups.append([])
+            total = 0
+        groups[-1].append(shard)
+        total += size_
+    sc = stored.sparkSession.sparkContext
+    return [sc.broadcast([bytes(r.blob) for r in sorted(stored.where(F.col("shard").between(g[0], g[-1])).collect())]) for g in groups]
+
+
+class Entries:
+    """The entries of a range of hashes, from blobs in the order of their shards."""
+
+    def __init__(self, blobs: list[bytes]):
+        self.hashes = np.concatenate([np.frombuffer(b, U64, len(b) // ENTRY) for b in blobs])
+        self.logp = np.concatenate([np.frombuffer(b, np.float32, len(b) // ENTRY, 8 * (len(b) // ENTRY)) for b in blobs])
+        span = int(self.hashes[-1] - self.hashes[0])
+        self.shift = U64(max(0, span.bit_length() - (2 * len(self.hashes)).bit_length()))
+        per_bucket = np.bincount(((self.hashes - self.hashes[0]) >> self.shift).astype(np.int64))
+        self.first = np.concatenate(([0], np.cumsum(per_bucket)[:-1])).astype(np.int32)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where h has hashes that are here, and their log probabilities."""
+        inside = np.flatnonzero((h >= self.hashes[0]) & (h <= self.hashes[-1]))
+        x = h[inside]
+        at = self.first[((x - self.hashes[0]) >> self.shift).astype(np.int64)]
+        left = np.flatnonzero(self.hashes[at] < x)
+        while len(left):
+            at[left] += 1
+            left = left[self.hashes[at[left]] < x[left]]
+        found = self.hashes[at] == x
+        return inside[found], self.logp[at[found]]
+
+
+def _opened(sent: list) -> Iterator[Entries]:
+    """The groups, one after the other; a single group stays open in the worker's task."""
+    for b in sent:
+        if not hasattr(b, "_open"):
+            b._open = Entries(b.value)
+            del b._value
+        yield b._open
+        if len(sent) > 1:
+            del b._open
 
 
 def base_counts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -153,16 +211,19 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return [np.diff(bounds), chars, symbols, lines, repeats]
 
 
-def scored(rows: DataFrame, arrays: tuple[np.ndarray, np.ndarray], order: int = ORDER) -> DataFrame:
-    """Base counts and the mean negative log probability of each byte."""
-    sent = rows.sparkSession.sparkContext.broadcast(arrays)  # bounded by HASH_BITS
+def scored(rows: DataFrame, sent: list, order: int = ORDER) -> DataFrame:
+    """Base counts and the mean negative log probability of each byte; sent: the model's broadcasts."""
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, logp = sent.value
-        by_slot = np.full(1 << HASH_BITS, logp.min() if len(logp) else 0, np.float32)
-        by_slot[slots] = logp
-        for chunk, data, offsets in text_chunks(batches):
-            total = np.concatenate(([0.0], np.cumsum(by_slot[_slot(grams(data, offsets, order))], dtype=np.float64)))
+        for chunk, data, offsets in text_chunks(batches, PROBING if len(sent) > 1 else CHUNK):
+            h = mix(grams(data, offsets, order))
+            logp, least = np.full(len(h), np.nan, np.float32), 0.0
+            for entries in _opened(sent):
+                at, found = entries.find(h)
+                logp[at] = found
+                least = min(least, float(entries.logp.min()))
+            logp[np.isnan(logp)] = least
+            total = np.concatenate(([0.0], np.cumsum(logp, dtype=np.float64)))
             n = np.diff(offsets)
             nll = (total[offsets[:-1]] - total[offsets[1:]]) / np.maximum(n, 1)
             yield record(_SCORED, ids_of(chunk), ids_of(chunk, "lang"), *base_counts(data, offsets), pa.array(nll, mask=n == 0))
@@ -174,7 +235,7 @@ def rules(documents: DataFrame, fence: float = FENCE) -> DataFrame:
     """The verdicts, one row per document, with nll and the band of its language."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     counts = materialize(count_grams(rows), "op4-grams")
-    judged = scored(rows, hash_arrays(kneser_ney(counts)))
+    judged = scored(rows, broadcasts(kneser_ney(counts), counts.count()))
     judged = judged.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     judged = materialize(judged, "op4-scored")
     quartiles = judged.where("not base_failed").groupBy("lang").agg(F.percentile_approx("nll", [0.25, 0.75], 10_000).alias("q"))
