@@ -209,6 +209,13 @@ def test_quality_scores_merge_no_n_grams(spark, monkeypatch):
     assert {r.doc_id: r.nll for r in op4_quality.rules(rows).collect()} == whole
 
 
+def test_quality_rejects_labelled_junk(spark, sf):
+    sf = sf.replace("0.001", "0.1")
+    rows = QUERIES["op4_quality"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("not base_failed").toPandas()
+    junk, clean = rows[rows.quality == 0], rows[rows.quality == 1]
+    assert (~junk.kept).mean() > 0.2 and (~clean.kept).mean() < 0.01
+
+
 def test_language(documents):
     found = op8_language.predict(documents, {"de": b"der hund und die katze sind im haus " * 50, "en": PASSAGE.lower().encode() * 20}).collect()
     by_text = {r.doc_id: r for r in found}

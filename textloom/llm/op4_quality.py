@@ -9,7 +9,7 @@ no two n-grams are merged. The arrays grow with the corpus; they are cut by rang
 groups of at most about GROUP bytes, collected one group at a time; with more groups than one, every chunk of documents
 probes them in turn. Bands: documents that pass the base rules give the quartiles of their
 mean negative log probability for each language (null is a language of its own); a document
-beyond FENCE interquartile ranges of the quartiles is rejected.
+more than LOW interquartile ranges below the first quartile or HIGH above the third is rejected.
 
 Null texts are empty; texts without bytes have no perplexity and fail the base rules.
 """
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import CHUNK, NOT_SPACE, U64, byte_table, doc_of, ids_of, materialize, mix, partitions, record, span_hashes, table, text_chunks, word_spans
 
-#: Bytes in an n-gram (at most 7), width of a band in interquartile ranges.
-ORDER, FENCE = 5, 4.0
+#: Bytes in an n-gram (at most 7), widths of a band below and above the quartiles in interquartile ranges, set from labels.
+ORDER, LOW, HIGH = 5, 4.0, 2.0
 #: Bytes of an entry of the model, of entries in a broadcast, of text that probes several broadcasts in turn.
 ENTRY, GROUP, PROBING = 12, 64 << 20, 4 << 20
 #: N-grams that a counting task holds before it hands its counts on.
@@ -231,7 +231,7 @@ def scored(rows: DataFrame, sent: list, order: int = ORDER) -> DataFrame:
     return rows.mapInArrow(judged, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, nll double")
 
 
-def rules(documents: DataFrame, fence: float = FENCE) -> DataFrame:
+def rules(documents: DataFrame, below: float = LOW, above: float = HIGH) -> DataFrame:
     """The verdicts, one row per document, with nll and the band of its language."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     counts = materialize(count_grams(rows), "op4-grams")
@@ -240,7 +240,7 @@ def rules(documents: DataFrame, fence: float = FENCE) -> DataFrame:
     judged = materialize(judged, "op4-scored")
     quartiles = judged.where("not base_failed").groupBy("lang").agg(F.percentile_approx("nll", [0.25, 0.75], 10_000).alias("q"))
     low, high = F.col("q")[0], F.col("q")[1]
-    bands = quartiles.select(F.col("lang").alias("band_lang"), (low - fence * (high - low)).alias("band_low"), (high + fence * (high - low)).alias("band_high"))
+    bands = quartiles.select(F.col("lang").alias("band_lang"), (low - below * (high - low)).alias("band_low"), (high + above * (high - low)).alias("band_high"))
     joined = judged.join(bands, F.col("lang").eqNullSafe(F.col("band_lang")), "left")  # broadcast if its measured size allows
     kept = ~F.col("base_failed") & F.coalesce(F.col("nll").between(F.col("band_low"), F.col("band_high")), F.lit(False))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "nll", "band_low", "band_high")
