@@ -230,6 +230,14 @@ def test_language_held_out_accuracy(spark, sf):
     assert (rows.lang == rows.lang_pred).mean() > 0.97
 
 
+def test_language_learns_from_whole_texts(spark):
+    head = "this header in english opens every text and tells nothing of its language " * 5
+    rows = spark.createDataFrame([(i, head + " ".join(f"wort{i}x{j}" for j in range(400)), "de") for i in range(600)], "doc_id long, text string, lang string")
+    (learned,) = op8_language.learn(rows).values()
+    assert 20_000 < len(learned) <= op8_language.DICTIONARY and learned.count(b"header") < 60
+    assert op8_language.SAMPLE * op8_language.PIECE < 1.2 * op8_language.DICTIONARY
+
+
 def test_toxicity(documents, spark):
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 20)] + [(None, 1, 1), (3, None, None)], "doc_id long, toxic int, quality int")
     rows = op1_toxicity.score(documents, op1_toxicity.train(documents, labels)).collect()

@@ -1,8 +1,8 @@
 """Language ID by compression: the language whose raw-content dictionary compresses a text best.
 
 For each language a dictionary of at most DICTIONARY bytes is made of pieces of sampled
-documents, about SAMPLE of each language (chosen by a hash of the id, so the
-sample's size does not grow with the corpus). A whole text, A-Z lower-cased, is compressed in blocks of BLOCK bytes with
+documents, about SAMPLE of each language, just more than it holds (chosen by a hash of the id, so the
+sample's size does not grow with the corpus); a piece is taken at a hashed place of the whole text. A whole text, A-Z lower-cased, is compressed in blocks of BLOCK bytes with
 each dictionary; the smallest sum wins, and a lead over the next of less than MARGIN of its
 size is a rejection. One narrow pass; the dictionaries are broadcast.
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, ids_of, record, table, text_chunks
 
 #: Bytes of a dictionary; documents sampled for a language (expected number) and bytes taken of each; bytes of a block; level; least lead.
-DICTIONARY, SAMPLE, PIECE, BLOCK, LEVEL, MARGIN = 1 << 15, 400, 300, 512, 9, 0.004
+DICTIONARY, SAMPLE, PIECE, BLOCK, LEVEL, MARGIN = 1 << 15, 120, 300, 512, 9, 0.004
 #: Texts of fewer bytes are stretched and compressed at FINE_LEVEL.
 SHORT, FINE_LEVEL = 80, 12
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("accepted", pa.bool_())])
@@ -44,7 +44,8 @@ def learn(documents: DataFrame, sample: int = SAMPLE) -> dict[str, bytes]:
     for lang, n in sizes.items():
         chosen = chosen | ((F.col("lang") == lang) & (draw < int(min(1.0, sample / n) * (1 << 30))))
     pieces: dict[str, list[bytes]] = {lang: [] for lang in sizes}
-    for r in known.where(chosen).select("lang", F.substring("text", 1, PIECE).alias("text")).orderBy(F.xxhash64("doc_id"), "text").collect():
+    at = F.pmod(F.xxhash64("doc_id", F.lit("piece")), F.greatest(F.lit(1), F.length("text") - PIECE + 1)).cast("int") + 1
+    for r in known.where(chosen).select("doc_id", "lang", F.substring(F.col("text"), at, F.lit(PIECE)).alias("text")).orderBy(F.xxhash64("doc_id"), "text").collect():
         pieces[r.lang].append(r.text.encode())
     return {lang: b"\n".join(dict.fromkeys(pieces[lang])).lower()[-DICTIONARY:] for lang in sorted(pieces) if pieces[lang]}
 
