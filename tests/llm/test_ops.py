@@ -238,6 +238,15 @@ def test_language_learns_from_whole_texts(spark):
     assert op8_language.SAMPLE * op8_language.PIECE < 1.2 * op8_language.DICTIONARY
 
 
+def test_language_rejects_gibberish(spark, sf):
+    rng = np.random.default_rng(4)
+    noise = [(-i, " ".join("".join(map(chr, rng.integers(97, 123, rng.integers(2, 10)))) for _ in range(100))) for i in range(1, 101)]
+    documents = spark.read.parquet(sf.replace("0.001", "0.01") + "/documents.parquet")
+    texts = documents.where("octet_length(text) >= 80").select("doc_id", "text").unionByName(spark.createDataFrame(noise, "doc_id long, text string"))
+    rows = op8_language.predict(texts, op8_language.learn(documents)).toPandas()
+    assert rows[rows.doc_id < 0].accepted.mean() < 0.1 and rows[(rows.doc_id >= 0) & rows.held_out].accepted.mean() > 0.99
+
+
 def test_toxicity(documents, spark):
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 20)] + [(None, 1, 1), (3, None, None)], "doc_id long, toxic int, quality int")
     rows = op1_toxicity.score(documents, op1_toxicity.train(documents, labels)).collect()

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, ids_of, record, table, text_chunks
 
 #: Bytes of a dictionary; documents sampled for a language (expected number) and bytes taken of each; bytes of a block; level; least lead.
-DICTIONARY, SAMPLE, PIECE, BLOCK, LEVEL, MARGIN = 1 << 15, 120, 300, 512, 9, 0.004
+DICTIONARY, SAMPLE, PIECE, BLOCK, LEVEL, MARGIN = 1 << 15, 120, 300, 512, 9, 0.02
 #: Texts of fewer bytes are stretched and compressed at FINE_LEVEL.
 SHORT, FINE_LEVEL = 80, 12
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("accepted", pa.bool_())])
