@@ -60,13 +60,67 @@ def test_decontamination(documents, benchmark):
     assert clean.columns == documents.columns and 7 not in {r.doc_id for r in clean.collect()}
 
 
-def test_decontamination_in_blocks(documents, benchmark, monkeypatch):
+def test_decontamination_in_blocks(documents, benchmark, monkeypatch, tmp_path):
     whole = shape(op2_decontamination.report(documents, benchmark))
-    monkeypatch.setattr(op2_decontamination.blocks, "__defaults__", (20,))
-    assert len(op2_decontamination.blocks(benchmark)) > 4
+    monkeypatch.setattr(op2_decontamination, "BLOCK", 20)
+    monkeypatch.setattr(op2_decontamination, "OPEN", 1)  # nothing stays open
+    monkeypatch.setattr(op2_decontamination, "SHARD", 1000)
+    monkeypatch.setattr(op2_decontamination, "EXPANDED", 3)
+    built, build = tmp_path / "built", op2_decontamination.Block.__init__
+
+    def counted(self, *args):
+        with built.open("a") as f:
+            f.write(".")
+        build(self, *args)
+
+    monkeypatch.setattr(op2_decontamination.Block, "__init__", counted)
+    sent = op2_decontamination.blocks(benchmark)
+    assert len(sent) > 2
+    # workers import their own module, so that builds are counted here by opening what was sent: no build, however often
+    opened = op2_decontamination._Opened(sent)
+    assert [len(list(opened)) for _ in range(10)] == [len(sent)] * 10 and not built.exists()
     assert shape(op2_decontamination.report(documents, benchmark)) == whole
 
 
+#: Different, and equal under any polynomial hash modulo 2^64.
+TWINS = [bytes(97 + (i.bit_count() + k) % 2 for i in range(1024)).decode() for k in (0, 1)]
+
+
+def test_words_of_one_hash_are_told_apart(spark, tmp_path, monkeypatch):
+    import textloom.llm.common as common
+
+    raw = np.frombuffer("".join(TWINS).encode(), np.uint8)
+    a, b = np.array([0, 1024]), np.array([1024, 2048])
+    assert len(set(common.span_hashes(raw, a, b).tolist())) == 2 and common.equal_spans(raw, a, b, raw, a[::-1], b[::-1]).tolist() == [False, False]
+    docs = spark.createDataFrame([(1, TWINS[0]), (2, TWINS[1]), (3, f"{TWINS[0]} x y {TWINS[1]} x y {TWINS[0]} x y")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, TWINS[0])], "item_id long, text string")
+    assert [r.contaminated for r in op2_decontamination.report(docs, items).orderBy("doc_id").collect()] == [True, False, True]
+    tool = tokens.library(tokens.vocabulary_path())
+    expected = {r.doc_id: zlib.crc32(np.array([*tool.encode(r.text, add_special_tokens=False).ids, 2], "<u4").tobytes()) for r in docs.collect()}
+    assert {r.doc_id: r.ids_crc32 for r in op10_token_ids.token_files(docs, str(tmp_path / "t")).collect()} == expected
+    # the same with a hash that is the same for all words of a length
+    for module in (common, tokens, op2_decontamination):
+        monkeypatch.setattr(module, "span_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64))
+    words = "aa bb cc aa bb ccc aaa ccc aa".encode()
+    data, offsets = np.frombuffer(words, np.uint8), np.array([0, len(words)])
+    starts, ends, _ = common.word_spans(data, offsets, common.NOT_SPACE)
+    number, first = common.numbered(data, starts, ends)
+    said = [words[i:j] for i, j in zip(starts, ends)]
+    assert [said[first[k]] for k in number] == said and len(first) == len(set(said)) and set(number) == set(range(len(first)))
+    tokens._cache.cache_clear()
+    for text in ("aa bb cc", "bb aa dd cc aa", "cc dd ee"):
+        assert tokens.encode(tokens.vocabulary_path(), np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))[0].tolist() == tool.encode(text, add_special_tokens=False).ids
+    tokens._cache.cache_clear()
+    block = op2_decontamination.Block(["1"], ["aa bb cc"])
+    shard = op2_decontamination.words_of(data, offsets)
+    assert block.search(block.known(), *shard[:3], common.span_hashes(*shard[:3]), shard[3])[0].tolist() == [0]
+
+
+def test_repeated_words_are_exact():
+    text = f"{TWINS[0]} x y {TWINS[1]} x y".encode()
+    assert op4_quality.base_counts(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[4].tolist() == [0]
+
+
 def test_substrings(documents):
     same(op3_substrings.remove(documents), op3_substrings.SQL, documents=documents)
 

@@ -11,18 +11,18 @@ import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel works on at a time.
 CHUNK = 1 << 19
 U64 = np.uint64
-#: Base of the polynomial hash (odd) and constants of the 64-bit mixer.
+#: Multiplier of the span hash (odd) and constants of the 64-bit mixer.
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MIX1, _MIX2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 #: The four white-space classes of the contracts: space and \t \n \v \f \r.
@@ -49,10 +49,13 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the cluster's checkpoint folder, else one of our own."""
+    """The folder that all executors share: the cluster's checkpoint folder, else one in the warehouse; a local folder only if Spark runs on this machine alone."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-"))
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and sc.master.startswith("local"):
+            found = tempfile.mkdtemp(prefix="textloom-")
+        sc.setCheckpointDir(found or f"{spark.conf.get('spark.sql.warehouse.dir')}/textloom-checkpoints")
     return sc.getCheckpointDir()
 
 
@@ -96,21 +99,94 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-@lru_cache(maxsize=2)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << bits
-    inverse = pow(_BASE, -1, 1 << 64)
-    up, down = np.full(n, _BASE, U64), np.full(n, inverse, U64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64)
+#: Spans longer than this are hashed and compared one by one.
+_LONG = 256
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+
+
+def _windows(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as an integer; zeros follow the end."""
+    return np.ndarray(len(data) + 1, "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+
+
+def _steps(length: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    """(spans, offset, masks) of the eight-byte steps through spans that are not long."""
+    some, k = np.flatnonzero((length > 0) & (length <= _LONG)), 0
+    while len(some):
+        yield some, k, _KEEP[np.minimum(length[some] - k, 8)]
+        k += 8
+        some = some[length[some] > k]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each data[start:end], by prefix sums of a polynomial."""
-    up, down = _powers(max(20, int(len(data)).bit_length()))
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], dtype=U64, out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64) * U64(_BASE))
+    """A 64-bit hash of each data[start:end], mixed anew after every eight bytes. Equal hashes do not prove equal bytes: see numbered() and Spans."""
+    window, length = _windows(data), ends - starts
+    h = mix(length.astype(U64) * U64(_BASE))
+    for some, k, mask in _steps(length):
+        h[some] = mix(h[some] * U64(_BASE) + (window[starts[some] + k] & mask))
+    for i in np.flatnonzero(length > _LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return h
+
+
+def equal_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, data2: np.ndarray, starts2: np.ndarray, ends2: np.ndarray) -> np.ndarray:
+    """Whether the bytes of each data[start:end] are those of data2[start2:end2]."""
+    window, window2, length = _windows(data), _windows(data2), ends - starts
+    same = length == ends2 - starts2
+    for some, k, mask in _steps(np.where(same, length, 0)):
+        same[some] &= ((window[starts[some] + k] ^ window2[starts2[some] + k]) & mask) == 0
+    for i in np.flatnonzero(same & (length > _LONG)).tolist():
+        same[i] = np.array_equal(data[starts[i] : ends[i]], data2[starts2[i] : ends2[i]])
+    return same
+
+
+def numbered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each span, the same for the same bytes only, and a span of each number. h: the spans' hashes."""
+    _, first, number = np.unique(span_hashes(data, starts, ends) if h is None else h, return_index=True, return_inverse=True)
+    same = first[number]
+    odd = ~equal_spans(data, starts, ends, data, starts[same], ends[same])
+    if odd.any():  # different bytes, one hash
+        fresh: dict[bytes, int] = {}
+        for i in np.flatnonzero(odd).tolist():
+            number[i] = fresh.setdefault(data[starts[i] : ends[i]].tobytes(), len(first) + len(fresh))
+        _, again = np.unique(number, return_index=True)
+        first = again
+    return number, first
+
+
+class Spans:
+    """Distinct spans, found by hash and known by their bytes; slots count up from 0 in the order of adding."""
+
+    def __init__(self):
+        self.hash, self.slot = np.zeros(0, U64), np.zeros(0, np.int64)
+        self.raw, self.start, self.end = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.slot)
+
+    def add(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> None:
+        """Adds spans that are distinct and not there yet."""
+        order = np.argsort(h, kind="stable")
+        at = np.searchsorted(self.hash, h[order])
+        self.hash = np.insert(self.hash, at, h[order])
+        self.slot = np.insert(self.slot, at, order + len(self.start))
+        stops = np.cumsum(ends - starts) + len(self.raw)
+        self.raw = np.concatenate((self.raw, data[ragged(starts, ends - starts)]))
+        self.start, self.end = np.concatenate((self.start, stops - (ends - starts))), np.concatenate((self.end, stops))
+
+    def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The slot of each span, -1 if it is not there."""
+        out, at, left = np.full(len(h), -1, np.int64), np.searchsorted(self.hash, h), np.arange(len(h))
+        while True:
+            left = left[at[left] < len(self.hash)]
+            left = left[self.hash[at[left]] == h[left]]
+            if not len(left):
+                return out
+            slot = self.slot[at[left]]
+            same = equal_spans(data, starts[left], ends[left], self.raw, self.start[slot], self.end[slot])
+            out[left[same]] = slot[same]
+            left = left[~same]
+            at[left] += 1
 
 
 def byte_table(members: Iterable[int]) -> np.ndarray:

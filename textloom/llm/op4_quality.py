@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import CHUNK, NOT_SPACE, U64, byte_table, doc_of, ids_of, materialize, mix, partitions, record, span_hashes, table, text_chunks, word_spans
+from .common import CHUNK, NOT_SPACE, U64, byte_table, doc_of, ids_of, materialize, mix, numbered, partitions, record, table, text_chunks, word_spans
 
 #: Bytes in an n-gram (at most 7), widths of a band below and above the quartiles in interquartile ranges, set from labels.
 ORDER, LOW, HIGH = 5, 4.0, 2.0
@@ -188,18 +188,22 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
     chars = per_doc(NOT_SPACE[data] & ((data & 0xC0) != 0x80))
     symbols = per_doc(_SYMBOLS[data])
-    doc, h = doc_of(bounds), span_hashes(data, starts, ends)
+    doc, words = doc_of(bounds), len(starts)
     repeats = np.zeros(n_docs, np.int64)
-    if len(h) > 2:
-        with np.errstate(over="ignore"):
-            three = mix(h[:-2] * U64(0x9E3779B97F4A7C15) + mix(h[1:-1] * U64(0xC2B2AE3D27D4EB4F) + h[2:]) + doc[:-2].astype(U64) * U64(0x165667B19E3779F9))
+    if words > 2:
+        number, first = numbered(data, starts, ends)
+        three = doc[:-2]  # the document and the three words, as one integer
+        for word in (number[:-2], number[1:-1], number[2:]):
+            if (int(three.max()) + 1) * len(first) >= 1 << 62:
+                three = np.unique(three, return_inverse=True)[1]
+            three = three * len(first) + word
         inside = np.flatnonzero(doc[:-2] == doc[2:])
         order = inside[np.argsort(three[inside])]
         same = three[order][1:] == three[order][:-1]
         twice = np.zeros(len(order), bool)
         twice[1:] |= same
         twice[:-1] |= same
-        covered = np.zeros(len(h), bool)
+        covered = np.zeros(words, bool)
         for step in range(3):
             covered[order[twice] + step] = True
         total = np.concatenate(([0], np.cumsum(covered)))

@@ -4,7 +4,7 @@ The word tokenizer drops white space, then matches a letter run, a digit, an Eng
 apostrophe or a run of other characters; none of these spans white space, or a change between ASCII
 letters, digits and punctuation other than an apostrophe. So the ids of a text are those of the pieces
 between such places, in order. Each distinct piece (A-Z lower-cased, as the tokenizer does) is
-encoded once and kept in a worker's cache of at most CACHE pieces, by a 64-bit hash. Pieces go to the library
+encoded once and kept in a worker's cache of at most CACHE pieces, found by hash and compared byte by byte. Pieces go to the library
 together, separated by its end token. A text that holds a special token's opening `<|` goes to
 the library whole, as only there it can be special.
 """
@@ -17,10 +17,10 @@ from functools import lru_cache
 
 import numpy as np
 
-from .common import LOWER, ragged, span_hashes
+from .common import LOWER, Spans, numbered, ragged, span_hashes
 
-#: Pieces that a worker remembers, and pieces that go to the library at once.
-CACHE, TOGETHER = 1_000_000, 2000
+#: Pieces and bytes of them that a worker remembers (more only while a chunk needs them), and pieces that go to the library at once.
+CACHE, CACHE_BYTES, TOGETHER = 1_000_000, 64 << 20, 2000
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -47,25 +47,17 @@ def library(path: str):
 
 
 class _Cache:
-    """Sorted piece hashes with the places of their ids."""
+    """Pieces with the places of their ids, by slot."""
 
     def __init__(self):
         self.clear()
 
     def clear(self) -> None:
-        self.key, self.start, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.pieces, self.start, self.length, self.ids = Spans(), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def missing(self, keys: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.key, keys), max(len(self.key) - 1, 0))
-        return np.flatnonzero(self.key[at] != keys) if len(self.key) else np.arange(len(keys))
-
-    def add(self, keys: np.ndarray, ids: np.ndarray, length: np.ndarray) -> None:
-        at = np.searchsorted(self.key, keys)
-        self.key = np.insert(self.key, at, keys)
-        self.start = np.insert(self.start, at, np.cumsum(length) - length + len(self.ids))
-        self.length = np.insert(self.length, at, length)
-        self.ids = np.concatenate((self.ids, ids))
+    def add(self, ids: np.ndarray, length: np.ndarray) -> None:
+        self.start = np.concatenate((self.start, np.cumsum(length) - length + len(self.ids)))
+        self.length, self.ids = np.concatenate((self.length, length)), np.concatenate((self.ids, ids))
 
 
 @lru_cache(maxsize=2)
@@ -119,17 +111,21 @@ def encode(path: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray
         low = LOWER[data]
         starts, ends = _pieces(low, offsets)
         h = span_hashes(low, starts, ends)
-        distinct, first, number = np.unique(h, return_index=True, return_inverse=True)
+        number, first = numbered(low, starts, ends, h)
+        a, b, h = starts[first], ends[first], h[first]
         cache = _cache(path)
-        new = cache.missing(distinct)
+        slot = cache.pieces.find(low, a, b, h)
+        new = np.flatnonzero(slot < 0)
         if len(new):
-            if len(cache.key) + len(new) > CACHE:
+            if len(cache.pieces) + len(new) > CACHE or len(cache.pieces.raw) + int((b - a)[new].sum()) > CACHE_BYTES:
                 cache.clear()
-                new = np.arange(len(distinct))
+                new = np.arange(len(first))
             text = low.tobytes()
-            words = [text[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
-            cache.add(distinct[new], *_library_ids(path, words))
-        at = np.searchsorted(cache.key, distinct)[number]
+            words = [text[i:j].decode() for i, j in zip(a[new].tolist(), b[new].tolist(), strict=True)]
+            slot[new] = len(cache.pieces) + np.arange(len(new))
+            cache.add(*_library_ids(path, words))
+            cache.pieces.add(low, a[new], b[new], h[new])
+        at = slot[number]
         length = cache.length[at]
         ids = cache.ids[ragged(cache.start[at], length)]
         total = np.concatenate(([0], np.cumsum(length)))
