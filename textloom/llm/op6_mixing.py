@@ -2,8 +2,10 @@
 
 Documents fall into cells of source, language and topic. Iterative proportional fitting
 starts from the cells' token counts and scales them, margin after margin, until the token
-shares of every source, language and topic meet their targets. A document stays with
-probability min(1, RATE * raked weight / tokens) of its cell, decided by a hash of its id, so the same
+shares of every source, language and topic meet their targets. A document stays with a
+probability in proportion to raked weight / tokens of its cell, scaled so that the cell that needs most keeps RATE of its
+documents: no probability passes 1 and none is cut, so that the sample's expected shares are the raked ones, and with RATE 1 it is the
+largest such sample without copies. A hash of the id decides, so the same
 sample comes out of any run. Only DataFrame functions are used, and only cells are shuffled.
 
 A target is a mapping of values to weights (values that it lacks keep their own tokens), or an exponent:
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-#: Exponents of the token shares, rounds of raking, rounds between cuts of the lineage, share to keep of a cell at its target.
+#: Exponents of the token shares, rounds of raking, rounds between cuts of the lineage, share to keep of the cell that needs most.
 TARGETS: dict[str, float | dict[str, float]] = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 ROUNDS, CUT, RATE = 12, 4, 1.0
 SEED = "mix-1"
@@ -41,19 +43,25 @@ def _features(documents: DataFrame) -> DataFrame:
     return found.withColumns({"__mix_source": F.col("source").cast("string"), "__mix_lang": F.col("lang").cast("string"), "__mix_topic": topic_of(text, tokens)})
 
 
+def _goal(target: float | dict[str, float], value: Column, own: Column) -> Column:
+    """A value's goal before its margin is scaled."""
+    if not isinstance(target, dict):
+        return F.pow(own, F.lit(float(target)))
+    given = F.create_map(*chain.from_iterable((F.lit(k), F.lit(float(v))) for k, v in target.items()))[value] if target else F.lit(None)
+    return F.coalesce(given, own)
+
+
 def rake(cells: DataFrame, targets: dict = TARGETS, rounds: int = ROUNDS) -> DataFrame:
     """cells: the targets' columns and tokens (positive); the same with weight raked to the targets' marginals."""
-    everything = Window.partitionBy(F.lit(0))
-    cells = cells.withColumn("weight", F.col("tokens").cast("double"))
+    cells = materialize(cells.withColumn("weight", F.col("tokens").cast("double")), "op6-cells")
+    total = cells.agg(F.sum("tokens")).first()[0] or 0
     for dim, target in targets.items():
+        margin = cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("__own")).withColumn("__goal", _goal(target, F.col(dim), F.col("__own")))
+        scale = total / (margin.agg(F.sum("__goal")).first()[0] or 1.0)  # a number for each margin
         own = F.sum("tokens").over(Window.partitionBy(dim)).cast("double")
-        goal = F.pow(own, F.lit(float(target))) if not isinstance(target, dict) else F.coalesce(F.create_map(*chain.from_iterable((F.lit(k), F.lit(float(v))) for k, v in target.items()))[F.col(dim)], own) if target else own
-        cells = cells.withColumn("__own", own).withColumn(f"__goal_{dim}", goal)
-        # A margin's goals, of which each value has one, scaled to all tokens.
-        first = F.when(F.row_number().over(Window.partitionBy(dim).orderBy(*targets)) == 1, F.col(f"__goal_{dim}"))
-        cells = cells.withColumn("__first", first).withColumn(f"__goal_{dim}", F.col(f"__goal_{dim}") * F.sum("tokens").over(everything) / F.sum("__first").over(everything)).drop("__own", "__first")
+        cells = cells.withColumn(f"__goal_{dim}", _goal(target, F.col(dim), own) * F.lit(scale))
     for k in range(rounds):
-        if k % CUT == 0:
+        if k and k % CUT == 0:
             cells = materialize(cells, "op6-cells")
         for dim in targets:
             cells = cells.withColumn("weight", F.col("weight") * F.col(f"__goal_{dim}") / F.sum("weight").over(Window.partitionBy(dim)))
@@ -66,10 +74,11 @@ def calibrated(documents: DataFrame, targets: dict = TARGETS, rate: float = RATE
     dims = {f"__mix_{d}": d for d in targets}
     cells = rows.where("__mix_tokens > 0").groupBy(*(F.col(m).alias(d) for m, d in dims.items())).agg(F.sum("__mix_tokens").alias("tokens"))
     raked = rake(cells, targets).select(*(F.col(d).alias(f"__cell_{d}") for d in targets), (F.col("weight") / F.col("tokens")).alias("__cell_weight"))
+    largest = raked.agg(F.max("__cell_weight")).first()[0] or 1.0
     same = [F.col(m).eqNullSafe(F.col(f"__cell_{d}")) for m, d in dims.items()]
     joined = rows.join(raked, [*same], "left")  # broadcast if the cells' measured size allows
     weight = F.when(F.col("__mix_tokens") > 0, F.col("__cell_weight")).otherwise(0.0)
-    prob = F.least(F.lit(1.0), F.lit(rate) * F.col("__mix_weight"))
+    prob = F.col("__mix_weight") / F.lit(largest) * F.lit(rate)
     draw = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{SEED}"))), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
     out = joined.withColumn("__mix_weight", weight).withColumn("__mix_prob", prob).withColumn("__mix_sampled", draw < F.col("__mix_prob"))
     return out.drop("__cell_weight", *(f"__cell_{d}" for d in targets))
@@ -112,7 +121,7 @@ goals as materialized (select cells.*, {", ".join(f"goal_{d}" for d in TARGETS)}
 o as (select f.doc_id, f.source, f.lang, f.topic, f.n_tokens, case when f.n_tokens > 0 then c.weight / c.tokens else 0.0 end as w,
     ('0x' || substr(md5(coalesce(f.doc_id::varchar, 'null') || ':{SEED}'), 1, 12))::bigint::double / {float(1 << 48)} as u
     from f left join {last} c on {same})
-select doc_id, source, lang, topic, n_tokens, round(w, 6) as weight, round(least(1.0, {RATE} * w), 6) as prob, u < least(1.0, {RATE} * w) as sampled from o
+select doc_id, source, lang, topic, n_tokens, round(w, 6) as weight, round(w / m * {RATE}, 6) as prob, u < w / m * {RATE} as sampled from o, (select coalesce(max(weight / tokens), 1.0) as m from {last})
 """
 
 
