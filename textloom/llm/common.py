@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,8 +67,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def spread_join(rows: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined to `one`, which has a key once: keys that hold more than a task's share of rows are dealt over as many tasks as they hold shares.
+
+    There are fewer such keys than partitions, and fewer than twice as many extra rows in `one`; both sides should be stored tables, as they are read twice.
+    """
+    n, total = partitions(rows.sparkSession), rows.count()
+    shares = F.ceil(F.col("n") * n / max(total, 1)).cast("int")
+    hot = materialize(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") * n > total).select(key, shares.alias("__shares")), "hot-keys")
+    part = F.pmod(F.xxhash64(*rows.columns, F.lit("part")), F.coalesce("__shares", F.lit(1)))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("__part", part.cast("int")).drop("__shares")  # fewer rows than partitions
+    copies = one.join(F.broadcast(hot), key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__shares", F.lit(1)) - 1))).drop("__shares")
+    return dealt.join(copies, [key, "__part"], how).drop("__part")
 
 
 def text_chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK, col: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:

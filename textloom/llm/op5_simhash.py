@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, ids_of, materialize, partitions, record, table, text_chunks, texts
+from .common import LOWER, U64, ids_of, materialize, partitions, record, spread_join, table, text_chunks, texts
 
 #: Differing bits that link, words in a shingle, seed of XXH64.
 RADIUS, SHINGLE, SEED = 2, 3, 42
@@ -183,10 +183,10 @@ def components(links: DataFrame) -> DataFrame:
     both = materialize(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))), "op5-links")
     label = materialize(both.groupBy("u").agg(F.least("u", F.min("v")).alias("label")).withColumnRenamed("u", "node"), "op5-labels")
     while True:
-        seen = both.join(label.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("label").alias("seen")).withColumnRenamed("u", "node")
-        lower = label.join(seen, "node").select("node", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
+        seen = spread_join(both, label.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("label").alias("seen")).withColumnRenamed("u", "node")
+        lower = materialize(label.join(seen, "node").select("node", F.col("label").alias("old"), F.least("label", "seen").alias("label")), "op5-seen")
         jump = label.select(F.col("node").alias("label"), F.col("label").alias("jump"))
-        lower = materialize(lower.join(jump, "label").select("node", "old", F.least("label", "jump").alias("label")), "op5-labels")
+        lower = materialize(spread_join(lower, jump, "label").select("node", "old", F.least("label", "jump").alias("label")), "op5-labels")
         label = lower.select("node", "label")
         if not lower.where("old <> label").take(1):
             return label
@@ -197,10 +197,11 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     prints = materialize(fingerprints(documents), "op5-fingerprints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "op5-distinct")
     label = components(stars(distinct))
-    joined = distinct.join(label, F.col("fp") == F.col("node"), "left")
+    joined = distinct.join(label, F.col("fp") == F.col("node"), "left").select("fp", "first", "label")
+    joined = materialize(joined, "op5-joined")
     least = joined.where("label is not null").groupBy("label").agg(F.min("first").alias("least"))
-    of = joined.join(least, "label", "left").select("fp", F.when(F.col("label").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
-    return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = spread_join(joined, least, "label", "left").select("fp", F.when(F.col("label").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
+    return spread_join(prints, materialize(of, "op5-components"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

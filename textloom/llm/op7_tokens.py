@@ -4,7 +4,7 @@ The cache is a Parquet table (version, digest, n_tokens), digest being SHA-256 o
 with null as empty, version a digest of the vocabulary and the library's version. Documents' distinct
 digests that it lacks are the misses; one document of each is encoded and the
 counts are appended; then all documents join the cache. A hot text is one row among the
-distinct digests, and Spark splits the skew of the last, narrow join.
+distinct digests, and its rows are dealt over several tasks in the last, narrow join.
 
 Null and empty texts have no tokens. Rows that share a text share a cache row. The cache is read once
 before and once after the append, so a rerun after a failure only finds more rows, and rows written twice count once.
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import ids_of, materialize, record, row_key, shared_dir, table, text_chunks, texts
+from .common import ids_of, materialize, record, row_key, shared_dir, spread_join, table, text_chunks, texts
 
 #: Tokens above which a document is over the limit.
 LIMIT = 2048
@@ -54,7 +54,7 @@ def counts(documents: DataFrame, cache: str, vocabulary: str | None = None, limi
     new = new.mapInArrow(counted, "digest binary, n_tokens long")
     new.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
     known = cached(spark, cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return narrow.join(known, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return spread_join(narrow, known, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
