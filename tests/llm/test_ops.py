@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+import zstandard
 
 from textloom.llm import op1_toxicity, op2_decontamination, op3_substrings, op4_quality, op5_simhash, op6_mixing, op7_tokens, op8_language, op9_lines, op10_token_ids, tokens
 from textloom.llm.queries import QUERIES, SQL
@@ -157,6 +158,30 @@ def test_raking_meets_targets(spark):
     assert np.allclose(raked.groupby("b", dropna=False).weight.sum() / total, 0.5)
 
 
+def test_sample_has_the_target_shares(spark, sf):
+    rows = op6_mixing.mixing(spark.read.parquet(sf.replace("0.001", "0.01") + "/documents.parquet")).toPandas()
+    assert rows.prob.max() == 1 and rows.prob.between(0, 1).all()
+    for dim in op6_mixing.TARGETS:
+        goal = rows.groupby(dim, dropna=False).n_tokens.sum() ** op6_mixing.TARGETS[dim]
+        share = (rows.prob * rows.n_tokens).groupby(rows[dim], dropna=False).sum()
+        assert np.allclose(share / share.sum(), goal / goal.sum(), rtol=0.001)
+    drawn = (rows.sampled * rows.n_tokens).groupby(rows.lang, dropna=False).sum()
+    goal = rows.groupby("lang", dropna=False).n_tokens.sum() ** op6_mixing.TARGETS["lang"]
+    assert np.allclose(drawn / drawn.sum(), goal / goal.sum(), atol=0.05)  # 330 documents are drawn
+
+
+def test_spread_join(spark, tmp_path):
+    from textloom.llm.common import spread_join
+
+    rows = [(i, "hot" if i % 4 else f"k{i % 40}") for i in range(2000)] + [(-1, None)]
+    spark.createDataFrame(rows, "i long, k string").write.parquet(str(tmp_path / "rows"))
+    spark.createDataFrame([(k, k * 2) for k in {k for _, k in rows if k} - {"k0"}], "k string, v string").write.parquet(str(tmp_path / "one"))
+    left, one = spark.read.parquet(str(tmp_path / "rows")), spark.read.parquet(str(tmp_path / "one"))
+    for how in ("inner", "left"):
+        found = spread_join(left, one, "k", how)
+        assert found.columns == ["k", "i", "v"] and found.exceptAll(left.join(one, "k", how)).count() == 0 and found.count() == left.join(one, "k", how).count()
+
+
 def brute_simhash(text):
     words = re.findall(rb"[^\x20\x09-\x0d]+", (text or "").translate({c: c + 32 for c in range(65, 91)}).encode())
     if not words:
@@ -279,6 +304,34 @@ def test_language(documents):
     assert {r.lang_pred for r in op8_language.predict(documents, op8_language.learn(documents)).collect()} <= {"en", "de", "und"}
 
 
+def test_language_sizes_and_ties(spark):
+    learned = {"a": b"wort haus hund katze und der die das " * 30, "b": b"word house hound cat and the of in " * 30}
+    texts = ["Der Hund", "the cat and the house " * 90, "x", "WORT word", "haus " * 300 + "house"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in op8_language.predict(rows, learned).collect():
+        low = b" " + texts[r.doc_id].lower().encode() + b" "
+        took = {}
+        for lang, raw in learned.items():
+            tool = zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
+            took[lang] = sum(len(tool.compress(low[i : i + 512] + bytes(64))) for i in range(0, len(low), 512))
+        assert r.lang_pred == min(took, key=lambda lang: (took[lang], lang)) and r.score == pytest.approx(1 - min(took.values()) / max(took.values()))
+    tied = op8_language.predict(rows, {"z": learned["a"], "y": learned["a"]}).collect()
+    assert {(r.lang_pred, r.score, r.accepted) for r in tied} == {("z", 0.0, False)}  # the first; learn() gives them by name
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(op8_language, "LANGUAGES", 1)
+        with pytest.raises(ValueError):
+            op8_language.learn(spark.createDataFrame([(i, "text", f"l{i}") for i in range(9)], "doc_id long, text string, lang string"))
+
+
+def test_language_of_short_texts(spark, sf):
+    documents = spark.read.parquet(sf.replace("0.001", "0.01") + "/documents.parquet")
+    words = documents.select("doc_id", "text", "lang").where("lang is not null and doc_id % 3 = 0").collect()
+    some = [(r.doc_id, " ".join(r.text.split()[20:25]), r.lang) for r in words if r.text and len(r.text.split()) > 40]
+    rows = op8_language.predict(spark.createDataFrame(some, "doc_id long, text string, lang string"), op8_language.learn(documents)).where("held_out").toPandas()
+    lang = {d: x for d, _, x in some}
+    assert len(rows) > 80 and (rows.lang_pred == rows.doc_id.map(lang)).mean() > 0.95
+
+
 def test_language_held_out_accuracy(spark, sf):
     rows = QUERIES["op8_language"](spark, sf.replace("0.001", "0.01")).join(spark.read.parquet(sf.replace("0.001", "0.01") + "/documents.parquet"), "doc_id").where("held_out").toPandas()
     assert (rows.lang == rows.lang_pred).mean() > 0.97
@@ -346,7 +399,8 @@ def test_pipeline(spark, sf):
         after = stage(spark, docs, sf)
         assert after.columns == docs.columns
         after = spark.createDataFrame(after.toArrow())
-        assert after.exceptAll(docs).count() == 0 and 0.5 * docs.count() < after.count() <= docs.count()
+        least = 0.15 if stage is p.mixing else 0.5  # as many as meet the targets without copies
+        assert after.exceptAll(docs).count() == 0 and least * docs.count() < after.count() <= docs.count()
         docs = after
     prints = [brute_simhash(r.text) for r in docs.collect()]
     assert all((a ^ b).bit_count() > 2 for i, a in enumerate(prints) for b in prints[:i])
@@ -354,3 +408,24 @@ def test_pipeline(spark, sf):
     expected = {r.doc_id: len(tool.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in docs.collect()}
     assert {r.doc_id: r.n_tokens for r in p.run(spark, sf).collect()} == expected
     assert hashlib.sha256(b"").hexdigest() == op2_decontamination.EMPTY_SHA and pa is not None
+
+
+def test_pipeline_stages_on_edge_rows(spark, sf, documents):
+    import corpus_pipeline as p
+
+    ids = lambda df: sorted((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in df.collect())
+    before = ids(documents)
+    for name, stage in p.STAGES:
+        for rows in (documents, documents.limit(0)):
+            after = stage(spark, rows, sf)
+            if name == "token_ids":
+                assert after.count() == rows.count()
+            else:
+                assert after.columns == rows.columns and after.exceptAll(rows).count() == 0
+    near = ids(p.near_duplicates(spark, documents, sf))
+    # exact copies 5 and 6, the row without an id and the second row 5 leave 5 alone; ids 5 and 6 have two texts
+    assert [x for x in near if x[2] == PASSAGE] == [x for x in before if x[:2] == (True, 5)]
+    assert ids(p.decontamination(spark, documents, sf)) == before
+    assert {x[2] for x in ids(p.mixing(spark, documents, sf))} <= {x[2] for x in before if x[2].strip()}
+    clear = ids(p.language(spark, documents, sf))
+    assert all(any(c.isalpha() for c in x[2]) for x in clear)
