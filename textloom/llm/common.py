@@ -114,7 +114,7 @@ _LONG = 256
 _KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
-def _windows(data: np.ndarray) -> np.ndarray:
+def eight_bytes(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each place on, as an integer; zeros follow the end."""
     return np.ndarray(len(data) + 1, "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
 
@@ -130,7 +130,7 @@ def _steps(length: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each data[start:end], mixed anew after every eight bytes. Equal hashes do not prove equal bytes: see numbered() and Spans."""
-    window, length = _windows(data), ends - starts
+    window, length = eight_bytes(data), ends - starts
     h = mix(length.astype(U64) * U64(_BASE))
     for some, k, mask in _steps(length):
         h[some] = mix(h[some] * U64(_BASE) + (window[starts[some] + k] & mask))
@@ -141,7 +141,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 def equal_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, data2: np.ndarray, starts2: np.ndarray, ends2: np.ndarray) -> np.ndarray:
     """Whether the bytes of each data[start:end] are those of data2[start2:end2]."""
-    window, window2, length = _windows(data), _windows(data2), ends - starts
+    window, window2, length = eight_bytes(data), eight_bytes(data2), ends - starts
     same = length == ends2 - starts2
     for some, k, mask in _steps(np.where(same, length, 0)):
         same[some] &= ((window[starts[some] + k] ^ window2[starts2[some] + k]) & mask) == 0

@@ -5,18 +5,20 @@ that loses nothing. Each 50-byte window belongs to one anchor: the position of t
 hash among its 16-byte strings. Equal windows have equal anchors at equal distances, so
 duplicates can only lie in windows whose anchor string occurs in two documents.
 
-1. Anchors (one for about 18 bytes): tasks find strings that two of their documents share
-   and send 48 bits of the rest to hash buckets, which answer with those that others hold.
+1. Filter: anchors (one for about 18 bytes) whose string no other document has need no sorting. Tasks find strings that two of their
+   documents share and send 48 bits of the rest to hash buckets, which answer with those that others hold; a false answer only costs a comparison.
 2. Suffixes at shared anchors, with the bytes of their windows, are range-partitioned by their
    16 leading bytes and a salt, at splitters from a bounded sample; a hot string so spreads over
-   several buckets. A bucket sorts its suffixes by multikey quicksort (8-byte words, ties only),
-   joins equal ones, and compares the windows of the distinct ones.
-3. Boundaries: windows of a string that spans buckets are compared by hash across them,
-   each bucket sending only the smallest id for a window.
+   several buckets. A bucket sorts its suffixes by multikey quicksort and joins equal neighbours. Slab by slab (whole strings) it
+   sorts the suffixes that begin with the windows of the distinct ones in the same way; neighbours that have LENGTH bytes in common
+   are equal windows, of which only those of the smallest id stay.
+3. Boundaries: windows of a string that spans buckets are sorted and compared across them,
+   each bucket sending only those of the smallest id.
 4. Documents join their intervals over the shuffle that step 2 made.
 
-Work is linear in a group of copies: a suffix is compared with its group's smallest id only.
-Equality of windows is by 64-bit hash after equal anchors, anchors by 48 bits and a bucket.
+Work is linear in a group of copies: a suffix is compared with its group's smallest id only. Bytes are compared, not hashes.
+Buckets hold the suffixes of about BUCKET bytes of text, whatever the corpus: a partition is made of several, which Spark
+sorts (spilling if need be) and a task handles one after the other.
 
 Null texts are empty; texts under 50 bytes stay whole; a row without an id neither removes nor loses
 anything. Rows with one id never remove from each other, so exact repeats of a row stay alike.
@@ -26,6 +28,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +38,17 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, ids_of, mix, partitions, ragged, record, row_key, span_hashes, table, text_chunks, texts
+from .common import U64, eight_bytes, ids_of, mix, partitions, ragged, record, row_key, span_hashes, table, text_chunks, texts
 
 #: Bytes of a duplicate, bytes of an anchor's string, windows that an anchor is the least of.
 LENGTH, ANCHOR = 50, 16
 SPAN = LENGTH - ANCHOR + 1
 #: Anchors that a task holds before it sends them; documents and anchors of each in the sample for splitters.
 HELD, SAMPLE, SAMPLE_EACH = 1 << 19, 4000, 32
-#: Bytes of suffixes of which the windows are compared at a time; bytes of text in a chunk and of windows whose anchors are found at a time.
-SLAB, CHUNK, BLOCK = 1 << 19, 1 << 20, 1 << 18
+#: Bytes of suffixes of which the windows are compared at a time; bytes of text in a chunk and of windows whose anchors are found at a time; of text for a bucket.
+SLAB, CHUNK, BLOCK, BUCKET = 1 << 19, 1 << 20, 1 << 18, 4 << 20
+#: Rows that quicksort hands to a plain sort, words of a window.
+SMALL, WORDS = 1024, -(-LENGTH // 8)
 _LOW48 = U64((1 << 48) - 1)
 _B = [U64(pow(0x9E3779B97F4A7C15, 1 << k, 1 << 64)) for k in range(4)]
 
@@ -52,8 +58,8 @@ _SUFFIXES = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("rows", p
 _FOUND = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 #: Duplicate windows of a document: its id, first and last+1 start.
 _SPAN = np.dtype([("id", "<i8"), ("lo", "<u4"), ("hi", "<u4")])
-#: An undecided window: its document's key, and itself.
-_OPEN = np.dtype([("key", "<i8"), ("id", "<i8"), ("lo", "<u4"), ("hi", "<u4")])
+#: An undecided window: its document's key, itself and its bytes.
+_OPEN = np.dtype([("key", "<i8"), ("id", "<i8"), ("lo", "<u4"), ("hi", "<u4"), ("words", "<u8", (WORDS,))])
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
@@ -125,6 +131,23 @@ def _from_blob(blob: bytes | pa.Buffer, width: int) -> tuple[np.ndarray, np.ndar
     return np.repeat(own, counts), np.frombuffer(blob, np.uint8, offset=8 + 12 * n).reshape(-1, width)
 
 
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple]]]:
+    """(bucket, its rows' other columns, as buffers or numbers) of rows that are sorted by bucket; a bucket's rows must be used up before the next."""
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            columns = [(x.as_buffer() for x in c) if pa.types.is_binary(c.type) else c.to_pylist() for c in batch.columns]
+            yield from zip(*columns, strict=True)
+
+    for bucket, some in groupby(rows(), key=itemgetter(0)):
+        yield bucket, (row[1:] for row in some)
+
+
+def _dealt(rows: DataFrame, n: int, each: int) -> DataFrame:
+    """Rows of n * each buckets, `each` in a partition, sorted by bucket there."""
+    return rows.repartitionById(n, F.floor(F.col("bucket") / each).cast("int")).sortWithinPartitions("bucket")
+
+
 def _probes(n: int):
     """Sends anchor hashes to buckets: strings known to be shared at once, the others to be compared."""
 
@@ -179,48 +202,42 @@ def _answers(n: int):
     """Of one bucket: the hashes that documents of several tasks hold, for the blocks of these documents."""
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, keys, marks = [], [], [np.zeros(0, U64)]
-        for batch in batches:
-            known = [], []
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = np.frombuffer(blob.as_buffer(), np.uint8)
+        for bucket, rows in _buckets(batches):
+            hashes, keys, marks = [], [], [np.zeros(0, U64)]
+            for (blob,) in rows:
+                raw = np.frombuffer(blob, np.uint8)
                 if raw[0] == 2:  # known where it was made
-                    known[0].append(bucket)
-                    known[1].append(raw[1:].tobytes())
+                    yield record(_BLOBS, [bucket], [raw[1:].tobytes()])
                 elif raw[0] == 1:
                     marks.append(_unpack48(raw[1:]))
                 else:
                     m = int(raw[1:5].view("<u4")[0])
                     keys.append(np.repeat(raw[5 : 5 + 8 * m].view("<i8"), raw[5 + 8 * m : 5 + 12 * m].view("<u4")))
                     hashes.append(_unpack48(raw[5 + 12 * m :]))
-            if known[0]:
-                yield record(_BLOBS, *known)
-        if not hashes:
-            return
-        h, key = np.concatenate(hashes), np.concatenate(keys)
-        hashes.clear()
-        order = np.argsort(h)
-        hs = h[order]
-        same = hs[1:] == hs[:-1]
-        shared = np.zeros(len(h), bool)
-        shared[1:] |= same
-        shared[:-1] |= same
-        mark = np.unique(np.concatenate(marks))
-        if len(mark):
-            shared |= mark[np.minimum(np.searchsorted(mark, hs), len(mark) - 1)] == hs
-        found = order[shared]
-        if len(found):
-            rows = list(_to_blocks(key[found], _pack48(h[found]), 6, n))
-            yield record(_BLOBS, [b for b, _ in rows], [x for _, x in rows])
+            if not hashes:
+                continue
+            h, key = np.concatenate(hashes), np.concatenate(keys)
+            order = np.argsort(h)
+            hs = h[order]
+            same = hs[1:] == hs[:-1]
+            shared = np.zeros(len(h), bool)
+            shared[1:] |= same
+            shared[:-1] |= same
+            mark = np.unique(np.concatenate(marks))
+            if len(mark):
+                shared |= mark[np.minimum(np.searchsorted(mark, hs), len(mark) - 1)] == hs
+            found = order[shared]
+            if len(found):
+                told = list(_to_blocks(key[found], _pack48(h[found]), 6, n))
+                yield record(_BLOBS, [b for b, _ in told], [x for _, x in told])
 
     return answers
 
 
 def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one block: the shared hashes of each document."""
-    parts = [_from_blob(blob.as_buffer(), 6) for batch in batches for blob in batch.column(1)]
-    if parts:
-        keys, items = map(np.concatenate, zip(*parts, strict=True))
+    """Of each block: the shared hashes of its documents."""
+    for _, rows in _buckets(batches):
+        keys, items = map(np.concatenate, zip(*(_from_blob(blob, 6) for (blob,) in rows), strict=True))
         yield record(_TOLD, *_by_key(keys, items, 6))
 
 
@@ -233,7 +250,8 @@ def _leads(data: np.ndarray, at: np.ndarray, salt: np.ndarray) -> np.ndarray:
 
 
 def splitters(rows: DataFrame, n: int, sample: int = SAMPLE) -> np.ndarray:
-    """n-1 splitters from the anchors of about `sample` documents, up to SAMPLE_EACH of each."""
+    """n-1 splitters from the anchors of about `sample` documents (n, if that is more), up to SAMPLE_EACH of each."""
+    sample = max(sample, n)
     share = min(1.0, sample / max(1, rows.count()))
     some = rows.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
 
@@ -289,22 +307,40 @@ def _suffixes(cuts: np.ndarray):
     return suffixes
 
 
-def multikey_sort(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of rows of words, and whether each begins a group of equal rows: word by word, ties only."""
-    n = len(words)
-    order, new = np.arange(n), np.zeros(n, bool)
-    new[:1] = True
-    for k in range(words.shape[1]):
-        group = np.cumsum(new)
-        tied = np.flatnonzero(np.bincount(group)[group] > 1)
-        if not len(tied):
-            break
-        word = words[order[tied], k]
-        by = np.lexsort((word, group[tied]))
-        order[tied] = order[tied][by]
-        word, g = word[by], group[tied]
-        new[tied[1:]] |= (word[1:] != word[:-1]) | (g[1:] != g[:-1])
-    return order, new
+def multikey_quicksort(words: np.ndarray, small: int = SMALL) -> np.ndarray:
+    """An order that sorts rows of words: parts split three ways by a word around a median of some, and equal ones go on with the next word."""
+    order, left = np.arange(len(words)), [(0, len(words), 0)]
+    while left:
+        lo, hi, k = left.pop()
+        part = order[lo:hi]
+        if len(part) <= small:
+            order[lo:hi] = part[np.lexsort(words[part, k:].T[::-1])]
+            continue
+        word = words[part, k]
+        some = np.sort(word[:: max(1, len(word) // 99)])
+        less, more = word < some[len(some) // 2], word > some[len(some) // 2]
+        below, above = part[less], part[more]
+        order[lo:hi] = np.concatenate((below, part[~(less | more)], above))
+        left += [(lo, lo + len(below), k), (hi - len(above), hi, k)]
+        if k + 1 < words.shape[1]:
+            left.append((lo + len(below), hi - len(above), k + 1))
+    return order
+
+
+def begins(words: np.ndarray) -> np.ndarray:
+    """Whether each of the sorted rows differs from its neighbour before."""
+    new = np.ones(len(words), bool)
+    new[1:] = (words[1:] != words[:-1]).any(axis=1)
+    return new
+
+
+def _window_words(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The LENGTH bytes from each place on, as words that sort as the bytes do."""
+    window, out = eight_bytes(data), np.empty((len(at), WORDS), U64)
+    for k in range(WORDS):
+        out[:, k] = window[np.minimum(at + 8 * k, len(data))].byteswap()
+    out[:, -1] &= ~U64((1 << 8 * (8 * WORDS - LENGTH)) - 1)
+    return out
 
 
 def _sortable(raw: np.ndarray, offset: np.ndarray, before: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -338,26 +374,29 @@ def _spans(ids: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out.view(np.uint8)
 
 
+def _unpacked(rows: Iterator[tuple]) -> tuple[np.ndarray, ...]:
+    """Of the suffixes of a bucket: document's key and id, first window, bytes before the anchor, bytes, and all their bytes joined."""
+    parts, unpacker = [], zstandard.ZstdDecompressor()
+    for packed in rows:
+        d, r, x = (np.frombuffer(unpacker.decompress(y), np.uint8) for y in packed)
+        d, m = np.ascontiguousarray(d.reshape(8, -1).T).view("<i8").reshape(2, -1), len(r) // 10
+        number = r[: 4 * m].view("<u4")
+        parts.append((d[0][number], d[1][number], r[4 * m : 8 * m].view("<u4").astype(np.int64), r[8 * m : 9 * m].astype(np.int64), r[9 * m :].astype(np.int64), x))
+    return tuple(map(np.concatenate, zip(*parts, strict=True)))
+
+
 def _compared(cuts: np.ndarray, n: int):
-    """Of one bucket: windows that a smaller id holds, and undecided ones of strings that span buckets."""
+    """Of each bucket: windows that a smaller id holds, and undecided ones of strings that span buckets."""
     strings = np.array([c[:16] for c in cuts.tolist()], "S16")
     edges = strings[1:][strings[1:] == strings[:-1]]  # strings that go on in the next bucket
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, packer, unpacker = [], zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
-        for batch in batches:
-            for docs, rows, raw in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
-                d, r, x = (np.frombuffer(unpacker.decompress(y.as_buffer()), np.uint8) for y in (docs, rows, raw))
-                d, m = np.ascontiguousarray(d.reshape(8, -1).T).view("<i8").reshape(2, -1), len(r) // 10
-                number = r[: 4 * m].view("<u4")
-                parts.append((d[0][number], d[1][number], r[4 * m : 8 * m].view("<u4").astype(np.int64), r[8 * m : 9 * m].astype(np.int64), r[9 * m :].astype(np.int64), x))
-        if not parts:
-            return
-        key, ids, start, before, size, raw = map(np.concatenate, zip(*parts, strict=True))
-        parts.clear()
+    def compare(key, ids, start, before, size, raw) -> Iterator[tuple[int, int, bytes]]:
         offset = np.cumsum(size) - size
         rows = _sortable(raw, offset, before, size)
-        order, new = multikey_sort(rows.view(">u8").astype(U64))
+        words = rows.view(">u8").astype(U64)
+        order = multikey_quicksort(words)
+        new = begins(words[order])
+        del words
         group = np.empty(len(key), np.int64)
         group[order] = np.cumsum(new) - 1
         least = np.full(int(new.sum()), np.iinfo(np.int64).max)
@@ -372,13 +411,12 @@ def _compared(cuts: np.ndarray, n: int):
             width = size[one] - LENGTH + 1
             of = np.repeat(np.arange(lo, hi), width)
             data, at = raw[ragged(offset[one], size[one])], ragged(np.cumsum(size[one]) - size[one], width)
-            h = span_hashes(data, at, at + LENGTH)
-            by = np.argsort(h)
-            hs = h[by]
-            begin = np.concatenate(([0], np.flatnonzero(hs[1:] != hs[:-1]) + 1))
+            words = _window_words(data, at)
+            by = multikey_quicksort(words)
+            begin = np.flatnonzero(begins(words[by]))
             smallest = np.minimum.reduceat(least[of[by]], begin)
-            held = np.empty(len(h), bool)
-            held[by] = least[of[by]] > np.repeat(smallest, np.diff(np.append(begin, len(h))))
+            held = np.empty(len(by), bool)
+            held[by] = least[of[by]] > np.repeat(smallest, np.diff(np.append(begin, len(by))))
             # Rows of the smallest id get the verdicts of their windows.
             own = order[first[lo] : first[hi] if hi < len(first) else len(order)]
             own = own[~later[own]]
@@ -393,35 +431,41 @@ def _compared(cuts: np.ndarray, n: int):
             open_ = np.isin(np.ascontiguousarray(rows[own, :16]).reshape(-1).view("S16"), edges)
             undecided = np.flatnonzero(np.repeat(open_, each) & ~yes)
             if len(undecided):
-                r = row[undecided]
+                r, spot = row[undecided], spot[undecided]
                 item = np.empty(len(r), _OPEN)
-                item["key"], item["id"], item["lo"], item["hi"] = key[r], ids[r], place[undecided], place[undecided] + 1
-                left.append((h[spot[undecided]].view(np.int64), item.view(np.uint8).reshape(-1, _OPEN.itemsize)))
+                item["key"], item["id"], item["lo"], item["hi"], item["words"] = key[r], ids[r], place[undecided], place[undecided] + 1, words[spot]
+                left.append((span_hashes(data, at[spot], at[spot] + LENGTH).view(np.int64), item.view(np.uint8).reshape(-1, _OPEN.itemsize)))
         keys, *columns = map(np.concatenate, zip(*found, strict=True))
-        rows = [(b, 0, x) for b, x in _to_blocks(keys, _spans(*columns), _SPAN.itemsize, n)] if len(keys) else []
+        if len(keys):
+            yield from ((b, 0, x) for b, x in _to_blocks(keys, _spans(*columns), _SPAN.itemsize, n))
         if left:
-            rows += [(b, 1, x) for b, x in _to_blocks(*map(np.concatenate, zip(*left, strict=True)), _OPEN.itemsize, n)]
-        if rows:
-            yield record(_FOUND, [r[0] for r in rows], [r[1] for r in rows], [packer.compress(r[2]) for r in rows])
+            yield from ((b, 1, x) for b, x in _to_blocks(*map(np.concatenate, zip(*left, strict=True)), _OPEN.itemsize, n))
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=1)
+        for _, rows in _buckets(batches):
+            out = list(compare(*_unpacked(rows)))
+            if out:
+                yield record(_FOUND, [r[0] for r in out], [r[1] for r in out], [packer.compress(r[2]) for r in out])
 
     return compared
 
 
 def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Duplicate windows by document: those of a block, and those open ones of the bucket that a smaller id holds elsewhere."""
-    found, left, unpacker = [], [], zstandard.ZstdDecompressor()
-    for batch in batches:
-        for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-            (left if kind else found).append(_from_blob(unpacker.decompress(blob.as_buffer()), _OPEN.itemsize if kind else _SPAN.itemsize))
-    if left:
-        h, items = map(np.concatenate, zip(*left, strict=True))
-        rows = np.ascontiguousarray(items).reshape(-1).view(_OPEN)
-        order = np.argsort(h)
-        first = np.concatenate(([0], np.flatnonzero(h[order][1:] != h[order][:-1]) + 1))
-        least = np.minimum.reduceat(rows["id"][order], first)
-        rows = rows[order][rows["id"][order] > np.repeat(least, np.diff(np.append(first, len(h))))]
-        found.append((rows["key"], _spans(rows["id"], rows["lo"], rows["hi"]).reshape(-1, _SPAN.itemsize)))
-    if found:
+    """Duplicate windows by document: those of a block, and those open ones of the block that a smaller id holds elsewhere."""
+    unpacker = zstandard.ZstdDecompressor()
+    for _, blobs in _buckets(batches):
+        found, left = [], []
+        for kind, blob in blobs:
+            (left if kind else found).append(_from_blob(unpacker.decompress(blob), _OPEN.itemsize if kind else _SPAN.itemsize))
+        if left:
+            _, items = map(np.concatenate, zip(*left, strict=True))
+            rows = np.ascontiguousarray(items).reshape(-1).view(_OPEN)
+            rows = rows[multikey_quicksort(rows["words"])]
+            first = np.flatnonzero(begins(rows["words"]))
+            least = np.minimum.reduceat(rows["id"], first)
+            rows = rows[rows["id"] > np.repeat(least, np.diff(np.append(first, len(rows))))]
+            found.append((rows["key"], _spans(rows["id"], rows["lo"], rows["hi"]).reshape(-1, _SPAN.itemsize)))
         yield record(_TOLD, *_by_key(*map(np.concatenate, zip(*found, strict=True)), _SPAN.itemsize))
 
 
@@ -447,18 +491,19 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def intervals(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents with a key, (key, told: their duplicate windows))."""
-    spark = documents.sparkSession
-    n = partitions(spark)
+    n = partitions(documents.sparkSession)
     rows = texts(documents).withColumn("key", row_key())
     known = rows.where("doc_id is not null")
-    cuts = splitters(known, n)
+    each = max(1, -(-(known.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (n * BUCKET)))  # buckets in a partition
+    m = n * each
+    cuts = splitters(known, m)
     dealt = rows.repartition(n, "key")
-    probes = known.mapInArrow(_probes(n), "bucket int, blob binary").repartitionById(n, F.col("bucket"))
-    answers = probes.mapInArrow(_answers(n), "bucket int, blob binary").repartitionById(n, F.col("bucket")).mapInArrow(_told, "key long, told binary")
+    probes = _dealt(known.mapInArrow(_probes(m), "bucket int, blob binary"), n, each)
+    answers = _dealt(probes.mapInArrow(_answers(m), "bucket int, blob binary"), n, each).mapInArrow(_told, "key long, told binary")
     # No filter on the dealt rows: the same exchange then serves the last join too.
     shared = dealt.join(answers.hint("shuffle_hash"), "key").select("doc_id", "key", "text", "told")
-    suffixes = shared.mapInArrow(_suffixes(cuts), "bucket int, docs binary, rows binary, bytes binary").repartitionById(n, F.col("bucket"))
-    found = suffixes.mapInArrow(_compared(cuts, n), "bucket int, kind int, blob binary").repartitionById(n, F.col("bucket"))
+    suffixes = _dealt(shared.mapInArrow(_suffixes(cuts), "bucket int, docs binary, rows binary, bytes binary"), n, each)
+    found = _dealt(suffixes.mapInArrow(_compared(cuts, m), "bucket int, kind int, blob binary"), n, each)
     return dealt, found.mapInArrow(_intervals, "key long, told binary").groupBy("key").agg(F.collect_list("told").alias("told"))
 
 
