@@ -29,7 +29,7 @@ def squeeze(x: str = "w") -> str:
 
 
 def letters(keep: str = "A-Z") -> dict[str, str]:
-    return {"w": drop(f"[^{keep}]", f"translate(upper(w), '{ACCENTS[0]}', upper('{ACCENTS[1]}'))")}
+    return {"w": drop(f"[^{keep}]", f"translate(upper(replace(w, 'ß', 'ss')), '{ACCENTS[0]}', upper('{ACCENTS[1]}'))")}
 
 
 def table(source: str, target: str, x: str = "w") -> str:
@@ -43,13 +43,13 @@ STEPS: dict[str, list[dict[str, str]]] = {
     "soundex": [letters(), {"f": FIRST, "w": f"replace({table(AZ, '01230129022455012623019202')}, '9', '')"}, {"w": squeeze()}, {"w": "case when f = '' then '0000' else rpad(f || replace(case when f in ('H', 'W') then w else substr(w, 2) end, '0', ''), 4, '0') end"}],
     "refined_soundex": [letters(), {"w": f"{FIRST} || {table(AZ, '01360240043788015936020505', REST)}"}, {"w": squeeze()}, {"w": "replace(w, '0', '')"}],
     "lein": [letters(), {"f": FIRST, "w": drop("[AEHIOUWY]", REST)}, {"w": squeeze()}, {"w": f"rpad(f || {table('BCDFGJKLMNPQRSTVXZ', '451455532245351455')}, 4, '0')"}],
-    "mra": [{"w": "upper(w)"}, {"w": f"{FIRST} || {drop('[AEIOU]', REST)}"}, {"w": squeeze()}, {"w": "case when length(w) > 6 then substr(w, 1, 3) || substr(w, length(w) - 2, 3) else w end"}],
+    "mra": [{"w": "upper(replace(w, 'ß', 'ss'))"}, {"w": f"{FIRST} || {drop('[AEIOU]', REST)}"}, {"w": squeeze()}, {"w": "case when length(w) > 6 then substr(w, 1, 3) || substr(w, length(w) - 2, 3) else w end"}],
     "statistics_canada": [letters(), {"w": f"{FIRST} || {drop('[AEIOUY]', REST)}"}, {"w": squeeze()}, {"w": "substr(w, 1, 4)"}],
-    "russell_index": [{"w": "replace(upper(w), 'GH', '')"}, {"w": drop("[SZ]+$")}, letters("ABCDEFGIKLMNOPQRSTUVXYZ"), {"w": table("ABCDEFGIKLMNOPQRSTUVXYZ", "12341231356712383412313")}, {"w": "case when instr(w, '1') > 0 then substr(w, 1, instr(w, '1')) || replace(substr(w, instr(w, '1') + 1), '1', '') else w end"}, {"w": squeeze()}],
+    "russell_index": [{"w": "replace(upper(replace(w, 'ß', 'ss')), 'GH', '')"}, {"w": drop("[SZ]+$")}, letters("ABCDEFGIKLMNOPQRSTUVXYZ"), {"w": table("ABCDEFGIKLMNOPQRSTUVXYZ", "12341231356712383412313")}, {"w": "case when instr(w, '1') > 0 then substr(w, 1, instr(w, '1')) || replace(substr(w, instr(w, '1') + 1), '1', '') else w end"}, {"w": squeeze()}],
     "phonetic_spanish": [letters("BCDFGHJKLMNPQRSTVXYZ"), {"w": "replace(w, 'LL', 'L')"}, {"w": table("BCDFGHJKLMNPQRSTVXYZ", "14328287566079431454")}],
     "soundex_br": [letters(), {"f": "case when substr(w, 1, 2) = 'WA' then 'V' when substr(w, 1, 2) in ('KA', 'KO', 'KU') then 'C' when substr(w, 1, 2) in ('CI', 'CE') then 'S' when substr(w, 1, 2) in ('GE', 'GI') then 'J' when substr(w, 1, 1) = 'Y' then 'I' when substr(w, 1, 1) = 'H' then substr(w, 2, 1) else substr(w, 1, 1) end", "w": "case when substr(w, 1, 1) = 'H' then substr(w, 3) else substr(w, 2) end"}, {"w": f"f || {table(AZ, '01230120022455012623010202')}"}, {"w": squeeze()}, {"w": "rpad(replace(w, '0', ''), 4, '0')"}],
     "sound_d": [letters(), {"w": "case when substr(w, 1, 2) in ('KN', 'GN', 'PN', 'AC', 'WR') then substr(w, 2) when substr(w, 1, 1) = 'X' then 'S' || substr(w, 2) when substr(w, 1, 2) = 'WH' then 'W' || substr(w, 3) else w end"}, {"w": "replace(replace(replace(w, 'DGE', '20'), 'DGI', '20'), 'GH', '0')"}, {"w": table(AZ, "01230120022455012623010202")}, {"w": squeeze()}, {"w": "rpad(replace(w, '0', ''), 4, '0')"}],
-    "davidson": [{"w": "upper(w)"}, {"w": f"{FIRST} || {drop('[AEIOUHWY]', REST)}"}, {"w": squeeze()}, {"w": "rpad(w, 4, ' ') || '.'"}],
+    "davidson": [{"w": "upper(replace(w, 'ß', 'ss'))"}, {"w": f"{FIRST} || {drop('[AEIOUHWY]', REST)}"}, {"w": squeeze()}, {"w": "rpad(w, 4, ' ') || '.'"}],
     "s_stemmer": [{"f": "lower(w)"}, {"w": "case when f like '%ies' and f not like '%eies' and f not like '%aies' then substr(w, 1, length(w) - 3) || case when w like '%S' then 'Y' else 'y' end when f like '%es' and f not like '%aes' and f not like '%ees' and f not like '%oes' then substr(w, 1, length(w) - 1) when f like '%s' and f not like '%us' and f not like '%ss' then substr(w, 1, length(w) - 1) else w end"}],
     "clef_german": [{"w": "translate(lower(w), 'äöü', 'aou')"}, {"w": "case when length(w) > 6 and w like '%nen' then substr(w, 1, length(w) - 3) when length(w) > 5 and (w like '%en' or w like '%se' or w like '%es' or w like '%er') then substr(w, 1, length(w) - 2) when length(w) > 4 and (w like '%e' or w like '%n' or w like '%r' or w like '%s') then substr(w, 1, length(w) - 1) else w end"}],
     "clef_german_plus": [
@@ -61,7 +61,7 @@ STEPS: dict[str, list[dict[str, str]]] = {
         {"w": "case when length(w) > 4 and w like '%s' then substr(w, 1, length(w) - 1) else w end"},
         {"w": "case " + " ".join(f"when length(w) > {k + 2} and substr(w, length(w) - {k - 1}, {k}) in ({', '.join(repr(e) for e in ends)}) then substr(w, 1, length(w) - {k})" for k, ends in ((5, ("elser", "heten")), (4, ("arne", "erna", "ande", "else", "aste", "orna", "aren")), (3, ("are", "ast", "het")), (2, ("ar", "er", "or", "en", "at", "te", "et")), (1, ("a", "e", "n", "t")))) + " else w end"},
     ],
-    "fp_consonant": [{"w": "upper(w)"}, {"w": f"{FIRST} || {drop('[AEIOU]', REST)}"}],
+    "fp_consonant": [{"w": "upper(replace(w, 'ß', 'ss'))"}, {"w": f"{FIRST} || {drop('[AEIOU]', REST)}"}],
     "fp_omission_key": [letters(), {"f": "concat(" + ", ".join(f"case when instr(w, '{c}') > 0 then '{c}' else '' end" for c in "JKQXZVWYBFMGPDHCLNTSR") + ")", "w": drop("[JKQXZVWYBFMGPDHCLNTSR]")}, {"w": "f || UNIQUE(w)"}],
     "fp_skeleton_key": [letters(), {"f": FIRST, "w": f"replace({REST}, {FIRST}, '')"}, {"w": f"f || UNIQUE({drop('[AEIOU]')}) || UNIQUE({drop('[^AEIOU]')})"}],
     "fp_occurrence": [{"w": "concat(" + ", ".join(f"case when instr(w, '{c}') > 0 then '1' else '0' end" for c in COMMON) + ")"}],
@@ -102,11 +102,11 @@ def with_code(df: DataFrame, name: str, word: str = "word", out: str = "code") -
 
 
 def words_of_documents(documents: DataFrame) -> DataFrame:
-    """The distinct ASCII words of all whole texts."""
-    return documents.select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1)).alias("word")).distinct()
+    """The distinct words of all whole texts, letters of every script."""
+    return documents.select(F.explode(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), 1)).alias("word")).distinct()
 
 
-WORDS_SQL = "words as (select distinct unnest(regexp_extract_all(text, '[A-Za-z]+')) as word from documents)"
+WORDS_SQL = "words as (select distinct unnest(regexp_extract_all(text, '\\p{L}+')) as word from documents)"
 
 
 def query(name: str):

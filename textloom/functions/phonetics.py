@@ -89,6 +89,7 @@ def metaphone(word: str) -> str:
     return _METAPHONE(starts(word, {"PN": "N", "AE": "E", "KN": "N", "GN": "N", "WR": "R", "X": "S", "WH": "W"}))
 
 
+# Beginnings and first letters that Phonex reads alike.
 _PHONEX_START = pairs("KN=N PH=F WR=R")
 _PHONEX_FIRST = str.maketrans("EIOUYPVKQJZ", "AAAAABFCCGS")
 
@@ -125,6 +126,7 @@ def fuzzy_soundex(word: str) -> str:
     return padded((word[0] + (code if word[0] in "HWY" else code[1:])).replace("0", ""), 5)
 
 
+# PHONIC's digits of letters and digraphs.
 _PHONIC = clusters(pairs("CH=6 SH=6 PH=8 CE=0 CI=0 CY=0 D=1 T=1 N=2 M=3 R=4 L=5 J=6 C=7 K=7 G=7 Q=7 X=7 F=8 V=8 B=9 P=9 S=0 Z=0"), ".")
 
 
@@ -146,6 +148,7 @@ def roger_root(word: str) -> str:
     return padded(once(_ROOT_START.get(first, "") + _ROOT(word[len(first) :])).replace("*", ""), 5)
 
 
+# Clusters and the letters they sound like.
 _PARMAR = clusters(pairs("OUGH=F DGE=J OUL=U GHT=T CE=S CI=S CY=S GE=J GI=J GY=J WR=R GN=N KN=N PN=N CK=K SH=S"))
 
 
@@ -193,6 +196,7 @@ def eudex_similarity(a: str, b: str) -> float:
     return 1 - sum((x >> 8 * k & 255).bit_count() << k for k in range(8)) / (8 * 255)
 
 
+# Norwegian beginnings and clusters.
 _NORPHONE_START = pairs("AA=Å GI=J SKY=X EI=Æ KY=X C=K Ä=Æ Ö=Ø")
 _NORPHONE = clusters({**pairs("SKEI=X SKJ=X KEI=X CH=K CK=K GJ=J GH=K HG=K HJ=J HL=L HR=R KJ=X KI=X LD=L ND=N PH=F TH=T SJ=X W=V X=KS Z=S D=T G=K"), **dict.fromkeys("AEIOUYÅÆØÄÖ", "")})
 
@@ -208,31 +212,6 @@ def norphone(word: str) -> str:
     return once(code + _NORPHONE(rest))
 
 
-def dolby(word: str) -> str:
-    """Dolby's code of unlimited length; the first vowel is a star."""
-    word = starts(letters(word), pairs("MCG=MK MAG=MK MAC=MK MC=MK"))
-    at = len(word) - 2
-    while at >= 0:  # from the end, so that what closes up is met again
-        if word[at : at + 2] in ("DT", "LD", "ND", "NT", "RC", "RD", "RT", "SC", "SK", "ST"):
-            word = word[: at + 1] + word[at + 2 :]
-            at += 1
-        at -= 1
-    for old, new in pairs("X=KS CE=SE CI=SI CY=SI TCH=CH").items():
-        word = word.replace(old, new)
-    word = re.sub("(?<=[^AEIOUY])C(?=H)", "S", word)
-    for old, new in pairs("C=K Z=S WR=R DG=G QU=K T=D PH=F").items():
-        word = word.replace(old, new)
-    at = word.find("K")
-    while at >= 0:
-        if at > 1 and word[at - 1] not in "AEIOUYLNR":
-            word, at = word[: at - 1] + word[at:], at - 1
-        at = word.find("K", at + 1)
-    word = re.sub("PF$", "P", re.sub("^PF", "F", once(word)))
-    word = re.sub("GH$", "G", re.sub("(?<=[AEIOUY])GH$", "F", word)).replace("GH", "")
-    vowels = [m.start() for m in re.finditer("[AEIOUY]", word)]
-    return "".join("*" if vowels and i == vowels[0] else "" if x in "AEIOUY" or i and x in "WH" else x for i, x in enumerate(word))
-
-
 # Spellings with a second reading, and digits by their neighbours.
 _HAASE_OTHER = {"ILLE": "I", "OWN": "AUN", "WSK": "RSK", "SCH": "CH", "GLI": "LI", "AUX": "O", "EUX": "O", "RB": "RW"}
 _HAASE = scan([
@@ -282,6 +261,7 @@ def spfc(name: str) -> str | None:
     return code + first[:1].translate(_SPFC) + padded(last[:2].translate(_SPFC), 2)
 
 
+# Digits of letters and beginnings that PSHP reads alike.
 _PSHP_DIGITS = str.maketrans(AZ, "01230120022455012523010202")
 _PSHP_START = pairs("GE=JE GI=JI GY=JY CE=SE CI=SI CY=SY CHR=KHR")
 
@@ -307,25 +287,6 @@ def pshp_first(name: str, german: bool = False) -> str:
     return padded(code.replace("0", ""), 4)
 
 
-def pshp_last(name: str, german: bool = False) -> str:
-    """PSHP code of a last name."""
-    name = re.sub("^V[OA]N", "", letters(name))
-    name = name if german else starts(name, pairs("MAC=M MC=M"))
-    name = "A" + name[1:] if name[:1] in ("E", "I", "O", "U") else name
-    name = _pshp_start(name, german)
-    first = name[:1]
-    if german:
-        name = ends(ends(ends(name, pairs("TES= TS=")), pairs("TZE= ZE=")), pairs("Z= TE="))
-    name = ends(ends(name, pairs("R=N SE= CE=")), pairs("SS= S="))
-    if not german:
-        name = ends(name, pairs("STOWN=SAWON MPSON=MASON NSEN=ASEN MSON=ASON STEN=SAEN STON=SAON"))
-    name = ends(name, pairs("NG=N ND=N"))
-    name = name if german else ends(name, pairs("GAN=AAN GEN=AEN"))
-    for old, new in pairs("CK=C SCH=S DT=T ND=N NG=N LM=M MN=M WIE=VIE WEI=VEI").items():
-        name = name.replace(old, new)
-    return padded((first + once(name.translate(_PSHP_DIGITS))[1:]).replace("0", ""), 4)
-
-
 # What Spanish Metaphone reads alike, and what its clusters become.
 _SPANISH_FIRST = pairs("Á=A CH=X Ç=S É=E Í=I Ó=O Ú=U Ñ=NY GÜ=W Ü=U B=V LL=Y")
 _SPANISH = re.compile(r"(?P<two>([DFJKMNPTVLY])\2?)|(?P<X>CC)|(?P<Z>C[EI])|(?P<K>C|QU?)|(?P<J>G[EI])|(?P<vowel>H[AEIOU])|(?P<U>W)|(?P<ES>^S(?![AEIOU]))|(?P<EX>^X(?=[^AEIOU]))|(?P<one>^[AEIOU]|[GHRSZX])|.", re.DOTALL)
@@ -560,6 +521,6 @@ def henry_early(word: str, length: int = 3) -> str:
 
 
 KERNELS = {
-    "alpha_sis": alpha_sis, "henry_early": henry_early, "daitch_mokotoff": daitch_mokotoff, "fp_extract_position_frequency": extract_position_frequency, "fp_lc_cutter": lc_cutter, "phonix": phonix, "sfinx_bis": sfinx_bis, "dolby": dolby, "eudex": eudex, "fonem": fonem, "fp_lacss": lacss, "fuzzy_soundex": fuzzy_soundex, "haase": haase, "metaphone": metaphone, "norphone": norphone, "parmar_kumbharana": parmar_kumbharana, "phonex": phonex, "phonic": phonic,
-    "pshp_first": pshp_first, "pshp_last": pshp_last, "reth_schek": reth_schek, "roger_root": roger_root, "spanish_metaphone": spanish_metaphone, "spfc": spfc, "wahlin": wahlin,
+    "alpha_sis": alpha_sis, "henry_early": henry_early, "daitch_mokotoff": daitch_mokotoff, "fp_extract_position_frequency": extract_position_frequency, "fp_lc_cutter": lc_cutter, "phonix": phonix, "sfinx_bis": sfinx_bis, "eudex": eudex, "fonem": fonem, "fp_lacss": lacss, "fuzzy_soundex": fuzzy_soundex, "haase": haase, "metaphone": metaphone, "norphone": norphone, "parmar_kumbharana": parmar_kumbharana, "phonex": phonex, "phonic": phonic,
+    "pshp_first": pshp_first, "reth_schek": reth_schek, "roger_root": roger_root, "spanish_metaphone": spanish_metaphone, "spfc": spfc, "wahlin": wahlin,
 }

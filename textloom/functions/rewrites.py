@@ -32,6 +32,20 @@ _PHONEM = [("SC", "C"), ("SZ", "C"), ("CZ", "C"), ("TZ", "C"), ("TS", "C"), ("KS
 _PHONEM_LETTERS = "ZKGQÇÑßFWPTÁÀÂÃÅÄÆÉÈÊËIJÌÍÎÏÜÝ§ÚÙÛÔÒÓÕØ", "CCCCCNSVVBDAAAAAEEEEEEYYYYYYYYUUUUOOOOÖ"
 
 
+# Dolby's rules as published, in order: names in Mac, second letters of clusters, sounds, letters before K, doubles, PF and GH, then vowels.
+_DOLBY = [
+    ("^M(CG|AG|AC|C)", "MK"), ("(L)D[DT]*|(N)[DT]+|(R)[CDT]+|(S)[CKT]+|(D)T+", "$1$2$3$4$5"), ("X", "KS"), ("C(?=[EIY])", "S"), ("TCH", "CH"), ("(?<=[^AEIOUY])C(?=H)", "S"), ("C", "K"), ("Z", "S"), ("WR", "R"), ("DG", "G"), ("QU", "K"), ("T", "D"), ("PH", "F"),
+    ("(?<=.)[^AEIOUYLNR](?=K)", ""), (r"(.)\1+", "$1"), ("^PF", "F"), ("PF$", "P"), ("(?<=[AEIOUY])GH$", "F"), ("GH$", "G"), ("GH", ""), ("^([^AEIOUY]*)[AEIOUY]", "$1*"), ("[AEIOUY]", ""), ("(?<!^)[WH]", ""),
+]
+# PSHP's rules for last names as published: beginnings, endings and clusters, with what German names have instead or do not have; digits of letters.
+_PSHP_BEGIN = [("^V[AO]N", ""), ("^MA?C", "M"), ("^[EIOU]", "A"), ("^G(?=[EIY])", "J"), ("^C(?=[EIY])", "S"), ("^C(?!H)|^C(?=HR)", "K"), ("^KN", "NN"), ("^PH", "FH"), ("^W(?=IE|EI)", "V")]
+_PSHP_BEGIN_GERMAN = [*(r for r in _PSHP_BEGIN if r[1] != "M"), ("^W", "V"), ("^M", "N"), ("^Y", "J"), ("^Z", "S")]
+_PSHP_END = [("R$", "N"), ("[SC]E$", ""), ("SS?$", ""), ("STOWN$", "SAWON"), ("MPSON$", "MASON"), ("NSEN$", "ASEN"), ("MSON$", "ASON"), ("STEN$", "SAEN"), ("STON$", "SAON"), ("N[GD]$", "N"), ("G(?=[AE]N$)", "A")]
+_PSHP_END_GERMAN = [("T(E|)S$", ""), ("TZE$|ZE$", ""), ("Z$|TE$", ""), *(r for r in _PSHP_END if r[0] in ("R$", "[SC]E$", "SS?$", "N[GD]$"))]
+_PSHP_INNER = [("CK", "C"), ("SCH", "S"), ("DT", "T"), ("ND", "N"), ("NG", "N"), ("LM", "M"), ("MN", "M"), ("WIE", "VIE"), ("WEI", "VEI")]
+_PSHP_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "01230120022455012523010202"
+
+
 def _rewrite(c: Column, rules: list[tuple[str, str]]) -> Column:
     for pattern, new in rules:
         c = F.regexp_replace(c, pattern, new)
@@ -42,9 +56,26 @@ def caverphone(c: Column) -> Column:
     return F.rpad(_rewrite(F.lower(c), _CAVERPHONE), 10, "1")
 
 
+def _az(c: Column) -> Column:
+    """A-Z of the upper-cased string, accents dropped."""
+    return F.regexp_replace(F.translate(F.upper(c), codes.ACCENTS[0], codes.ACCENTS[1].upper()), "[^A-Z]", "")
+
+
 def koelner(c: Column) -> Column:
-    folded = F.translate(F.upper(c), codes.ACCENTS[0].upper() if len(codes.ACCENTS[0].upper()) == len(codes.ACCENTS[1]) else codes.ACCENTS[0], codes.ACCENTS[1].upper())
-    return _rewrite(F.regexp_replace(folded, "[^A-Z]", ""), _KOELNER)
+    return _rewrite(_az(c), _KOELNER)
+
+
+def dolby(c: Column) -> Column:
+    """Dolby's code of unlimited length; the first vowel is a star."""
+    return _rewrite(_az(c), _DOLBY)
+
+
+def pshp_last(c: Column, german: bool = False) -> Column:
+    """PSHP code of a last name."""
+    name = _rewrite(_az(c), _PSHP_BEGIN_GERMAN if german else _PSHP_BEGIN)
+    digits = F.translate(_rewrite(name, [*(_PSHP_END_GERMAN if german else _PSHP_END), *_PSHP_INNER]), *_PSHP_LETTERS)
+    rest = _rewrite(digits, [(r"(.)\1+", "$1"), ("^.", ""), ("0", "")])
+    return F.rpad(F.concat(F.substring(name, 1, 1), rest), 4, "0")
 
 
 def phonem(c: Column) -> Column:
@@ -236,7 +267,7 @@ def phonetic_fingerprint(c: Column, encoder: str = "double_metaphone", joiner: s
 
 
 KERNELS = {"nysiis": nysiis, "onca": onca, "porter": porter, "fp_extract": extract, "fp_bwtf": lambda w: edits.burrows_wheeler(w), "fp_bwtrlef": lambda w: edits.run_length(edits.burrows_wheeler(w)), "rle": edits.run_length, "ainsworth": metaphones.ainsworth, "double_metaphone": metaphones.double_metaphone, "meta_soundex": meta_soundex, "soundex_census": soundex_census, "soundex_special": lambda w: soundex(w, special=True), "soundex_reverse": lambda w: soundex(w, backwards=True), **stemmers.KERNELS, **phonetics.KERNELS}
-COLUMNS = {"caverphone": caverphone, "koelner": koelner, "phonem": phonem, "fp_string": string_fingerprint, "fp_q_gram": q_gram_fingerprint}
+COLUMNS = {"caverphone": caverphone, "dolby": dolby, "koelner": koelner, "phonem": phonem, "pshp_last": pshp_last, "fp_string": string_fingerprint, "fp_q_gram": q_gram_fingerprint}
 NAMES = sorted({*KERNELS, *COLUMNS})
 
 
@@ -291,11 +322,12 @@ def query(name: str):
 
 
 def sql(name: str) -> str:
-    """The SQL of codes that need nothing DuckDB's patterns lack; the words are ASCII letters."""
+    """The SQL of codes that need nothing DuckDB's patterns lack; the words are letters."""
+    folded = f"translate(lower(word), '{codes.ACCENTS[0]}', '{codes.ACCENTS[1]}')"
     if name == "fp_string":
-        return f"with {codes.WORDS_SQL} select word, lower(word) as code from words"
+        return f"with {codes.WORDS_SQL} select word, {folded} as code from words"
     if name == "fp_q_gram":
-        return f"with {codes.WORDS_SQL} select word, array_to_string(list_sort(list_distinct([substr(lower(word), i, 2) for i in range(1, length(word))])), '') as code from words"
+        return f"with {codes.WORDS_SQL} select word, array_to_string(list_sort(list_distinct([substr({folded}, i, 2) for i in range(1, length({folded}))])), '') as code from words"
     if name == "fp_bwtf":
         turns = "list_sort([substr(word || chr(0), i, length(word) + 1) || substr(word, 1, i - 1) for i in range(1, length(word) + 2)])"
         return f"with {codes.WORDS_SQL} select word, array_to_string([right(t, 1) for t in {turns}], '') as code from words"
