@@ -63,8 +63,9 @@ def pair_statistics(spark, sf_dir: str) -> DataFrame:
 
 
 def collisions(spark, sf_dir: str) -> DataFrame:
-    """Fingerprints that several distinct part names share."""
-    return matching.key_collisions(_table(spark, sf_dir, "part").select(F.col("p_name").alias("text")), rewrites.q_gram_fingerprint(F.substring("text", 1, 4)))
+    """Fingerprints that several distinct words of the documents share."""
+    words = codes.words_of_documents(_table(spark, sf_dir, "documents"))
+    return matching.key_collisions(words, rewrites.q_gram_fingerprint(F.col("word")), "word")
 
 
 def full_name_codes(spark, sf_dir: str) -> DataFrame:
@@ -163,6 +164,6 @@ SQL = {
     "match_blocking": f"with {_NAME_SQL} select src, tar, levenshtein(src, tar)::int as distance from pairs",
     "match_top_k": f"with {_NAME_SQL}, d as (select src, tar, levenshtein(src, tar)::int as distance from pairs) select src, tar, distance, rank() over (partition by src order by distance)::int as rank from d qualify rank() over (partition by src order by distance) <= 2",
     "match_pair_statistics": f"with {_NAME_SQL}, s as (select 1 - levenshtein(src, tar)/greatest(length(src), length(tar)) as sim from pairs) select round(max(sim), 9) as max, round(min(sim), 9) as min, round(avg(sim), 9) as mean, round(stddev_pop(sim), 9) as std from s",
-    "match_key_collisions": "with n as (select distinct p_name as t, lower(regexp_replace(substr(p_name, 1, 4), '[^A-Za-z0-9]', '', 'g')) as s from part), k as (select t, array_to_string(list_sort(list_distinct([substr(s, i, 2) for i in range(1, length(s))])), '') as key from n) select key, count(*) as n, min(t) as least, max(t) as greatest from k group by key having count(*) > 1",
+    "match_key_collisions": f"with {codes.WORDS_SQL}, n as (select word as t, regexp_replace(translate(lower(word), '{codes.ACCENTS[0]}', '{codes.ACCENTS[1]}'), '[^\\p{{L}}\\p{{N}}]', '', 'g') as s from words), k as (select t, array_to_string(list_sort(list_distinct([substr(s, i, 2) for i in range(1, length(s))])), '') as key from n) select key, count(*) as n, min(t) as least, max(t) as greatest from k group by key having count(*) > 1",
     "match_q_gram_join": f"with names as (select distinct p_name as t, list_distinct({_BIGRAMS.format('p_name')}) as g from part), s as (select l.t as src, r.t as tar, len(list_intersect(l.g, r.g)) as i, len(l.g) as x, len(r.g) as y from names l join names r on l.t < r.t) select src, tar, round(i/(x + y - i), 9) as sim from s where i/(x + y - i) >= 0.6",
 }
