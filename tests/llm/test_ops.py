@@ -140,17 +140,15 @@ def test_multikey_quicksort():
 
 
 def test_lines(documents):
-    same(op9_lines.drop_lines(documents, op9_lines.index(documents)).drop("kept"), op9_lines.SQL, documents=documents)
-    few = op9_lines.index(documents, 2)
-    assert sum(r.n_dropped for r in op9_lines.drop_lines(documents, few).collect()) > 6
+    same(op9_lines.drop_lines(documents).drop("kept"), op9_lines.SQL, documents=documents)
+    assert sum(r.n_dropped for r in op9_lines.drop_lines(documents, 2).collect()) > 6
 
 
-def test_lines_in_groups(documents, monkeypatch):
-    shards = op9_lines.index(documents, 1)
-    whole = shape(op9_lines.drop_lines(documents, shards))
-    monkeypatch.setattr(op9_lines.broadcasts, "__defaults__", (1,))
-    assert len(op9_lines.broadcasts(shards)) > 1
-    assert shape(op9_lines.drop_lines(documents, shards)) == whole
+def test_lines_in_many_shards(documents, monkeypatch):
+    whole = shape(op9_lines.drop_lines(documents, 2))
+    monkeypatch.setattr(op9_lines, "SHARD", 1 << 12)  # dozens of shards in each partition
+    monkeypatch.setattr(op9_lines, "HELD", 3)
+    assert shape(op9_lines.drop_lines(documents, 2)) == whole
 
 
 def test_perfect_hash():
@@ -387,7 +385,7 @@ def test_empty_tables(spark, documents, benchmark, tmp_path):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     for df in (
         op1_toxicity.score(none, op1_toxicity.train(none, labels)), op2_decontamination.report(none, benchmark), op3_substrings.remove(none), op4_quality.rules(none), op5_simhash.near_duplicates(none),
-        op6_mixing.mixing(none), op7_tokens.counts(none, str(tmp_path / "c")), op8_language.predict(none, op8_language.learn(none)), op9_lines.drop_lines(none, op9_lines.index(none)).drop("kept"), op10_token_ids.token_files(none, str(tmp_path / "f")),
+        op6_mixing.mixing(none), op7_tokens.counts(none, str(tmp_path / "c")), op8_language.predict(none, op8_language.learn(none)), op9_lines.drop_lines(none).drop("kept"), op10_token_ids.token_files(none, str(tmp_path / "f")),
     ):
         assert df.collect() == []
     assert op2_decontamination.report(documents, no_items).where("contaminated").count() == 0

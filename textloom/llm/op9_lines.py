@@ -1,12 +1,15 @@
 """Line dedup by a sharded minimal perfect hash.
 
-Tasks hash the keys of their documents' lines and pre-aggregate them (documents, largest id), so a line that all
-documents share is one row for each task. Hash shards merge the rows and build, for the distinct hashes that
-reach MIN_DOCS documents, a minimal perfect hash (levels of bitmaps without collisions)
-that indexes arrays of fingerprints, counts and keepers. Documents then probe the arrays; no line is joined.
+1. A task hashes the keys of its documents' lines. It sends what it holds of each distinct key (documents, largest id), so that a line that all
+   documents share is one row for each task, to the key's hash shard; and where the lines stand, past the shards, to its own block.
+2. A shard merges the rows and builds, for the distinct hashes that reach MIN_DOCS documents (no other is ever acted on),
+   a minimal perfect hash (levels of bitmaps without collisions) that indexes arrays of fingerprints, counts and keepers. The rows of
+   each block probe the arrays, and the block gets those that are there. No line is joined, and neither texts nor arrays move.
+3. A block makes the same arrays of its answers, and its documents' lines probe them; the numbers of lost lines, by document, are written
+   to shared storage. Documents join these rows, which exist only for documents that lose a line; Spark broadcasts them if their size allows.
 
-Arrays are broadcast in groups of at most GROUP bytes, collected one group at a time;
-with more groups than one, every chunk of documents probes them in turn. A key is known by a 128-bit hash.
+Shards stand for about SHARD bytes of text, whatever the corpus: a partition holds several, sorted (spilling if need be) and handled
+one after the other. A key is known by a 128-bit hash.
 
 Null and empty texts are one empty line. A null id ranks below all others. Rows that share an id count as
 documents of their own and keep or lose a line together.
@@ -16,21 +19,27 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, U64, ids_of, materialize, mix, partitions, record, table, text_chunks, texts
+from .common import SPACES, U64, ids_of, materialize, mix, partitions, record, row_key, table, text_chunks, texts
 
-#: Code points of a key at least, documents that hold it at least, bytes of arrays in a broadcast, rows a task holds.
-MIN_CHARS, MIN_DOCS, GROUP, HELD = 40, 5, 64 << 20, 1 << 20
+#: Code points of a key at least, documents that hold it at least, bytes of text that a shard stands for, lines a task holds.
+MIN_CHARS, MIN_DOCS, SHARD, HELD = 40, 5, 64 << 20, 1 << 18
 _NO_ID = np.iinfo(np.int64).min
 _ROW = np.dtype([("a", "<u8"), ("b", "<u8"), ("n", "<u4"), ("last", "<i8")])
-_DEALT = pa.schema([("shard", pa.int32()), ("rows", pa.binary())])
-_SHARD = pa.schema([("shard", pa.int32()), ("n", pa.int64()), ("blob", pa.binary())])
+#: Where a line with a key stands: its document's number in the blob and its own in the document.
+_PLACE = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<u4"), ("line", "<u4")])
+#: kind 0: rows of a block for a shard; 1: lines of a block; 2: rows that a shard answers. home: the block's bucket.
+_DEALT = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("home", pa.int32()), ("blob", pa.binary())])
+_LOST = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("lost", pa.binary())])
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_sha256", pa.string())])
 
 
@@ -104,7 +113,7 @@ def pack(rows: np.ndarray) -> bytes:
 
 
 class Shard:
-    """What pack() wrote: probes give the keeper of a key that has one."""
+    """What pack() wrote."""
 
     def __init__(self, blob: bytes):
         n, levels = np.frombuffer(blob, "<i8", 2).tolist()
@@ -118,11 +127,11 @@ class Shard:
         self.count = np.frombuffer(blob, "<u4", n, at + 8 * n)
         self.last = np.frombuffer(blob, "<i8", n, at + 12 * n)
 
-    def keepers(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each row's key is in the shard, and the largest id that holds it."""
+    def probe(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each row's key is in the shard, the largest id that holds it, and in how many documents it is."""
         at = self.hash.index(_identity(rows))
         found = (at >= 0) & (self.fingerprint[at] == rows["b"])
-        return found, self.last[at]
+        return found, self.last[at], self.count[at]
 
 
 def _shard_of(a: np.ndarray, n: int) -> np.ndarray:
@@ -140,96 +149,134 @@ def _digest(key: bytes) -> tuple[int, int]:
     return h >> 64, h & 0xFFFFFFFFFFFFFFFF
 
 
-def index(documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(shard, n, blob): the arrays of keys that at least min_docs documents hold, written to shared storage."""
-    n = partitions(documents.sparkSession)
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple[int, int, bytes]]]]:
+    """(bucket, (kind, home, blob) of its rows) of sorted rows; a bucket's rows must be used up before the next."""
+    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    for bucket, some in groupby(rows, key=itemgetter(0)):
+        yield bucket, (row[1:] for row in some)
 
-    def flush(rows: np.ndarray) -> pa.RecordBatch:
-        rows = _merged(rows)  # sorted by hash, and so by shard
-        ends = np.searchsorted(_shard_of(rows["a"], n), np.arange(n + 1))
-        some = np.flatnonzero(np.diff(ends))
-        return record(_DEALT, some.astype(np.int32), [rows[ends[s] : ends[s + 1]].tobytes() for s in some])
 
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, int]] = []
+def _sent(m: int):
+    """Step 1: rows for the shards, and the lines' places for the block itself."""
+
+    def flush(home: int, places: list[tuple], docs: list[tuple[int, int]]) -> pa.RecordBatch:
+        at = np.array(places, _PLACE)
+        rows = np.empty(len(at), _ROW)
+        rows["a"], rows["b"], rows["n"], rows["last"] = at["a"], at["b"], 1, np.array([i for _, i in docs], np.int64)[at["doc"]]
+        once = np.lexsort((at["doc"], at["b"], at["a"]))  # a key counts once in a document
+        x = at[once]
+        new = np.ones(len(x), bool)
+        new[1:] = (x["a"][1:] != x["a"][:-1]) | (x["b"][1:] != x["b"][:-1]) | (x["doc"][1:] != x["doc"][:-1])
+        rows = _merged(rows[once[new]])  # sorted by hash, and so by shard
+        ends = np.searchsorted(_shard_of(rows["a"], m), np.arange(m + 1))
+        some = np.flatnonzero(np.diff(ends))
+        own = np.array([len(docs)], "<u8").tobytes() + np.array(docs, "<i8").tobytes() + at.tobytes()
+        blobs = [own, *(rows[ends[s] : ends[s + 1]].tobytes() for s in some)]
+        return record(_DEALT, [home, *some.tolist()], [1, *[0] * len(some)], [home] * (1 + len(some)), blobs)
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        home = TaskContext.get().partitionId() % m
+        places: list[tuple[int, int, int, int]] = []
+        docs: list[tuple[int, int]] = []
         for chunk, data, offsets in text_chunks(batches):
-            for doc_id, lines in _lines(chunk, data, offsets):
-                held.extend((*_digest(k), 1, doc_id) for k in {key_of(x) for x in lines} if k is not None)
-            if len(held) >= HELD:
-                yield flush(np.array(held, _ROW))
-                held = []
-        if held:
-            yield flush(np.array(held, _ROW))
-
-    def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for shard, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts.setdefault(shard, []).append(rows)
-        for shard, raws in parts.items():
-            rows = _merged(np.concatenate([np.frombuffer(r, _ROW) for r in raws]))
+            for key, (doc_id, lines) in zip(ids_of(chunk, "key").to_pylist(), _lines(chunk, data, offsets), strict=True):
+                found = [(*_digest(k), len(docs), i) for i, x in enumerate(lines) if (k := key_of(x)) is not None]
+                if found:
+                    places += found
+                    docs.append((key, doc_id))
+                if len(places) >= HELD:
+                    yield flush(home, places, docs)
+                    places, docs = [], []
+        if places:
+            yield flush(home, places, docs)
+
+    return sent
+
+
+def _answered(min_docs: int):
+    """Step 2: of each shard's arrays, what the blocks hold."""
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, some in _by_bucket(batches):
+            parts = []
+            for kind, home, blob in some:
+                if kind == 1:  # a block's own lines, on their way home
+                    yield record(_DEALT, [home], [1], [home], [blob])
+                else:
+                    parts.append((home, np.frombuffer(blob, _ROW)))
+            rows = _merged(np.concatenate([r for _, r in parts])) if parts else np.zeros(0, _ROW)
             rows = rows[rows["n"] >= min_docs]
-            if len(rows):
-                yield record(_SHARD, [shard], [len(rows)], [pack(rows)])
-
-    rows = texts(documents).mapInArrow(dealt, "shard int, rows binary").repartitionById(n, F.col("shard"))
-    return materialize(rows.mapInArrow(built, "shard int, n long, blob binary"), "op9-index")
-
-
-def broadcasts(shards: DataFrame, group_bytes: int = GROUP) -> list:
-    """The shards as broadcasts of at most about group_bytes, one shard at least."""
-    sizes = sorted((r.shard, r.b) for r in shards.select("shard", F.octet_length("blob").alias("b")).collect())  # a row for each shard
-    groups, total = [], 0
-    for shard, size in sizes:
-        if not groups or total + size > group_bytes:
-            groups.append([])
-            total = 0
-        groups[-1].append(shard)
-        total += size
-    sc = shards.sparkSession.sparkContext
-    return [sc.broadcast({r.shard: bytes(r.blob) for r in shards.where(F.col("shard").isin(g)).collect()}) for g in groups]
-
-
-def _opened(sent: list) -> Iterator[dict[int, Shard]]:
-    """The groups, one after the other; a single group stays open in the worker's task."""
-    for b in sent:
-        if not hasattr(b, "_open"):
-            b._open = {s: Shard(blob) for s, blob in b.value.items()}
-        yield b._open
-        if len(sent) > 1:
-            del b._open, b._value
-
-
-def drop_lines(documents: DataFrame, shards: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+            if not len(rows):
+                continue
+            shard = Shard(pack(rows))
+            for home, asked in parts:
+                found, last, count = shard.probe(asked)
+                if found.any():
+                    known = asked[found]
+                    known["last"], known["n"] = last[found], count[found]
+                    yield record(_DEALT, [home], [2], [home], [known.tobytes()])
+
+    return answered
+
+
+def _lost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Step 3: of each block, the numbers of the lines that its documents lose."""
+    for _, some in _by_bucket(batches):
+        answers, lines = [], []
+        for kind, _, blob in some:
+            (lines if kind == 1 else answers).append(blob)
+        if not answers:
+            continue
+        shard = Shard(pack(_merged(np.concatenate([np.frombuffer(x, _ROW) for x in answers]))))
+        for blob in lines:
+            n = int(np.frombuffer(blob, "<u8", 1)[0])
+            docs, at = np.frombuffer(blob, "<i8", 2 * n, 8).reshape(-1, 2), np.frombuffer(blob, _PLACE, offset=8 + 16 * n)
+            asked = np.zeros(len(at), _ROW)
+            asked["a"], asked["b"] = at["a"], at["b"]
+            found, last, _ = shard.probe(asked)
+            gone = at[found & (last != docs[at["doc"], 1])]  # by document, as they were sent
+            if len(gone):
+                first = np.concatenate(([0], np.flatnonzero(gone["doc"][1:] != gone["doc"][:-1]) + 1))
+                own = docs[gone["doc"][first]]
+                yield record(_LOST, own[:, 0], own[:, 1], [x.tobytes() for x in np.split(gone["line"], first[1:])])
+
+
+def lost_lines(documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(key, id, lost) of the documents that lose lines, with the lines' numbers; written to shared storage."""
+    n = partitions(documents.sparkSession)
+    each = max(1, -(-(documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (n * SHARD)))  # shards in a partition
+    schema = "bucket int, kind int, home int, blob binary"
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartitionById(n, F.floor(F.col("bucket") / each).cast("int")).sortWithinPartitions("bucket")
+
+    keyed = texts(documents).withColumn("key", row_key())
+    asked = dealt(keyed.mapInArrow(_sent(n * each), schema))
+    lost = dealt(asked.mapInArrow(_answered(min_docs), schema)).mapInArrow(_lost, "key long, id long, lost binary")
+    return materialize(lost.groupBy("key", "id").agg(F.min("lost").alias("lost")), "op9-lost")  # equal rows lose the same
+
+
+def drop_lines(documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """One row per document: n_lines, n_dropped, kept_sha256, and the text that is left as `kept`."""
-    n, sent = partitions(documents.sparkSession), broadcasts(shards)
-
-    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, data, offsets in text_chunks(batches, 8 << 20):
-            docs = list(_lines(chunk, data, offsets))
-            keys = [(d, i, *_digest(k)) for d, (_, lines) in enumerate(docs) for i, x in enumerate(lines) if (k := key_of(x)) is not None]
-            doc, line = (np.array([k[c] for k in keys], np.int64) for c in (0, 1))
-            rows = np.zeros(len(keys), _ROW)
-            rows["a"], rows["b"] = [k[2] for k in keys], [k[3] for k in keys]
-            own = np.array([i for i, _ in docs], np.int64)
-            shard = _shard_of(rows["a"], n)
-            lost: dict[int, set[int]] = {}
-            for group in _opened(sent):
-                for s in np.unique(shard).tolist():
-                    if s in group:
-                        at = np.flatnonzero(shard == s)
-                        found, last = group[s].keepers(rows[at])
-                        for k in at[found & (last != own[doc[at]])].tolist():
-                            lost.setdefault(int(doc[k]), set()).add(int(line[k]))
-            kept = [b"\n".join([x for i, x in enumerate(lines) if i not in lost[d]] if d in lost else lines) for d, (_, lines) in enumerate(docs)]
-            yield record(pa.schema([*_OUT, ("kept", pa.string())]), ids_of(chunk), [len(x) for _, x in docs], [len(lost.get(d, ())) for d in range(len(docs))], [hashlib.sha256(x).hexdigest() for x in kept], [x.decode() for x in kept])
-
-    return texts(documents).mapInArrow(probed, "doc_id long, n_lines long, n_dropped long, kept_sha256 string, kept string")
+    out = pa.schema([*_OUT, ("kept", pa.string())])
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, data, offsets in text_chunks(batches):
+            n, dropped, left = [], [], []
+            for (_, lines), lost in zip(_lines(chunk, data, offsets), ids_of(chunk, "lost").to_pylist(), strict=True):
+                gone = set(np.frombuffer(lost or b"", "<u4").tolist())
+                n.append(len(lines))
+                dropped.append(len(gone))
+                left.append(b"\n".join([x for i, x in enumerate(lines) if i not in gone]))
+            yield record(out, ids_of(chunk), n, dropped, [hashlib.sha256(x).hexdigest() for x in left], [x.decode() for x in left])
+
+    keyed = texts(documents).withColumn("key", row_key()).withColumn("id", F.coalesce("doc_id", F.lit(_NO_ID)))
+    both = keyed.join(lost_lines(documents, min_docs), ["key", "id"], "left").select("doc_id", "text", "lost")
+    return both.mapInArrow(kept, "doc_id long, n_lines long, n_dropped long, kept_sha256 string, kept string")
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    return drop_lines(documents, index(documents)).drop("kept")
+    return drop_lines(table(spark, sf_dir, "documents")).drop("kept")
 
 
 SQL = r"""
