@@ -284,6 +284,56 @@ def test_kneser_ney_sums_to_one(spark):
         assert sum(np.exp(p) for g, p in model.items() if g >> 8 == context) < 1 + 1e-9
 
 
+def brute_kneser_ney(texts, order):
+    """Interpolated modified Kneser-Ney of the last byte of each n-gram, from dictionaries."""
+    from collections import Counter
+
+    counts = {order: Counter(p[i : i + order] for t in texts for p in [b"\n" * (order - 1) + t] for i in range(len(t)))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    below = {}
+    for k in range(1, order + 1):
+        n1, n2, n3, n4 = (sum(n == i for n in counts[k].values()) for i in range(1, 5))
+        y = n1 / (n1 + 2 * n2) if n1 else 0.0
+        d = [max(0.0, min(i, i - (i + 1) * y * b / a)) if a and y else 0.5 * i for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+        total, left, p = Counter(), Counter(), {}
+        for g, n in counts[k].items():
+            total[g[:-1]] += n
+            left[g[:-1]] += d[min(n, 3) - 1]
+        for g, n in counts[k].items():
+            p[g] = (n - d[min(n, 3) - 1]) / total[g[:-1]] + left[g[:-1]] / total[g[:-1]] * (below[g[1:]] if k > 1 else 1 / 256)
+        below = p
+    return below
+
+
+def test_quality_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    words = [["haus", "hund", "und", "der", "die", "geht", "rot", "baum"], ["house", "hound", "and", "the", "walks", "red", "tree"]]
+    texts = [(i, " ".join(rng.choice(words[i % 2], rng.integers(30, 120))), ["de", "en"][i % 2]) for i in range(60)]
+    texts += [(100 + i, "".join(map(chr, rng.integers(33, 127, 400))).replace("A", " ") + " x" * 60, "en") for i in range(3)] + [(200, None, "de"), (201, "", None), (202, "the red tree " * 40, "en")]
+    rows = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    raw = {i: (t or "").encode() for i, t, _ in texts}
+    p = brute_kneser_ney(list(raw.values()), op4_quality.ORDER)
+    model = {int(r.gram).to_bytes(5): r.logp for r in op4_quality.kneser_ney(op4_quality.count_grams(rows)).collect()}
+    assert model.keys() == p.keys() and np.allclose([model[g] for g in p], np.log([p[g] for g in p]))
+    found = {r.doc_id: r for r in op4_quality.rules(rows).collect()}
+    nll = {i: -np.mean([np.log(p[(b"\n" * 4 + t)[j : j + 5]]) for j in range(len(t))]) if t else None for i, t in raw.items()}
+    for i, t in raw.items():
+        failed = len(t.split()) < 50 or 100 * found[i].n_repeat_words > 50 * len(t.split())
+        assert found[i].base_failed == failed and (found[i].nll is None if nll[i] is None else found[i].nll == pytest.approx(nll[i], rel=1e-5))
+    for lang in {x for _, _, x in texts}:
+        passed = sorted(nll[i] for i, _, x in texts if x == lang and not found[i].base_failed)
+        for i, _, x in texts:
+            if x == lang:
+                if not passed:
+                    assert not found[i].kept
+                    continue
+                low, high = (passed[max(0, int(np.ceil(len(passed) * q)) - 1)] for q in (0.25, 0.75))
+                band = low - op4_quality.LOW * (high - low), high + op4_quality.HIGH * (high - low)
+                assert (found[i].band_low, found[i].band_high) == pytest.approx(band, rel=1e-4)
+                assert found[i].kept == (not found[i].base_failed and band[0] <= nll[i] <= band[1])
+
+
 def test_quality_scores_merge_no_n_grams(spark, monkeypatch):
     rng = np.random.default_rng(2)
     texts = ["".join(map(chr, rng.integers(97, 123, 20_000))) for _ in range(15)]

@@ -16,6 +16,8 @@ component without ids has a null component_id. Repeated rows share a component.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -166,15 +168,12 @@ def stars(distinct: DataFrame) -> DataFrame:
             yield record(_DEALT, [s for s, _ in dealt], [b for _, b in dealt])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for shard, fps in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                shards.setdefault(shard, []).append(fps)
-        for shard in sorted(shards):
-            for u, v in local_stars(np.unique(np.frombuffer(b"".join(shards.pop(shard)), U64)), shard + 1):
+        rows = (row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        for shard, some in groupby(rows, key=itemgetter(0)):  # one shard at a time
+            for u, v in local_stars(np.unique(np.frombuffer(b"".join(fps for _, fps in some), U64)), shard + 1):
                 yield record(_STARS, u.view(np.int64), v.view(np.int64))
 
-    dealt = distinct.select("fp").mapInArrow(deal, "shard int, fps binary").repartitionById(parts, F.pmod("shard", F.lit(parts)))
+    dealt = distinct.select("fp").mapInArrow(deal, "shard int, fps binary").repartitionById(parts, F.pmod("shard", F.lit(parts))).sortWithinPartitions("shard")
     return dealt.mapInArrow(linked, "u long, v long").distinct()
 
 
