@@ -161,6 +161,8 @@ ALIGNED = [
     (alignments.cormode_lz, "Nigel", "Niall", 0.4), (alignments.block_levenshtein, "Nigel", "Niall", 0.6), (alignments.flex_metric, "Nigel", "Niall", 0.7), (alignments.shapira_storer, "Colin", "Coiln", 0.9),
     (alignments.fellegi_sunter, "Nigel", "Niall", 0.270318312), (alignments.ssk, "Nigel", "Niall", 0.341958748279), (alignments.positional_substrings, "AINSCOMBE", "DASCOMBE", 0.5925925925925926),
     (alignments.isg, "filion", "filguion", 0.75), (alignments.isg, "leon", "noel", 1 / 3), (alignments.typo, "asdf", "zxcv", 0.5), (alignments.typo, "asdf", "ASDF", 0.75), (alignments.typo, "asdf", "qsdf", 0.875),
+    (alignments.covington, "cat", "hat", 1 - 0.19117647058823528), (alignments.covington, "Niall", "Neil", 1 - 0.25555555555555554), (alignments.covington, "aluminum", "Catalan", 1 - 0.43333333333333335), (alignments.covington, "ATCG", "TAGC", 1 - 0.45454545454545453),
+    (alignments.covington_cost, "hart", "kordis", 240), (alignments.covington_cost, "niy", "genu", 170),
 ]
 
 
@@ -172,10 +174,10 @@ def test_alignments(fn, src, tar, sim):
 @pytest.mark.parametrize("name", alignments.NAMES)
 def test_alignment_measures(pairs, name):
     rows = pairs.select("id", alignments.similarity(name, F.col("src"), F.col("tar")).alias("sim")).orderBy("id").collect()
-    # a resample of equal strings need not be equal, and Fellegi-Sunter weights have no fixed top
-    assert rows[4].sim == (0 if name == "chebyshev" else 1 if name not in ("fellegi_sunter", "chao_dice", "chao_jaccard") else rows[4].sim) and rows[8].sim is None
+    # a resample of equal strings need not be equal, Fellegi-Sunter weights have no fixed top, and Covington pays for equal vowels
+    assert rows[4].sim == (0 if name == "chebyshev" else 1 if name not in ("fellegi_sunter", "chao_dice", "chao_jaccard", "covington") else rows[4].sim) and rows[8].sim is None
     # the greatest difference of counts has no bound, and keys far apart cost more than the longer string
-    assert all(0 <= r.sim <= 1 + 1e-9 or name in ("chebyshev", "typo") for r in rows[:8])
+    assert all(0 <= r.sim <= 1 + 1e-9 or name == "chebyshev" or name.startswith("typo") for r in rows[:8])
 
 
 @pytest.mark.parametrize("name", sorted(CODES))
@@ -257,6 +259,12 @@ def test_keyboard_ways():
         assert alignments.typo("asdf", "asdt", way) == pytest.approx(1 - cost / 4, abs=1e-7)
 
 
+def test_keyboards():
+    assert alignments.KEYBOARDS["AZERTY"]["a"][:2] == alignments.KEYBOARDS["QWERTY"]["q"][:2] and alignments.KEYBOARDS["QWERTZ"]["z"][:2] == alignments.KEYBOARDS["QWERTY"]["y"][:2]
+    assert alignments.KEYBOARDS["Dvorak"]["o"][:2] == alignments.KEYBOARDS["QWERTY"]["s"][:2] and alignments.KEYBOARDS["QWERTY"][" "][2] == 0
+    assert alignments.typo("z", "y", layout="QWERTZ") < alignments.typo("z", "t", layout="QWERTZ") == 0.5
+
+
 def test_phonetic_similarity(pairs):
     rows = pairs.select("id", *(rewrites.phonetic_similarity(F.col("src"), F.col("tar"), names, measure).alias(k) for k, names, measure in (("same", ("nysiis",), None), ("near", ("double_metaphone",), "levenshtein")))).orderBy("id").collect()
     assert (rows[0].same, rows[4].same, rows[8].same) == (0, 1, None) and rows[0].near == pytest.approx(3 / 7)  # NJL,NKL and NL, are four edits apart
@@ -333,10 +341,63 @@ def test_stream(spark, sf, tmp_path):
     assert spark.table("found").count() > 0 and spark.table("found").where("sim < 0.7").count() == 0
 
 
+def test_covington_is_least():
+    def cost(x, y):
+        total, before = 0, "match"
+        for s, t in zip(x, y):
+            step = "a" if s == "-" else "b" if t == "-" else "match"
+            if {step, before} == {"a", "b"}:
+                return None
+            total += alignments._sounds(s, t, alignments._COVINGTON) if step == "match" else 40 if step == before else 50
+            before = step
+        return total
+
+    def ways(a, b):
+        if not a and not b:
+            yield "", ""
+        for x, y in ((a[:1], b[:1]), ("-", b[:1]), (a[:1], "-")):
+            if x and y:
+                for s, t in ways(a[x != "-" :], b[y != "-" :]):
+                    yield x + s, y + t
+
+    for a, b in (("nay", "neu"), ("wait", "uy"), ("a", "bcd"), ("ruin", "iwu")):
+        assert alignments.covington_cost(a, b) == min(c for x, y in ways(a, b) if (c := cost(x, y)) is not None)
+
+
+def test_sources(spark, tmp_path):
+    from textloom.sources.ngrams import ngram_table, text_corpus, unigram_table
+
+    (tmp_path / "t.txt").write_text("one two\nthree\n\nfour")
+    assert [(r.doc_id, r.text) for r in text_corpus(spark, str(tmp_path / "t.txt")).orderBy("doc_id").collect()] == [(0, "one two\nthree"), (1, "four")]
+    (tmp_path / "g.tsv").write_text("the cat\t1990\t3\t2\nthe cat\t1991\t4\t2\na dog\t1990\t1\t1\n")
+    assert {(tuple(r.ngram), r["count"]) for r in ngram_table(spark, str(tmp_path / "g.tsv")).collect()} == {(("the", "cat"), 7), (("a", "dog"), 1)}
+    (tmp_path / "u.tsv").write_text("cat_NOUN\t1990\t3\t2\ncat_VERB\t1991\t4\t2\n")
+    assert [tuple(r) for r in unigram_table(spark, str(tmp_path / "u.tsv")).collect()] == [("cat", 7, 4)]
+
+
+def test_streams_count_and_drop_repeats(spark, sf, tmp_path):
+    from textloom.streaming import counts_by_window, once, sessions
+
+    events = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    events.unionByName(events.limit(50)).write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    for name, found, mode in (("tumbling", counts_by_window(stream(), "ts", F.col("event_type")), "complete"), ("sessions_", sessions(stream(), "ts", F.col("user_id")), "complete"), ("once_", once(stream(), "ts", ["event_id"]), "append")):
+        q = found.writeStream.format("memory").queryName(name).outputMode(mode).start()
+        q.processAllAvailable()
+        q.stop()
+    assert spark.table("tumbling").agg(F.sum("n")).first()[0] == events.count() + 50
+    assert spark.table("sessions_").agg(F.sum("n")).first()[0] == events.count() + 50
+    assert spark.table("once_").count() == events.count()
+
+
+def test_arithmetic_query(spark, sf):
+    assert all(r.text == r.decoded and r.bits > 0 for r in __spark_entry__.queries()["coding_arithmetic"](spark, sf).collect())
+
+
 @pytest.mark.parametrize("name", [n for n in library.SQL if not n.startswith("sim_") or n in ("sim_jaccard", "sim_bag", "sim_azzoo", "sim_stiles", "sim_yule_q_ii", "sim_chord", "sim_levenshtein", "sim_prefix")])
 def test_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("part", "documents", "benchmark", "lineitem", "labels"):
+    for t in ("part", "documents", "benchmark", "lineitem", "labels", "events"):
         con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     found = __spark_entry__.queries()[name](spark, sf)
     rows = con.sql(library.SQL[name])

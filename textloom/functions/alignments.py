@@ -100,28 +100,37 @@ def discounted_levenshtein(a: str, b: str, free: int = 1) -> float:
     return 1 - grid(a, b, both, both, lambda i, j: both(i, j) * (a[i] != b[j]), lambda side, k: price(k + 1))[-1][-1] / whole
 
 
-# The keys of a QWERTY keyboard, row by row, without and with shift, and the column of a row's first key.
-_QWERTY = [["`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./", " "], ["~!@#$%^&*()_+", "QWERTYUIOP{}|", 'ASDFGHJKL:"', "ZXCVBNM<>?", ""]]
-_FIRST_KEY = [0, 1, 1, 1, 3]
-_KEYS = {key: (row, column, shift) for shift in (1, 0) for row, keys in enumerate(_QWERTY[shift]) for column, key in enumerate(keys, _FIRST_KEY[row])}
+# The keys of keyboards, row by row, without and with shift (and with a third level); a tab is no key of the layout.
+_QWERTY = ["`1234567890-=", "\tqwertyuiop[]\\", "\tasdfghjkl;'", "\tzxcvbnm,./", "\t\t\t "], ["~!@#$%^&*()_+", "\tQWERTYUIOP{}|", '\tASDFGHJKL:"', "\tZXCVBNM<>?", "\t\t\t "]
+_DVORAK = ["`1234567890[]", "\t',.pyfgcrl/=\\", "\taoeuidhtns-", "\t;qjkxbmwvz", "\t\t\t "], ["~!@#$%^&*(){}", '\t"<>PYFGCRL?+|', "\tAOEUIDHTNS_", "\t:QJKXBMWVZ", "\t\t\t "]
+_AZERTY = ["²&é\"'(-è_çà)=", "\tazertyuiop\t$", "\tqsdfghjklmù*", "<wxcvbn,;:!", "\t\t\t "], ["~1234567890°+", "\tAWERTYUIOP\t£", "\tQSDFGHJKLMÙμ", ">WXCVBN?./§", "\t\t\t "]
+_QWERTZ = ["\t1234567890ß", "\tqwertzuiop\t+\\", "\tasdfghjklöä#", "<yxcvbnm,.-", "\t\t\t "], ['°!"§$%&/()=?', "\tQWERTZUIOPÜ*", "\tASDFGHJKLÖÄ'", ">YXCVBNM;:_", "\t\t\t "]
+
+
+def _keys(*levels: list[str]) -> dict[str, tuple[int, int, int]]:
+    """Row, column and level of each key; the first level that has it."""
+    return {key: (row, column, level) for level in reversed(range(len(levels))) for row, keys in enumerate(levels[level]) for column, key in reversed(list(enumerate(keys))) if key != "\t"}
+
+
+KEYBOARDS = {"QWERTY": _keys(*_QWERTY), "Dvorak": _keys(*_DVORAK), "AZERTY": _keys(*_AZERTY), "QWERTZ": _keys(*_QWERTZ)}
 
 
 #: Ways between keys that lie r rows and c columns apart.
 _WAYS = {"euclidean": math.hypot, "manhattan": lambda r, c: abs(r) + abs(c), "log-euclidean": lambda r, c: math.log1p(math.hypot(r, c)), "log-manhattan": lambda r, c: math.log1p(abs(r) + abs(c))}
 
 
-def typo(a: str, b: str, way: str = "euclidean") -> float:
+def typo(a: str, b: str, way: str = "euclidean", layout: str = "QWERTY") -> float:
     """A change costs half the way between the keys, a quarter more if only one needs shift; a letter that is on no key is dropped and another added."""
     if a == b:
         return 1.0
-    apart = _WAYS[way]
+    apart, keys = _WAYS[way], KEYBOARDS[layout]
 
     def change(i: int, j: int) -> float:
         if a[i] == b[j]:
             return 0.0
-        if a[i] not in _KEYS or b[j] not in _KEYS:
+        if a[i] not in keys or b[j] not in keys:
             return 2.0
-        (r, c, up), (s, d, high) = _KEYS[a[i]], _KEYS[b[j]]
+        (r, c, up), (s, d, high) = keys[a[i]], keys[b[j]]
         return 0.5 * (apart(r - s, c - d) + 0.5 * (up != high))
 
     one = lambda i, j: 1.0
@@ -544,7 +553,43 @@ def chebyshev(a: str, b: str) -> float:
     return float(max((abs(x[k] - y[k]) for k in x | y), default=0))
 
 
+# Covington's costs of a match of consonants or glides, of vowels, of vowels that differ in length (or i with y, u with w), of two vowels, of two consonants, of one of each, of a skip after a skip, and of another skip.
+_COVINGTON = 0, 5, 10, 30, 60, 100, 40, 50
+_PLAIN_VOWELS, _PLAIN_CONSONANTS = frozenset("aeiou"), frozenset("bcdfghjklmnpqrstvxz")
+
+
+def _sounds(s: str, t: str, costs: tuple[float, ...]) -> float:
+    if s == t:
+        return costs[0] if s in _PLAIN_CONSONANTS or s in "wy" else costs[1]
+    x, y = normalize("NFKD", s)[0], normalize("NFKD", t)[0]
+    if {s, t} in ({"i", "y"}, {"u", "w"}) or x == y and s in _PLAIN_VOWELS:
+        return costs[2]
+    if x in _PLAIN_VOWELS and y in _PLAIN_VOWELS:
+        return costs[3]
+    return costs[4] if x in _PLAIN_CONSONANTS and y in _PLAIN_CONSONANTS else costs[5]
+
+
+def covington_cost(a: str, b: str, costs: tuple[float, ...] = _COVINGTON) -> float:
+    """The least cost of an alignment in which skips on one side do not follow skips on the other: three grids, by the last step."""
+    best = {(0, 0): (0.0, math.inf, math.inf)}  # after a match, a skip in a, a skip in b
+    for i in range(len(a) + 1):
+        for j in range(len(b) + 1):
+            if i or j:
+                over, left, up = (best.get(k, (math.inf,) * 3) for k in ((i - 1, j - 1), (i, j - 1), (i - 1, j)))
+                match = min(over) + (_sounds(a[i - 1], b[j - 1], costs) if i and j else 0)
+                best[i, j] = match, min(left[0] + costs[7], left[1] + costs[6]), min(up[0] + costs[7], up[2] + costs[6])
+    return min(best[len(a), len(b)])
+
+
+def covington(a: str, b: str, costs: tuple[float, ...] = _COVINGTON) -> float:
+    """The cost as a share of the worst one, from one."""
+    apart = abs(len(a) - len(b))
+    worst = costs[5] * min(len(a), len(b)) + (costs[7] if apart else 0) + costs[6] * abs(apart - 1)
+    return 1 - covington_cost(a, b, costs) / worst
+
+
 KERNELS = {
+    "covington": covington, "typo_azerty": lambda a, b: typo(a, b, layout="AZERTY"), "typo_dvorak": lambda a, b: typo(a, b, layout="Dvorak"), "typo_qwertz": lambda a, b: typo(a, b, layout="QWERTZ"),
     "cao": cao, "chao_dice": chao_dice, "chao_jaccard": chao_jaccard, "inclusion": inclusion, "meta_levenshtein": meta_levenshtein, "min_hash": minhash, "rees_levenshtein": rees_levenshtein, "saps": saps,
     "baystat": baystat, "block_levenshtein": block_levenshtein, "chebyshev": chebyshev, "cormode_lz": cormode_lz, "discounted_levenshtein": discounted_levenshtein, "editex": editex, "eudex": phonetics.eudex_similarity, "fellegi_sunter": fellegi_sunter, "flex_metric": flex_metric,
     "guth": guth, "isg": isg, "mra": match_rating, "ncd_arith": arithmetic.similarity, "ozbay": ozbay, "shapira_storer_i": shapira_storer, "sift4": sift4, "sift4_simplest": sift4_simplest, "ssk": ssk, "strcmp95": strcmp95, "typo": typo, "vps": positional_substrings,

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import alignments, codes, edits, evaluation, intersections, means, measures, rewrites, tokenizers, vectors
+from ..functions import alignments, arithmetic, codes, edits, evaluation, intersections, means, measures, rewrites, tokenizers, vectors
 from ..operators import corpus, matching
+from ..streaming import counts_by_window, sessions
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,6 +106,62 @@ def all_means(spark, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", *(F.round(fn(F.col("x")), 6).alias(n) for n, fn in MEANS.items()))
 
 
+PAIR_MEANS = {"lmean": means.lmean, "imean": means.imean, "seiffert_mean": means.seiffert_mean}
+ITERATED = {"agmean": means.agmean, "ghmean": means.ghmean, "aghmean": means.aghmean}
+
+
+def pair_means(spark, sf_dir: str) -> DataFrame:
+    """Means of two values; the iterated ones once for each distinct pair."""
+    rows = _table(spark, sf_dir, "lineitem").select(F.array(F.col("l_quantity").cast("double"), F.lit(1.0) + F.col("l_linenumber")).alias("x")).distinct()
+    return rows.select(F.col("x")[0].alias("a"), F.col("x")[1].alias("b"), *(F.round(fn(F.col("x")), 6).alias(n) for n, fn in PAIR_MEANS.items()), *(F.round(fn()(F.col("x")), 6).alias(n) for n, fn in ITERATED.items()))
+
+
+def _iterated_sql(name: str, start: str, step: str, rounds: int = 12) -> str:
+    found = f"select a, b, {start} from p"
+    for _ in range(rounds):
+        found = f"select a, b, {step} from ({found})"
+    return f"{name} as ({found})"
+
+
+_PAIR_MEANS_SQL = ", ".join((
+    "with p as (select distinct l_quantity::double as a, 1.0::double + l_linenumber as b from lineitem)", _iterated_sql("ag", "(a + b)/2 as x, sqrt(a*b) as y", "(x + y)/2 as x, sqrt(x*y) as y"), _iterated_sql("gh", "sqrt(a*b) as x, 2*a*b/(a + b) as y", "sqrt(x*y) as x, 2*x*y/(x + y) as y"),
+    _iterated_sql("agh", "(a + b)/2 as x, sqrt(a*b) as y, 2*a*b/(a + b) as z", "(x + y + z)/3 as x, power(x*y*z, 1e0/3) as y, 3/(1/x + 1/y + 1/z) as z"),
+)) + " select a, b, round(case when a = b then a else (b - a)/ln(b/a) end, 6) as lmean, round(case when a = b then a else exp((a*ln(a) - b*ln(b))/(a - b) - 1) end, 6) as imean, round(case when a = b then 'nan'::double else (a - b)/(2*asin((a - b)/(a + b))) end, 6) as seiffert_mean, round(ag.x, 6) as agmean, round(gh.x, 6) as ghmean, round(agh.x, 6) as aghmean from p join ag using (a, b) join gh using (a, b) join agh using (a, b)"
+
+
+def mean_similarity(spark, sf_dir: str) -> DataFrame:
+    """Harmonic mean of one and the similarity of names that share a first letter, so that no term is zero."""
+    pairs = matching.self_pairs(_names(spark, sf_dir), "block")
+    rows = matching.mean_pairwise_similarity(pairs, lambda a, b: 2 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)))
+    return rows.select(F.round("mean", 9).alias("mean"))
+
+
+def skipgrams(spark, sf_dir: str) -> DataFrame:
+    return _names(spark, sf_dir).select(F.col("text").alias("name"), F.array_join(tokenizers.q_skipgrams(2)(F.col("text")), "|").alias("tokens"))
+
+
+def arithmetic_codes(spark, sf_dir: str) -> DataFrame:
+    """Bits of each name under a code learnt from it, and the name decoded again."""
+
+    def coded(names):
+        for batch in names:
+            ranges = [arithmetic.train(t) for t in batch.text]
+            codes_ = [arithmetic.encode(t, r) for t, r in zip(batch.text, ranges, strict=True)]
+            yield batch[["text"]].assign(bits=[b for _, b in codes_], decoded=[arithmetic.decode(*c, r) for c, r in zip(codes_, ranges, strict=True)])
+
+    return _names(spark, sf_dir).select("text").mapInPandas(coded, "text string, bits long, decoded string")
+
+
+def _events(windows):
+    def run(spark, sf_dir: str) -> DataFrame:
+        rows = windows(_table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+        return rows.select(F.unix_timestamp("window.start").alias("start"), F.unix_timestamp("window.end").alias("end"), "key", "n")
+
+    return run
+
+
+_EVENTS_SQL = "select epoch({0})::bigint as start, epoch({0} + interval 1 hour)::bigint as end, event_type as key, count(*) as n from {1} group by all"
+
 _BIGRAMS = "case when length({0}) = 0 then []::varchar[] else list_transform(range(1, length({0}) + 2), lambda i: substr('$' || {0} || '#', i, 2)) end"
 _NAME_SQL = "names as (select distinct p_name as t from part), pairs as (select l.t as src, r.t as tar from names l join names r on substr(l.t, 1, 1) = substr(r.t, 1, 1) and l.t < r.t)"
 _WORDS = "words as (select doc_id, unnest(regexp_extract_all(text, '\\S+')) as word from documents)"
@@ -123,6 +180,13 @@ QUERIES = {
     "sim_phonetic": phonetic_names,
     "confusion_metrics": evaluation.query,
     "means": all_means,
+    "means_of_pairs": pair_means,
+    "match_mean_similarity": mean_similarity,
+    "tokens_q_skipgrams": skipgrams,
+    "coding_arithmetic": arithmetic_codes,
+    "stream_tumbling": _events(lambda rows: counts_by_window(rows, "ts", F.col("event_type"))),
+    "stream_sliding": _events(lambda rows: counts_by_window(rows, "ts", F.col("event_type"), slide="20 minutes")),
+    "stream_sessions": _events(lambda rows: sessions(rows, "ts", F.col("user_id"))),
     "tokens_character": tokens_query(tokenizers.character),
     "tokens_q_grams": tokens_query(tokenizers.q_grams),
     "tokens_trigrams": tokens_query(lambda c: tokenizers.q_grams(c, 3)),
@@ -151,6 +215,12 @@ SQL = {
     **{f"code_{n}": rewrites.sql(n) for n in rewrites.SQL},
     "confusion_metrics": evaluation.SQL,
     "means": f"with t as (select l_orderkey, l_linenumber, {_X} as x from lineitem) select l_orderkey, l_linenumber, " + ", ".join(f"round({MEANS_SQL[n]}, 6) as {n}" for n in MEANS) + " from t",
+    "means_of_pairs": _PAIR_MEANS_SQL,
+    "match_mean_similarity": f"with {_NAME_SQL}, s as (select 2 - levenshtein(src, tar)/greatest(length(src), length(tar)) as sim from pairs) select round(count(*)/sum(1/sim), 9) as mean from s",
+    "tokens_q_skipgrams": "with n as (select distinct p_name as name, '$' || p_name || '#' as t from part) select name, array_to_string(flatten(list_transform(range(1, length(t)), lambda i: list_transform(range(i + 1, length(t) + 1), lambda j: substr(t, i, 1) || substr(t, j, 1)))), '|') as tokens from n",
+    "stream_tumbling": _EVENTS_SQL.format("date_trunc('hour', ts)", "events"),
+    "stream_sliding": _EVENTS_SQL.format("at_", "(select time_bucket(interval 20 minute, ts) - unnest([0, 1, 2]) * interval 20 minute as at_, event_type from events)"),
+    "stream_sessions": "with e as (select *, coalesce(ts >= lag(ts) over w + interval 30 minute, true)::int as fresh from events window w as (partition by user_id order by ts)), s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from e) select floor(epoch(min(ts)))::bigint as start, floor(epoch(max(ts) + interval 30 minute))::bigint as end, user_id as key, count(*) as n from s group by user_id, k",
     "tokens_character": _tokens_sql("list_transform(range(1, length(text) + 1), lambda i: substr(text, i, 1))"),
     "tokens_q_grams": _tokens_sql(_BIGRAMS.format("text")),
     "tokens_trigrams": _tokens_sql("list_transform(range(1, length(text) + 3), lambda i: substr('$$' || text || '##', i, 3))"),
