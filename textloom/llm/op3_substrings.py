@@ -46,9 +46,9 @@ SPAN = LENGTH - ANCHOR + 1
 #: Anchors that a task holds before it sends them; documents and anchors of each in the sample for splitters.
 HELD, SAMPLE, SAMPLE_EACH = 1 << 19, 4000, 32
 #: Bytes of suffixes of which the windows are compared at a time; bytes of text in a chunk and of windows whose anchors are found at a time; of text for a bucket.
-SLAB, CHUNK, BLOCK, BUCKET = 1 << 19, 1 << 20, 1 << 18, 4 << 20
+SLAB, CHUNK, BLOCK, BUCKET = 1 << 19, 1 << 20, 1 << 18, 8 << 20
 #: Rows that quicksort hands to a plain sort, words of a window.
-SMALL, WORDS = 1024, -(-LENGTH // 8)
+SMALL, WORDS = 1 << 14, -(-LENGTH // 8)
 _LOW48 = U64((1 << 48) - 1)
 _B = [U64(pow(0x9E3779B97F4A7C15, 1 << k, 1 << 64)) for k in range(4)]
 
@@ -314,7 +314,8 @@ def multikey_quicksort(words: np.ndarray, small: int = SMALL) -> np.ndarray:
         lo, hi, k = left.pop()
         part = order[lo:hi]
         if len(part) <= small:
-            order[lo:hi] = part[np.lexsort(words[part, k:].T[::-1])]
+            rest = words[part, k:].astype(">u8")
+            order[lo:hi] = part[np.argsort(rest.view(f"S{8 * rest.shape[1]}").reshape(-1), kind="stable")]
             continue
         word = words[part, k]
         some = np.sort(word[:: max(1, len(word) // 99)])
