@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import operator
 import random
 import zlib
 from collections import Counter
@@ -327,19 +328,23 @@ def strcmp95(a: str, b: str, long: bool = False) -> float:
     return weight
 
 
-def sift4(a: str, b: str, reach: int = 5) -> float:
-    """Linear-time estimate of the edit distance: runs of equal letters, found again within `reach` places."""
-    if not a or not b:
-        return float(a == b)
-    i = j = run = crossed = 0
-    seen: list[list] = []  # places of equal letters, and whether they count as crossed
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
-            run, cross, kept = run + 1, False, []
+def sift4_extended(a: str, b: str, reach: int = 5, limit: float = 0, tokens=list, same=operator.eq, quality=lambda x, y: 1, run_value=lambda n: n, cross_cost=lambda p, q: 1, total=lambda runs, crossed: runs - crossed) -> int:
+    """Linear-time estimate of the edit distance: runs of equal tokens, found again within `reach` places; every part of the estimate may be replaced, and a `limit` other than 0 ends it there."""
+    x, y = tokens(a), tokens(b)
+    if not x or not y:
+        return len(x) + len(y)
+    i = j = 0
+    run = runs = crossed = 0.0
+    seen: list[list] = []  # places of equal tokens, and whether they count as crossed
+    while i < len(x) and j < len(y):
+        if same(x[i], y[j]):
+            run += quality(x[i], y[j])
+            cross, kept = False, []
             for k, (p, q, was) in enumerate(seen):
                 if i <= p or j <= q:
                     cross = abs(j - i) >= abs(q - p)
-                    crossed += cross or not was
+                    if cross or not was:
+                        crossed += cross_cost(i, j) if cross else cross_cost(q, p)
                     seen[k][2] = was or not cross
                     kept += seen[k:]
                     break
@@ -347,19 +352,48 @@ def sift4(a: str, b: str, reach: int = 5) -> float:
                     kept.append(seen[k])
             seen = [*kept, [i, j, cross]]
         else:
+            runs, run = runs + run_value(run), 0
             i = j = min(i, j)
             for step in range(reach):
-                if a[i + step : i + step + 1] == b[j]:
+                if i + step < len(x) and same(x[i + step], y[j]):
                     i, j = i + step - 1, j - 1
                     break
-                if b[j + step : j + step + 1] == a[i]:
+                if j + step < len(y) and same(x[i], y[j + step]):
                     i, j = i - 1, j + step - 1
                     break
         i, j = i + 1, j + 1
-        if i >= len(a) or j >= len(b):
+        if limit and (so_far := run_value(max(i, j)) - total(runs, crossed)) >= limit:
+            return round(so_far)
+        if i >= len(x) or j >= len(y):
+            runs, run = runs + run_value(run), 0
             i = j = min(i, j)
-    longer = max(len(a), len(b))
-    return 1 - (longer - run + crossed) / longer
+    return round(run_value(max(len(x), len(y))) - total(runs + run_value(run), crossed))
+
+
+#: Parts of the extended estimate: likeness of tokens, runs that count for more, and crossings that cost more the longer they are.
+def sift4_alike(x: str, y: str) -> bool:
+    return sift4(x, y) > 0.7
+
+
+def longer_runs(n: float) -> float:
+    return 1 if n < 1 else n - 1 / (n + 1)
+
+
+def much_longer_runs(n: float) -> float:
+    return n**1.5
+
+
+def longer_crossings(p: int, q: int) -> float:
+    return abs(q - p) / 9 + 1
+
+
+def sift4(a: str, b: str, reach: int = 5) -> float:
+    return edits.of_longer(sift4_extended(a, b, reach), a, b)
+
+
+def sift4_grams(a: str, b: str) -> float:
+    """The extended estimate of 2-grams."""
+    return edits.of_longer(sift4_extended(a, b, tokens=edits.grams), edits.grams(a), edits.grams(b))
 
 
 def sift4_simplest(a: str, b: str, reach: int = 5) -> float:
@@ -592,7 +626,7 @@ KERNELS = {
     "covington": covington, "typo_azerty": lambda a, b: typo(a, b, layout="AZERTY"), "typo_dvorak": lambda a, b: typo(a, b, layout="Dvorak"), "typo_qwertz": lambda a, b: typo(a, b, layout="QWERTZ"),
     "cao": cao, "chao_dice": chao_dice, "chao_jaccard": chao_jaccard, "inclusion": inclusion, "meta_levenshtein": meta_levenshtein, "min_hash": minhash, "rees_levenshtein": rees_levenshtein, "saps": saps,
     "baystat": baystat, "block_levenshtein": block_levenshtein, "chebyshev": chebyshev, "cormode_lz": cormode_lz, "discounted_levenshtein": discounted_levenshtein, "editex": editex, "eudex": phonetics.eudex_similarity, "fellegi_sunter": fellegi_sunter, "flex_metric": flex_metric,
-    "guth": guth, "isg": isg, "mra": match_rating, "ncd_arith": arithmetic.similarity, "ozbay": ozbay, "shapira_storer_i": shapira_storer, "sift4": sift4, "sift4_simplest": sift4_simplest, "ssk": ssk, "strcmp95": strcmp95, "typo": typo, "vps": positional_substrings,
+    "guth": guth, "isg": isg, "mra": match_rating, "ncd_arith": arithmetic.similarity, "ozbay": ozbay, "shapira_storer_i": shapira_storer, "sift4": sift4, "sift4_extended": sift4_grams, "sift4_simplest": sift4_simplest, "ssk": ssk, "strcmp95": strcmp95, "typo": typo, "vps": positional_substrings,
 }
 NAMES = sorted(KERNELS)
 

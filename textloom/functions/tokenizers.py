@@ -6,7 +6,7 @@ import re
 from itertools import combinations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import measures
@@ -62,6 +62,89 @@ def saps(c: Column) -> Column:
     return F.pandas_udf(batch, "array<string>")(c)
 
 
+# Vowels, and the sonority of other letters; a mark that is no letter closes a syllable.
+_VOWELS = "aeiouy"
+_SONORITY = {**dict.fromkeys(_VOWELS, 4), **dict.fromkeys("lmnrw", 3), **dict.fromkeys("fsvz", 2), **dict.fromkeys("bcdghjkpqtx", 1)}
+
+
+def sonority_syllables(word: str) -> list[str]:
+    """Parts of a word cut where sonority is least, or where it stays equal after falling; parts without a vowel join the one before, or the next."""
+    ranks = [_SONORITY.get(x, 4 if x.isalpha() else 0) for x in word.lower()]
+    parts, start = [], 0
+    for i in range(1, len(word)):
+        before, here, after = ranks[i - 1], ranks[i], ranks[i + 1] if i + 1 < len(word) else 0
+        if not here:
+            cut = i + 1
+        elif after and before >= here == after:
+            cut = i + 1
+        elif before > here < after:
+            cut = i
+        else:
+            continue
+        if cut > start:
+            parts.append(word[start:cut])
+            start = cut
+    syllables: list[str] = []
+    for part in [*parts, word[start:]]:
+        if syllables and (not set(part.lower()) & set(_VOWELS) or not set(syllables[-1].lower()) & set(_VOWELS)):
+            syllables[-1] += part
+        else:
+            syllables.append(part)
+    return [x for x in syllables if x]
+
+
+def legality_syllables(word: str, onsets: frozenset[str] = frozenset()) -> list[str]:
+    """Syllables of one vowel each, read from the end; a syllable takes the consonants before its vowel as long as they are an onset, the rest close the one before."""
+    syllables, end, at = [], len(word), len(word) - 1
+    while at >= 0:
+        if word[at].lower() in _VOWELS:
+            while at and word[at - 1].lower() not in _VOWELS and word[at - 1 : _vowel_from(word, at)].lower() in onsets:
+                at -= 1
+            syllables.append(word[at:end])
+            end = at
+        at -= 1
+    return [*([word[:end]] if end else []), *reversed(syllables)]
+
+
+def _vowel_from(word: str, at: int) -> int:
+    return next(i for i in range(at, len(word)) if word[i].lower() in _VOWELS)
+
+
+def onsets(words: DataFrame, threshold: float = 0.0002, word_col: str = "word") -> DataFrame:
+    """(onset, n): what precedes the first vowel of words, their marks dropped, where it makes up more than the threshold; so there are fewer than 1 / threshold."""
+    found = words.select(F.regexp_extract(F.lower(F.regexp_replace(word_col, r"[^\p{L}]", "")), f"^[^{_VOWELS}]*", 0).alias("onset"))
+    counts = found.where(F.col("onset").isNotNull()).groupBy("onset").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    return counts.join(F.broadcast(total), F.col("n") > F.col("total") * threshold).select("onset", "n")
+
+
+def _by_word(split):
+    """A column function: the parts of all words of a text; a text without words is its own token."""
+
+    def batch(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: x if x is None else [part for word in x.split() for part in split(word)] or [x])
+
+    return F.pandas_udf(batch, "array<string>")
+
+
+def sonority(c: Column) -> Column:
+    return _by_word(sonority_syllables)(c)
+
+
+def legality(c: Column, legal: list[str] | None = None) -> Column:
+    """With the onsets that onsets() found; without any, each vowel begins a syllable."""
+    known = frozenset(legal or [])
+    return _by_word(lambda word: legality_syllables(word, known))(c)
+
+
+def wrapped(tokenizer):
+    """A column function from any object (or class) with a method `tokenize` from a string to a list of strings."""
+    made = tokenizer() if isinstance(tokenizer, type) else tokenizer
+    if not callable(getattr(made, "tokenize", None)):
+        raise TypeError("a tokenizer needs a method tokenize")
+    return F.pandas_udf(lambda s: s.map(lambda x: x if x is None else list(made.tokenize(x))), "array<string>")
+
+
 def q_skipgrams(q: int = 2, start: str = "$", stop: str = "#"):
     """A UDF: all q-letter subsequences of the padded string; meant for short strings, as their number grows with the length to the power q."""
 

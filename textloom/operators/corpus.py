@@ -45,3 +45,19 @@ def n_grams(documents: DataFrame, n: int = 2, text_col: str = "text", sentence_s
     sentences = documents.select(F.explode(F.split(text_col, sentence_split)).alias("sentence"))
     found = sentences.select(F.explode(grams).alias("ngram")).where(F.size(F.split("ngram", " ")) == n)
     return found.groupBy("ngram").agg(F.count("*").alias("count"))
+
+
+def n_grams_up_to(documents: DataFrame, n: int = 3, text_col: str = "text", sentence_split: str = "\n", start: str = "_START_", end: str = "_END_") -> DataFrame:
+    """(ngram, size, count): word n-grams of 1 to n words; an empty start or end mark is left out."""
+    found = F.regexp_extract_all("sentence", F.lit(r"(\S+)"), 1)
+    padded = F.concat(*([F.array(F.lit(start))] if start else []), found, *([F.array(F.lit(end))] if end else []))
+    sentences = documents.select(F.explode(F.split(text_col, sentence_split)).alias("sentence")).select(padded.alias("p")).where(F.size("p") > 0)
+    p = F.col("p")
+    slices = F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(n), F.size(p) - i + 1)), lambda k: F.struct(F.array_join(F.slice(p, i, k), " ").alias("ngram"), k.alias("size"))))
+    return sentences.select(F.inline(F.flatten(slices))).groupBy("ngram", "size").agg(F.count("*").alias("count"))
+
+
+def n_gram_count(counts: DataFrame, ngram: str | list[str]) -> DataFrame:
+    """(count): the n-gram's, 0 if there is none."""
+    key = ngram if isinstance(ngram, str) else " ".join(ngram)
+    return counts.where(F.col("ngram") == key).agg(F.coalesce(F.sum("count"), F.lit(0)).alias("count"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import alignments, arithmetic, codes, edits, evaluation, intersections, means, measures, rewrites, tokenizers, vectors
+from ..functions import alignments, arithmetic, codes, edits, evaluation, intersections, means, measures, phones, rewrites, tokenizers, vectors
 from ..operators import corpus, matching
 from ..streaming import counts_by_window, sessions
 
@@ -43,6 +43,20 @@ def bigrams(spark, sf_dir: str) -> DataFrame:
     return corpus.n_grams(_table(spark, sf_dir, "documents"))
 
 
+def n_grams_up_to_3(spark, sf_dir: str) -> DataFrame:
+    return corpus.n_grams_up_to(_table(spark, sf_dir, "conversations"))
+
+
+def onsets(spark, sf_dir: str) -> DataFrame:
+    return tokenizers.onsets(corpus.words(_table(spark, sf_dir, "documents")))
+
+
+def legal_syllables(spark, sf_dir: str) -> DataFrame:
+    """Syllables of the benchmark by the onsets of documents; onsets are fewer than 5,000 by their threshold."""
+    legal = [row.onset for row in onsets(spark, sf_dir).collect()]
+    return tokens_query(lambda c: tokenizers.legality(c, legal))(spark, sf_dir)
+
+
 def _names(spark, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").select(F.col("p_name").alias("text")).distinct().withColumn("block", F.substring("text", 1, 1)).withColumn("id", F.col("text"))
 
@@ -172,6 +186,7 @@ QUERIES = {
     **{f"sim_{n}": vectors.query(n) for n in vectors.NAMES},
     **{f"sim_{n}": edits.query(n) for n in edits.NAMES},
     **{f"sim_{n}": alignments.query(n) for n in alignments.NAMES},
+    **{f"sim_{n}": phones.query(n) for n in phones.NAMES},
     **{f"code_{n}": codes.query(n) for n in codes.NAMES},
     **{f"code_{n}": rewrites.query(n) for n in rewrites.NAMES},
     **{f"sim_{kind}_{n}": intersections.query(n, kind) for kind in intersections.KINDS for n in ("jaccard", "dice", "cosine", "overlap")},
@@ -197,6 +212,11 @@ QUERIES = {
     "tokens_cv_cluster": tokens_query(tokenizers.cv_cluster),
     "tokens_vc_cluster": tokens_query(tokenizers.vc_cluster),
     "tokens_saps": tokens_query(tokenizers.saps),
+    "tokens_sonority": tokens_query(tokenizers.sonority),
+    "tokens_legality": legal_syllables,
+    "phones_of_words": phones.words_query,
+    "corpus_onsets": onsets,
+    "corpus_n_grams": n_grams_up_to_3,
     "corpus_unigrams": unigrams,
     "corpus_idf": idf,
     "corpus_tf_idf": tf_idf,
@@ -231,6 +251,8 @@ SQL = {
     "corpus_idf": f"with {_COUNTS} select word, round(ln((select count(*) from documents)::double/doc_count), 9) as idf from counts",
     "corpus_tf_idf": f"with {_COUNTS}, tf as (select doc_id, word, count(*) as tf from words group by all), w as (select doc_id, word, ln(1 + tf)*ln(1 + (select count(*) from documents)::double/doc_count) as w from tf join counts using (word)) select doc_id, word, round(w/sqrt(sum(w*w) over (partition by doc_id)), 9) as tf_idf from w",
     "corpus_bigrams": "with s as (select unnest(string_split(text, chr(10))) as s from documents), p as (select list_concat(['_START_'], regexp_extract_all(s, '\\S+'), ['_END_']) as p from s) select ngram, count(*) as count from (select unnest(list_transform(range(1, len(p)), lambda i: p[i] || ' ' || p[i + 1])) as ngram from p) group by ngram",
+    "corpus_n_grams": "with s as (select unnest(string_split(text, chr(10))) as s from conversations), p as (select list_concat(['_START_'], regexp_extract_all(s, '\\S+'), ['_END_']) as p from s), g as (select p, unnest(range(1, len(p) + 1)) as i from p), k as (select p, i, unnest(range(1, least(3, len(p) - i + 1) + 1)) as k from g) select array_to_string(p[i:i + k - 1], ' ') as ngram, k::int as size, count(*) as count from k group by all",
+    "corpus_onsets": f"with {_WORDS}, o as (select regexp_extract(lower(regexp_replace(word, '[^\\p{{L}}]', '', 'g')), '^[^aeiouy]*') as onset from words), c as (select onset, count(*) as n from o group by onset) select onset, n from c where n > 0.0002 * (select sum(n) from c)",
     "match_blocking": f"with {_NAME_SQL} select src, tar, levenshtein(src, tar)::int as distance from pairs",
     "match_top_k": f"with {_NAME_SQL}, d as (select src, tar, levenshtein(src, tar)::int as distance from pairs) select src, tar, distance, rank() over (partition by src order by distance)::int as rank from d qualify rank() over (partition by src order by distance) <= 2",
     "match_pair_statistics": f"with {_NAME_SQL}, s as (select 1 - levenshtein(src, tar)/greatest(length(src), length(tar)) as sim from pairs) select round(max(sim), 9) as max, round(min(sim), 9) as min, round(avg(sim), 9) as mean, round(stddev_pop(sim), 9) as std from s",
