@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import alignments, arithmetic, codes, edits, evaluation, intersections, means, measures, phones, rewrites, tokenizers, vectors
+from ..functions import alignments, arithmetic, codes, edits, evaluation, intersections, means, measures, names, phones, rewrites, tokenizers, vectors
 from ..operators import corpus, matching
 from ..streaming import counts_by_window, sessions
 
@@ -193,6 +193,8 @@ QUERIES = {
     "code_spfc": full_name_codes,
     "code_fp_phonetic": phonetic_fingerprints,
     "sim_phonetic": phonetic_names,
+    "sim_synoname": names.kind_query,
+    "code_fp_synoname": names.toolcode_query,
     "confusion_metrics": evaluation.query,
     "means": all_means,
     "means_of_pairs": pair_means,
