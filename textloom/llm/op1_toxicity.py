@@ -96,7 +96,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: i
             for order, label, at in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 found[(order * 0x9E3779B97F4A7C15) % (1 << 64), order, at] = label  # an order by hash; repeated rows count once
         if found:
-            bias, at, w = fit([(label, np.frombuffer(k[2], np.uint32).astype(np.int64)) for k, label in sorted(found.items())], bits)
+            bias, at, w = fit([(label, np.frombuffer(k[2], np.uint32)) for k, label in sorted(found.items())], bits)
             yield record(pa.schema([("bias", pa.float64()), ("at", pa.binary()), ("w", pa.binary())]), [bias], [at.astype(np.uint32).tobytes()], [w.astype(np.float64).tobytes()])
 
     model = rows.mapInArrow(featurize, "order long, toxic int, at binary").repartition(1).mapInArrow(learn, "bias double, at binary, w binary").collect()
