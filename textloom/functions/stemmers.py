@@ -326,4 +326,57 @@ def schinke(word: str) -> str:
     return f"{cut(noun) or word},{cut(verb) + _VERBS.get(verb, '') if cut(verb) else word}"
 
 
-KERNELS = {"caumanns": caumanns, "lancaster": lancaster, "porter2": porter2, "schinke": schinke, "snowball_danish": danish, "snowball_dutch": dutch, "snowball_german": german, "snowball_norwegian": norwegian, "snowball_swedish": swedish}
+# UEA-Lite's endings by how many letters go and what comes instead.
+_UEA = {
+    (6, ""): "aceous",
+    (5, ""): "ttings ddings llings mmings ggings",
+    (4, ""): "fulness ousness eadings oadings ealings ailings ssings edings ldings rdings ndings olings elings ngings stings etings ntings tting dding lling mming gging nning",
+    (4, "e"): "irings urings ncings vings dings lings mings gings tings sings",
+    (3, ""): "aining acting ulting eading oading ealing ailing erred urred ssing eding lding rding nding oling eling rming lming nging aning ening gning oning rning sting eting pting nting cting nned tted beds gged",
+    (3, "e"): "viding uming iring uring ncing ating ving ding ling ming ging ning ting zing sing",
+    (3, "f"): "lves",
+    (3, "y"): "ied ies",
+    (2, ""): "iases ained erned ifted ected lored eared ulted sses eled lled ened rned oned gned ered reds ssed led ted bed es",
+    (2, "is"): "eses",
+    (2, "e"): "is",
+    (1, ""): "titudes things vided tored noted leted anges rabed rebed ribed robed rubed eeds uses tled pled bled uted ated umed nged aped uded oded ones izes ures ines ides ces ued ues ees ses ned ved ced red sed ged les tes zed ves pes mes ges",
+    (0, ""): "thing sis tis eed ous ums cs ss us",
+}
+# Further endings of the variant adams, those that the variant perl lacks, and words that stay.
+_UEA_ADAMS = {(4, "ie"): "dying tying lying", (3, ""): "arred", (2, ""): "ited does", (1, ""): "chited vited mited mided oked aked iked uked amed imed oed oes kes des res"}
+_UEA_NOT_PERL = re.compile("ings$|^[erb]eds$|^eeds$")
+_UEA_STAY = "is as this has was during".split()
+
+
+def _endings(*tables: dict[tuple[int, str], str]) -> dict[str, tuple[int, str]]:
+    return {ending: action for table in tables for action, endings in table.items() for ending in endings.split()}
+
+
+_UEA_TABLES = {"standard": _endings(_UEA), "adams": _endings(_UEA, _UEA_ADAMS), "perl": {e: a for e, a in _endings(_UEA).items() if not _UEA_NOT_PERL.search(e)}}
+
+
+def uea_lite(word: str, variant: str = "standard", longest: int = 20, longest_acronym: int = 8) -> str:
+    """The longest ending of two to seven letters decides, else -ing, -ed or -s goes; names, numbers, acronyms and compounds stay."""
+    adams = variant == "adams"
+    if word in _UEA_STAY or adams and word == "menses" or longest and len(word) > longest:
+        return word
+    if "'" in word:
+        word = re.sub("'[sS]?$", "", word)
+        for short, full in (("n't", "not"), ("'ve", "have"), ("'re", "are"), ("'m", "am")):
+            word = word.replace(short, full)
+        return word
+    if word.isdigit() or word.find("-") > 0 or "_" in word:
+        return word
+    if word.endswith("s") and word[:-1].isupper():
+        return word if adams and len(word) - 1 > longest_acronym else word[:-1]
+    if word[:1].isupper() or len(re.findall("[A-Z]", word)) > 1 or word.isupper() or adams and re.fullmatch("[a-z][rl]?(ing|ed)", word):
+        return word
+    for n in range(7, 1, -1):
+        if word[-n:] in _UEA_TABLES[variant]:
+            cut, new = _UEA_TABLES[variant][word[-n:]]
+            return word[: len(word) - cut] + new
+    verb = re.fullmatch(r"(.*\w\w)(?:ing|ed)s?", word)
+    return re.sub(r"(\w)\1$", r"\1", verb[1]) if verb else word.removesuffix("s")
+
+
+KERNELS = {"uea_lite": uea_lite, "uea_lite_adams": lambda w: uea_lite(w, "adams"), "uea_lite_perl": lambda w: uea_lite(w, "perl"), "caumanns": caumanns, "lancaster": lancaster, "porter2": porter2, "schinke": schinke, "snowball_danish": danish, "snowball_dutch": dutch, "snowball_german": german, "snowball_norwegian": norwegian, "snowball_swedish": swedish}
