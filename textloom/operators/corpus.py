@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,10 +29,11 @@ def idf(counts: DataFrame, n_documents: int, smooth: bool = False) -> DataFrame:
 
 def tf_idf(rows: DataFrame, n_documents: int) -> DataFrame:
     """(doc_id, word, tf_idf): log1p(tf) times ln(1 + N/df), each document's vector of length 1."""
-    tf = rows.groupBy("doc_id", "word").agg(F.count("*").alias("tf"))
-    weighed = tf.join(idf(unigrams(rows), n_documents, True).select("word", "idf"), "word").withColumn("weight", F.log1p("tf") * F.col("idf"))
-    norm = weighed.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    return weighed.join(norm, "doc_id").select("doc_id", "word", (F.col("weight") / F.col("norm")).alias("tf_idf"))
+    tf = rows.groupBy("word", "doc_id").agg(F.count("*").alias("tf"))
+    seen = tf.groupBy("word").agg(F.count_if(F.col("tf") > 0).alias("doc_count"))  # reads tf so that both sides need the same columns and share one exchange
+    weighed = tf.join(idf(seen, n_documents, True).select("word", "idf"), "word").withColumn("weight", F.log1p("tf") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("doc_id")))
+    return weighed.select("doc_id", "word", (F.col("weight") / norm).alias("tf_idf"))
 
 
 def n_grams(documents: DataFrame, n: int = 2, text_col: str = "text", sentence_split: str = "\n") -> DataFrame:
