@@ -397,7 +397,7 @@ def test_arithmetic_query(spark, sf):
 @pytest.mark.parametrize("name", [n for n in library.SQL if not n.startswith("sim_") or n in ("sim_jaccard", "sim_bag", "sim_azzoo", "sim_stiles", "sim_yule_q_ii", "sim_chord", "sim_levenshtein", "sim_prefix")])
 def test_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("part", "documents", "benchmark", "lineitem", "labels", "events"):
+    for t in ("part", "documents", "benchmark", "lineitem", "labels", "events", "conversations"):
         con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     found = __spark_entry__.queries()[name](spark, sf)
     rows = con.sql(library.SQL[name])
