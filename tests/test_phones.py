@@ -2,6 +2,7 @@
 
 import math
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +70,38 @@ def test_aline_modes():
     assert len(phones.Aline().alignments("nat", "nixt", epsilon=0.3)) > len(phones.Aline().alignments("nat", "nixt")) == 2
 
 
+@pytest.mark.parametrize("mode", ["local", "global", "half-local", "semi-global"])
+def test_aline_tables_follow_the_moves(mode):
+    cmp = phones.Aline(mode=mode)
+    for a, b in (("driy", "tresH"), ("fedSeCr", "feHdeCr"), ("atcg", ""), ("mNaR", "owxyzq")):
+        (m, x), (n, y) = cmp.phones(a), cmp.phones(b)
+        s, _ = cmp._table(m, x, n, y)
+        free = [0.0] if mode in ("local", "half-local") else []
+        assert all(s[i][j] == max(free + [s[i - di][j - dj] + score for di, dj, score in cmp._moves(x, y, i, j)]) for i in range(1, len(x) + 1) for j in range(1, len(y) + 1))
+
+
+def test_aline_compares_two_phones_once(monkeypatch):
+    seen, apart = [], phones.Aline._apart
+    monkeypatch.setattr(phones.Aline, "_apart", lambda self, p, q: seen.append(0) or apart(self, p, q))
+    assert phones.Aline().similarity("banana" * 5, "nanaba" * 5) == pytest.approx(phones.aline("banana" * 5, "nanaba" * 5))
+    assert len(seen) <= 2 * 9
+
+
+def test_pairs_are_remembered_over_batches(spark, monkeypatch):
+    asked = []
+    batch = edits.vectorised(lambda a, b: asked.append((a, b)) or 0.5).func
+    for _ in range(2):
+        assert [x if x == x else None for x in batch(pd.Series(["a", None, "a", "b"]), pd.Series(["b", "b", "b", None]))] == [0.5, None, 0.5, None]
+    assert asked == [("a", "b")]
+    monkeypatch.setattr(edits, "REMEMBERED", 1000)
+    known = edits.remembered(lambda a: asked.append(a) or a)
+    assert [known(str(i % 10)) for i in range(30)] == [str(i % 10) for i in range(30)] and known("x" * 5000) == "x" * 5000 and len(asked) == 32
+
+
+def test_pairs_of_a_small_file_are_dealt_out(spark, sf):
+    assert "REPARTITION_BY_COL" in phones.query("aline")(spark, sf)._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize("name", phones.NAMES)
 def test_measures_on_phones(spark, name):
     rows = spark.createDataFrame([("Colin", "Colin"), ("Nigel", None), ("", ""), ("日本", "a")], "src string, tar string").select(phones.similarity(name, F.col("src"), F.col("tar")).alias("sim")).collect()
