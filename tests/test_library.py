@@ -1,5 +1,7 @@
 """Golden values, invariants, and the same queries in SQL."""
 
+import lzma
+
 import duckdb
 import numpy as np
 import pytest
@@ -135,6 +137,17 @@ def test_measures_of_counts(pairs, name):
     assert rows[4].sim == pytest.approx(1 - 1 * (name == "bhattacharyya"), abs=1e-8)
 
 
+def test_lzma_sizes_of_short_texts(spark, sf, monkeypatch):
+    texts = [("ab" * 40)[:n] + tail for n in range(60) for tail in ("", "é", "hot gear", "ring ring")]
+    sizes = [len(lzma.compress(t.encode(), preset=6)) - 14 for t in texts]
+    assert [edits.lzma_size(t) for t in texts] == sizes
+    seen, compress = [], lzma.compress
+    monkeypatch.setattr(lzma, "compress", lambda data, **how: seen.append("filters" in how) or compress(data, **how))
+    assert edits.KERNELS["ncd_lzma"]("large ring", "hot bolt") < 1 and seen == [True] * 4
+    assert edits.KERNELS["ncd_lzma"]("large ring" * 6, "hot bolt") < 1 and seen[4:] == [False, True, False, False]
+    assert all(("REPARTITION_BY_COL" in edits.query(name)(spark, sf)._jdf.queryExecution().toString()) == (name in edits.KERNELS) for name in ("ncd_lzma", "osa", "ident"))
+
+
 @pytest.mark.parametrize("name", edits.NAMES)
 def test_edit_measures(pairs, name):
     rows = pairs.select("id", edits.similarity(name, F.col("src"), F.col("tar")).alias("sim")).orderBy("id").collect()
